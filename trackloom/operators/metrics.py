@@ -175,7 +175,9 @@ def best_match(
     """
     frame_keys = list(frame_keys)
     left = predicted.select(*frame_keys, cell, vector)
-    right = target.filter(F.col(mask)).select(*frame_keys, vector)
+    # Renamed keys keep the two sides apart even when they come from one table.
+    other = [f"_t{i}" for i in range(len(frame_keys))]
+    right = target.filter(F.col(mask)).select(*[F.col(k).alias(o) for k, o in zip(frame_keys, other)], F.col(vector).alias("_token"))
     key_fields = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields if f.name in (*frame_keys, cell)
     )
@@ -184,11 +186,11 @@ def best_match(
         out = queries[[*frame_keys, cell]].copy()
         if queries.empty or tokens.empty:
             return out.iloc[:0].assign(score=np.zeros(0))
-        bank = np.vstack(tokens[vector].to_numpy()).T
+        bank = np.vstack(tokens["_token"].to_numpy()).T
         out["score"] = (np.vstack(queries[vector].to_numpy()) @ bank).max(axis=1)
         return out
 
-    grouped = left.groupBy(*frame_keys).cogroup(right.groupBy(*frame_keys))
+    grouped = left.groupBy(*frame_keys).cogroup(right.groupBy(*other))
     return grouped.applyInPandas(match, f"{key_fields}, score double")
 
 

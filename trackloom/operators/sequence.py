@@ -309,28 +309,38 @@ class FollowState:
         self.frame = -1
 
     def advance(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Walk whole frames; rows are sorted by video, frame and candidate."""
+        video = rows["video"].to_numpy()
+        frame = rows["frame"].to_numpy(np.int64)
+        centres = rows[["cx", "cy"]].to_numpy(np.float32)
+        areas = rows["area"].to_numpy(np.float64)
+        seeds = rows[["sx", "sy"]].to_numpy(np.float32)
+        usable = np.isfinite(centres).all(axis=1)
+        changed = (frame[1:] != frame[:-1]) | (video[1:] != video[:-1])
+        starts = np.concatenate(([0], np.flatnonzero(changed) + 1, [len(rows)]))
         out = []
-        for (video, frame), group in rows.groupby(["video", "frame"], sort=False):
-            if video != self.video:
-                self.video = video
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            if video[lo] != self.video:
+                self.video = video[lo]
                 self.restart()
-            out.append((video, int(frame), *self.step(int(frame), group)))
+            keep = usable[lo:hi]
+            found = self.step(int(frame[lo]), centres[lo:hi][keep], areas[lo:hi][keep], seeds[lo])
+            out.append((video[lo], int(frame[lo]), *found))
         return pd.DataFrame(out, columns=["video", "frame", "cx", "cy", "area"])
 
-    def step(self, frame: int, group: pd.DataFrame) -> tuple[float | None, float | None, float]:
+    def step(
+        self, frame: int, centres: np.ndarray, areas: np.ndarray, seed: np.ndarray
+    ) -> tuple[float | None, float | None, float]:
         if frame > self.frame + 1:
             self.area = 0.0
         self.frame = frame
-        found = group.dropna(subset=["cx", "cy"])
-        centres = found[["cx", "cy"]].to_numpy(np.float32)
-        areas = found["area"].to_numpy(np.float64)
         if self.last is None:
-            aim = group[["sx", "sy"]].to_numpy(np.float32)[0]
-            limit, known_area = self.seed_gate, 0.0
+            aim, limit, known_area = seed, self.seed_gate, 0.0
         else:
             aim = self.last if self.before is None else self.last + (self.last - self.before)
             limit, known_area = self.gate, self.area
-        distance = np.linalg.norm(centres - aim, axis=1).astype(np.float64)
+        gap = centres - aim
+        distance = np.sqrt((gap * gap).sum(axis=1)).astype(np.float64)
         cost = distance.copy()
         if known_area > 0:
             cost += 3.0 * np.abs(np.log(np.maximum(areas, 1.0) / max(known_area, 1.0)))
