@@ -14,13 +14,17 @@ from trackloom.functions.geometry import norm
 
 def sweep_levels(samples: DataFrame, axes: Sequence[str] = C.SWEEP_AXES) -> DataFrame:
     """(scene, axis, level) rows; a base row fills its own level on every axis."""
-    base = samples.filter(F.col("mode") == "base").select(
-        "base_scene_id",
-        F.explode(F.array(*[F.lit(a) for a in axes])).alias("axis"),
-        F.element_at("base_level_indices", F.col("axis")).alias("level"),
-        "sample_id",
-        "ordinal",
-        F.lit(True).alias("is_base"),
+    base = (
+        samples.filter(F.col("mode") == "base")
+        .withColumn("axis", F.explode(F.array(*[F.lit(a) for a in axes])))
+        .select(
+            "base_scene_id",
+            "axis",
+            F.element_at("base_level_indices", F.col("axis")).alias("level"),
+            "sample_id",
+            "ordinal",
+            F.lit(True).alias("is_base"),
+        )
     )
     factor = samples.filter((F.col("mode") != "base") & F.col("axis").isin(*axes)).select(
         "base_scene_id",
