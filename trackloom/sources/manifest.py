@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trackloom.functions.checks import relative_path
 from trackloom.functions.ordered import index_within
 
 
@@ -71,6 +77,8 @@ def scan_artifacts(
     """Files below ``root`` as (path relative to root, bytes, sha256).
 
     Without the hash the content column is pruned and only file status is read.
+    Spark's file sources skip empty files and hold a whole file per row; use
+    ``stat_artifacts`` where either matters.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -84,6 +92,30 @@ def scan_artifacts(
     return files.select(*columns)
 
 
+def stat_artifacts(paths: DataFrame, root: str, block: int = 8 * 1024 * 1024) -> DataFrame:
+    """(path, bytes, sha256) of the listed relative paths that exist below ``root``.
+
+    Tasks open their own share of the paths and hash block by block, so files of any
+    size work, empty ones included.  ``root`` is a local or cluster file-system URI.
+    """
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                info = store.get_file_info(f"{base.rstrip('/')}/{path}")
+                if info.type == pafs.FileType.File:
+                    digest = hashlib.sha256()
+                    with store.open_input_stream(info.path) as stream:
+                        while chunk := stream.read(block):
+                            digest.update(chunk)
+                    found.append((path, info.size, digest.hexdigest()))
+            yield pd.DataFrame(found, columns=["path", "bytes", "sha256"])
+
+    inside = paths.select("path").filter(relative_path(F.col("path"))).distinct()
+    return inside.mapInPandas(visit, "path string, bytes long, sha256 string")
+
+
 def read_reports(spark: SparkSession, root: str, suffix: str = ".mp4") -> DataFrame:
     """Report documents in a tree, each flagged with whether its video sits next to it."""
     reports = (

@@ -79,8 +79,12 @@ class Tracker(StatefulProcessor):
             state.last = None if lx is None else np.array([lx, ly], np.float32)
             state.before = None if bx is None else np.array([bx, by], np.float32)
         # A micro-batch brings the newly arrived frames of one video, not its history.
+        # Frames at or before the last one seen are late and cannot be inserted.
         fresh = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "candidate_id"], kind="stable")
-        out = state.advance(fresh[fresh["frame"] > state.frame])
+        fresh = fresh[fresh["frame"] > state.frame]
+        if fresh.empty:
+            return
+        out = state.advance(fresh)
         last = (None, None) if state.last is None else tuple(float(v) for v in state.last)
         before = (None, None) if state.before is None else tuple(float(v) for v in state.before)
         self.memory.update((*last, *before, float(state.area), int(state.frame)))
