@@ -31,8 +31,12 @@ def percentiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
+    count: str | None = None,
 ) -> DataFrame:
-    """One row per key with exact linear-interpolated quantiles; NULLs are skipped."""
+    """One row per key with exact linear-interpolated quantiles; NULLs are skipped.
+
+    ``count`` names an extra column with the number of values of the key.
+    """
     keys = list(keys)
     order = sorted(range(len(probs)), key=lambda i: probs[i])
     ranked = [float(probs[i]) for i in order]
@@ -76,6 +80,8 @@ def percentiles(
         part = rank - F.floor(rank)
         low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
         out.append((low + (high - low) * part).alias(names[original]))
+    if count:
+        out.append(F.col("_n").alias(count))
     return picked.select(*keys, *out)
 
 
@@ -117,12 +123,6 @@ def trimmed_median(
         & (F.col("_r") > 0)
         & (F.col("_r") < F.lit(float("inf")))
     )
-    edges = percentiles(good, keys, "_r", [low, high], ["_lo", "_hi"])
+    edges = percentiles(good, keys, "_r", [low, high], ["_lo", "_hi"], "_n").filter("_n >= 4").drop("_n")
     kept = _join(good, edges, keys).filter((F.col("_r") >= F.col("_lo")) & (F.col("_r") <= F.col("_hi")))
-    counts = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
-    usable = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_usable")).filter("_usable >= 4")
-    scale = percentiles(kept, keys, "_r", [0.5], ["scale"])
-    out = scale.join(counts, keys).join(usable.select(*keys), keys, "left_semi") if keys else (
-        scale.join(F.broadcast(counts)).join(F.broadcast(usable.select(F.lit(1).alias("_ok")))).drop("_ok")
-    )
-    return out.select(*keys, "scale", "kept")
+    return percentiles(kept, keys, "_r", [0.5], ["scale"], "kept")

@@ -16,6 +16,7 @@ from trackloom.operators.selection import draw_hash
 from trackloom.session import cut_lineage
 
 OBSERVED, COMPLETED, OBJECT = 0, 1, 2
+LEAF_POINTS, MAX_LEVEL = 64, 30
 
 
 def compose_scene(observed: DataFrame, completed: DataFrame, objects: DataFrame) -> DataFrame:
@@ -268,9 +269,11 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
     A level-by-level descent of an implicit octree.  Each level keeps, per query, only
     the cells that can still hold something nearer than the best representative seen,
     so neither a dense cell nor the whole cloud is ever paired with a query.  Equal
-    coordinates collapse to their smallest id first; ties go to the smaller id.
+    coordinates collapse to their smallest id first; ties go to the smaller id.  The
+    tree is deep enough that its fullest leaf holds at most ``LEAF_POINTS`` points.
     """
-    c_pts = (
+    # Read once per level, so it is written out once instead of being recomputed.
+    c_pts = cut_lineage(
         cloud.groupBy(*[G.d(a).alias(f"p{i}") for i, a in enumerate(axes)])
         .agg(F.min(cloud_id).alias("cid"))
     )
@@ -282,12 +285,19 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
         return q_pts.select(F.col("qid").alias(query_id), F.lit(None).alias(cloud_id), F.lit(None).cast("double").alias("distance")).limit(0)
     low = [stats[f"lo{i}"] for i in range(3)]
     side = max(max(stats[f"hi{i}"] - low[i] for i in range(3)), 1e-12) * (1 + 1e-9)
-    levels = depth if depth is not None else max(2, min(12, math.ceil(math.log(max(stats["n"], 2), 6))))
 
     def cell(value: Column, i: int, level: int) -> Column:
         step = side / (1 << level)
         return F.least(F.floor((value - F.lit(low[i])) / F.lit(step)), F.lit((1 << level) - 1)).cast("int")
 
+    levels = depth or max(2, math.ceil(math.log(max(stats["n"], 2), 8)))
+    while depth is None and levels < MAX_LEVEL:
+        fullest = c_pts.groupBy(*[cell(F.col(f"p{i}"), i, levels) for i in range(3)]).count().agg(F.max("count")).first()[0]
+        if fullest <= LEAF_POINTS:
+            break
+        # A crowded leaf needs about log8 more levels; clustered points need further rounds.
+        levels = min(MAX_LEVEL, levels + max(1, math.ceil(math.log(fullest / LEAF_POINTS, 8))))
+
     def gap(i: int, level: int) -> Column:
         """Distance along one axis from the query to the cell box (slightly underestimated)."""
         step = side / (1 << level)

@@ -50,12 +50,12 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
         F.try_variant_get("metadata", "$.schema", "string").rlike(C.TRACK_SCHEMA_PATTERN), F.lit(False)
     )
     start, end = clip_range(F.col("metadata"))
-    cams = camera_per_frame(cameras, meta)
-    joined = (
-        points.join(cams, ["sample_id", "frame"])
-        .join(meta.select("sample_id", "width", "height", "metadata"), "sample_id")
-        .join(initial, ["sample_id", "slot", "point_id"], "left")
+    # Everything known per frame is joined first, so the points are shuffled once.
+    views = camera_per_frame(cameras, meta).join(
+        meta.select("sample_id", "width", "height", declared.alias("declared"), start.alias("clip_start"), end.alias("clip_end")),
+        "sample_id",
     )
+    joined = points.join(views, ["sample_id", "frame"])
     w = tuple(G.d(c) for c in XYZ_W)
     c = tuple(G.d(x) for x in XYZ_C)
     u, v, depth = G.d("u"), G.d("v"), G.d("depth")
@@ -64,20 +64,25 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
     everything = F.lit(True)
     for x in (*w, *c, u, v, depth):
         everything = everything & K.finite(x)
-    start_ok = (F.col("frame") != 0) | (
+    start_ok = (
         K.close(G.d("ix"), c[0], 1e-5, 1e-6) & K.close(G.d("iy"), c[1], 1e-5, 1e-6) & K.close(G.d("iz"), c[2], 1e-5, 1e-6)
     )
+    first_frame = (
+        points.filter("frame = 0")
+        .join(initial, ["sample_id", "slot", "point_id"], "left")
+        .groupBy("sample_id")
+        .agg(F.bool_and(F.coalesce(start_ok, F.lit(False))).alias("T09"))
+    )
     camera_ok = K.close(c[0], moved[0], 1e-4, 1e-5) & K.close(c[1], moved[1], 1e-4, 1e-5) & K.close(c[2], moved[2], 1e-4, 1e-5)
     track_ok = (c[2] <= 1e-6) | (K.close(u, pu, 1e-4, 1e-3) & K.close(v, pv, 1e-4, 1e-3))
-    in_view = (c[2] > start) & (c[2] < end) & (pu >= 0) & (pu < F.col("width")) & (pv >= 0) & (pv < F.col("height"))
+    in_view = (c[2] > F.col("clip_start")) & (c[2] < F.col("clip_end")) & (pu >= 0) & (pu < F.col("width")) & (pv >= 0) & (pv < F.col("height"))
     per_point = {
         "T04": K.close(depth, c[2], 1e-5, 1e-6),
         "T05": ~F.col("valid") | (depth > 1e-6),
         "T07": everything,
-        "T09": start_ok,
-        "T16": ~declared | camera_ok,
-        "T17": ~declared | track_ok,
-        "T19": ~declared | (F.col("valid") == in_view),
+        "T16": ~F.col("declared") | camera_ok,
+        "T17": ~F.col("declared") | track_ok,
+        "T19": ~F.col("declared") | (F.col("valid") == in_view),
     }
     folded = joined.groupBy("sample_id").agg(
         F.count(F.lit(1)).alias("point_rows"),
@@ -110,7 +115,9 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
         F.bool_and(F.coalesce(focal, F.lit(False))).alias("T12"),
         F.max(det).alias("_det"),
     )
-    table = meta.join(folded, "sample_id", "left").join(camera_rules, "sample_id", "left")
+    table = (
+        meta.join(folded, "sample_id", "left").join(first_frame, "sample_id", "left").join(camera_rules, "sample_id", "left")
+    )
     ids, times = F.col("object_ids"), F.col("time_s")
     n = F.size(ids)
     frames = F.col("frames")
@@ -249,46 +256,57 @@ def zbuffer(candidates: DataFrame, keys: Sequence[str], carry: Sequence[str] = (
     return best.select(*keys, "_w.depth", "_w.slot", "_w.point_id", *[f"_w.{c}" for c in carry])
 
 
-def zbuffer_frames(pixels: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """Same result as splat + ``zbuffer``, one Arrow call per (sample, frame).
+def render_frames(
+    pixels: DataFrame, radius: int, grid: tuple[int, int], preprocess: tuple[int, int]
+) -> DataFrame:
+    """Splat, z-buffer and cell means of whole frames, one Arrow call per (sample, frame).
 
-    A frame holds at most 3 x 2048 dynamic and 8192 static points, so a group is small;
-    splats are expanded inside the task and never shuffled.  ``px``/``py`` are the
-    rounded in-image pixels.
+    Same result as splat + ``zbuffer`` + ``cell_mean``.  A frame holds at most 3 x 2048
+    dynamic and 8192 static points, so a group is small; splats and winning pixels stay
+    inside the task and only the few occupied cells leave it.  ``px``/``py`` are rounded
+    in-image pixels; ``r, g, b`` ride along.
     """
+    width, height = preprocess
+    gw, gh = grid
     offsets = np.arange(-radius, radius + 1)
-    schema = "sample_id string, frame int, py int, px int, depth double, slot int, point_id int"
+    ox, oy = (a.ravel() for a in np.meshgrid(offsets, offsets))
+    names = ("px", "py", "depth", "slot", "point_id", "r", "g", "b")
+    schema = "sample_id string, slot int, frame int, cy int, cx int, r float, g float, b float, visible float"
 
-    def resolve(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in ("px", "py", "depth", "slot", "point_id")}
-        ox, oy = (a.ravel() for a in np.meshgrid(offsets, offsets))
+    def render(table: pa.Table) -> pa.Table:
+        cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in names}
         px = (cols["px"][:, None] + ox).ravel()
         py = (cols["py"][:, None] + oy).ravel()
-        depth, slot, point = (np.repeat(cols[n], ox.size) for n in ("depth", "slot", "point_id"))
+        source = np.repeat(np.arange(len(cols["px"])), ox.size)
         keep = (px >= 0) & (px < width) & (py >= 0) & (py < height)
-        pixel = py[keep].astype(np.int64) * width + px[keep]
-        depth, slot, point = depth[keep], slot[keep], point[keep]
-        rank = np.lexsort((point, slot, depth, pixel))
-        firsts = rank[np.unique(pixel[rank], return_index=True)[1]]
-        count = len(firsts)
-        head = {n: [table.column(n)[0].as_py()] * count for n in ("sample_id", "frame")}
+        pixel, source = py[keep].astype(np.int64) * width + px[keep], source[keep]
+        rank = np.lexsort((cols["point_id"][source], cols["slot"][source], cols["depth"][source], pixel))
+        first = rank[np.unique(pixel[rank], return_index=True)[1]]
+        first = first[cols["slot"][source[first]] >= 0]
+        pixel, source = pixel[first], source[first]
+        cy = np.clip(np.floor((pixel // width + 0.5) * gh / height), 0, gh - 1).astype(np.int64)
+        cx = np.clip(np.floor((pixel % width + 0.5) * gw / width), 0, gw - 1).astype(np.int64)
+        key, group = np.unique((cols["slot"][source] * gh + cy) * gw + cx, return_inverse=True)
+        count = np.bincount(group, minlength=len(key))
+        means = {c: np.bincount(group, cols[c][source].astype(np.float64), len(key)) / np.maximum(count, 1) for c in "rgb"}
+        sample, frame = table.column("sample_id")[0].as_py(), table.column("frame")[0].as_py()
         return pa.table(
             {
-                "sample_id": pa.array(head["sample_id"], pa.string()),
-                "frame": pa.array(head["frame"], pa.int32()),
-                "py": pa.array(pixel[firsts] // width, pa.int32()),
-                "px": pa.array(pixel[firsts] % width, pa.int32()),
-                "depth": pa.array(depth[firsts], pa.float64()),
-                "slot": pa.array(slot[firsts], pa.int32()),
-                "point_id": pa.array(point[firsts], pa.int32()),
+                "sample_id": pa.array([sample] * len(key), pa.string()),
+                "slot": pa.array(key // (gh * gw), pa.int32()),
+                "frame": pa.array([frame] * len(key), pa.int32()),
+                "cy": pa.array(key // gw % gh, pa.int32()),
+                "cx": pa.array(key % gw, pa.int32()),
+                **{c: pa.array(means[c], pa.float32()) for c in "rgb"},
+                "visible": pa.array(np.ones(len(key)), pa.float32()),
             }
         )
 
     rows = pixels.select(
         "sample_id", F.col("frame").cast("int").alias("frame"), F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"),
-        G.d("depth").alias("depth"), F.col("slot").cast("int").alias("slot"), F.col("point_id").cast("int").alias("point_id"),
+        G.d("depth").alias("depth"), F.col("slot").cast("int").alias("slot"), F.col("point_id").cast("int").alias("point_id"), "r", "g", "b",
     )
-    return rows.groupBy("sample_id", "frame").applyInArrow(resolve, schema)
+    return rows.groupBy("sample_id", "frame").applyInArrow(render, schema)
 
 
 def cell_mean(visible: DataFrame, keys: Sequence[str], colours: Sequence[str] = ("r", "g", "b")) -> DataFrame:
@@ -325,12 +343,11 @@ def project_static(static: DataFrame, cameras: DataFrame, meta: DataFrame) -> Da
     )
 
 
-def _to_pixels(points: DataFrame, meta: DataFrame, preprocess: tuple[int, int], transform: str) -> DataFrame:
-    sized = points.join(meta.select("sample_id", "width", "height"), "sample_id")
-    x, y = G.d("u"), G.d("v")
-    if transform == "cover_center_crop":
-        x, y = G.cover_crop(x, y, (F.col("width"), F.col("height")), preprocess)
-    return sized.withColumn("x", x).withColumn("y", y).drop("width", "height")
+def pixel_position(preprocess: tuple[int, int], transform: str) -> tuple[Column, Column]:
+    """Position of (u, v) in the preprocessed image; rows carry width and height."""
+    if transform == "source_image":
+        return G.d("u"), G.d("v")
+    return G.cover_crop(G.d("u"), G.d("v"), (F.col("width"), F.col("height")), preprocess)
 
 
 def selected_frames(points: DataFrame, frames: int, keep: int | None) -> DataFrame:
@@ -359,35 +376,44 @@ def identity_tracks(
     ``project_static``.  ``method`` is ``arrow`` (group per frame) or ``sql``.
     """
     pw, ph = preprocess
-    colours = identity_colour(initial, identity_scale(initial)).select("sample_id", "slot", "point_id", "anchored", "r", "g", "b")
-    anchored = colours.filter("anchored")
+    # One join brings colour, anchor and image size to the points; colours then ride
+    # through the z-buffer instead of being looked up afterwards.
+    colours = (
+        identity_colour(initial, identity_scale(initial))
+        .filter("anchored")
+        .select("sample_id", "slot", "point_id", "r", "g", "b")
+        .join(meta.select("sample_id", "width", "height"), "sample_id")
+    )
     usable = points.filter(F.col("valid") & K.finite(G.d("depth")) & (G.d("depth") > 1e-6))
-    usable = usable.join(anchored.select("sample_id", "slot", "point_id"), ["sample_id", "slot", "point_id"], "left_semi")
-    cols = ["sample_id", "frame", "slot", "point_id", "depth", "px", "py"]
+    cols = ["sample_id", "frame", "slot", "point_id", "depth", "px", "py", "r", "g", "b"]
 
     def rounded(df: DataFrame) -> DataFrame:
+        x, y = pixel_position(preprocess, transform)
         return (
-            _to_pixels(df, meta, preprocess, transform)
-            .withColumn("depth", G.d("depth"))
-            .withColumn("px", F.rint("x").cast("long"))
-            .withColumn("py", F.rint("y").cast("long"))
+            df.withColumn("depth", G.d("depth"))
+            .withColumn("px", F.rint(x).cast("long"))
+            .withColumn("py", F.rint(y).cast("long"))
             .filter((F.col("px") >= 0) & (F.col("px") < pw) & (F.col("py") >= 0) & (F.col("py") < ph))
             .select(*cols)
         )
 
-    pixels = rounded(usable)
+    pixels = rounded(usable.join(colours, ["sample_id", "slot", "point_id"]))
     if static is not None:
-        background = static.filter("valid").withColumn("slot", F.lit(-1)).withColumn("point_id", F.lit(-1))
-        pixels = pixels.unionByName(rounded(background))
+        none = F.lit(None).cast("float")
+        background = static.filter("valid").withColumns(
+            {"slot": F.lit(-1), "point_id": F.lit(-1), "r": none, "g": none, "b": none}
+        )
+        pixels = pixels.unionByName(rounded(background.join(meta.select("sample_id", "width", "height"), "sample_id")))
     if method == "arrow":
-        winners = zbuffer_frames(pixels, radius, pw, ph)
-    else:
-        # A point hidden at its own centre is hidden over its whole splat by the same
-        # winner, so resolving centres first shrinks what the splats multiply.
-        centres = zbuffer(pixels, ["sample_id", "frame", "py", "px"])
-        winners = zbuffer(splat_candidates(centres, radius, pw, ph), ["sample_id", "frame", "py", "px"])
-    visible = winners.filter("slot >= 0").join(colours, ["sample_id", "slot", "point_id"])
-    placed = visible.withColumn("cy", G.pixel_cell(F.col("py"), ph, grid[1])).withColumn("cx", G.pixel_cell(F.col("px"), pw, grid[0]))
+        return render_frames(pixels, radius, grid, preprocess)
+    # A point hidden at its own centre is hidden over its whole splat by the same
+    # winner, so resolving centres first shrinks what the splats multiply.
+    keys = ["sample_id", "frame", "py", "px"]
+    centres = zbuffer(pixels, keys, ["r", "g", "b"])
+    winners = zbuffer(splat_candidates(centres, radius, pw, ph), keys, ["r", "g", "b"])
+    placed = winners.filter("slot >= 0").withColumns(
+        {"cy": G.pixel_cell(F.col("py"), ph, grid[1]), "cx": G.pixel_cell(F.col("px"), pw, grid[0])}
+    )
     return cell_mean(placed, ["sample_id", "slot", "frame", "cy", "cx"])
 
 
@@ -407,14 +433,19 @@ def dense_tracks(
     gw, gh = grid
     pw, ph = preprocess
     keys = ["sample_id", "slot", "frame"]
-    scaled = _to_pixels(points, meta, preprocess, transform)
-    scale = depth_scale(points, depth_mode == "per_frame")
+    x, y = pixel_position(preprocess, transform)
+    per_frame = depth_mode == "per_frame"
+    scale = depth_scale(points, per_frame)
+    known = meta.select("sample_id", "width", "height")
+    if not per_frame:
+        known = known.join(scale, "sample_id", "left")
+    scaled = points.join(known, "sample_id").withColumn("x", x).withColumn("y", y)
     origin = scaled.filter("frame = 0").select(
         "sample_id", "slot", "point_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("valid").alias("valid0")
     )
-    joined = scaled.join(origin, ["sample_id", "slot", "point_id"]).join(
-        scale, keys if depth_mode == "per_frame" else ["sample_id"], "left"
-    )
+    joined = scaled.join(origin, ["sample_id", "slot", "point_id"])
+    if per_frame:
+        joined = joined.join(scale, keys, "left")
     if frames_keep:
         joined = selected_frames(joined, *frames_keep)
     gx, gy = gw / pw, gh / ph

@@ -10,6 +10,8 @@ from trackloom.functions.ordered import even_positions, index_within
 
 # Rows of one segment when positions are taken over ordinals.
 ORDINAL_SEGMENT = 1_000_000
+# Up to this rank Spark drops surplus rows of a key before the shuffle (its window group limit).
+PRUNED_RANK = 1000
 
 
 def _segment(ordinal: str) -> Column:
@@ -71,14 +73,10 @@ def nth(df: DataFrame, ordinal: str, index: int) -> DataFrame:
 def round_robin(df: DataFrame, group: str, ordinal: str, n: int, groups: int) -> DataFrame:
     """First ``n`` rows dealt one per group in turn, over the first ``groups`` groups.
 
-    No group can give more than ``n`` rows, so the row_number filter lets Spark
-    drop the rest of a large group before the shuffle.
+    No group can give more than ``n`` rows, so a rank filter drops the rest of a
+    large group early.
     """
-    w = W.partitionBy(group).orderBy(ordinal)
-    ranked = (
-        df.withColumn("_turn", F.row_number().over(w))
-        .filter(F.col("_turn") <= n)
-    )
+    ranked = _first_rows(df, [group], [ordinal], _segment(ordinal), n, "_turn")
     keep = (
         df.groupBy(group)
         .agg(F.min(ordinal).alias("_first"))
@@ -90,6 +88,17 @@ def round_robin(df: DataFrame, group: str, ordinal: str, n: int, groups: int) ->
     return picked.withColumn("position", position.cast("long")).drop("_turn", "_first")
 
 
+def _first_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, n: int, name: str
+) -> DataFrame:
+    """First ``n`` rows per key with their rank; a large key never sits in one task."""
+    if n <= PRUNED_RANK:
+        ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    else:
+        ranked = index_within(df, keys, order, segment, name)
+    return ranked.filter(F.col(name) < n)
+
+
 def one_per_group(df: DataFrame, group: str, ordinal: str, last: bool = False) -> DataFrame:
     """First (or last) row of every group by order, without sorting whole groups."""
     row = F.struct(*[F.col(c) for c in df.columns])
@@ -143,6 +152,11 @@ def short_sequences(df: DataFrame, keys: Sequence[str], frame: str, k: int) -> D
     return df.groupBy(*keys).agg((F.max(frame) + 1).alias("frames")).filter(F.col("frames") < k)
 
 
+def _hash_segment() -> Column:
+    """65536 equal slices of the hash order."""
+    return F.substring("_h", 1, 4)
+
+
 def draw_hash(seed: Column | int, ident: Column) -> Column:
     """Hex digest that orders rows pseudo-randomly and identically on any engine."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
@@ -161,21 +175,16 @@ def sample_exact(df: DataFrame, ident: str, n: int, seed: int) -> DataFrame:
 
 
 def sample_per_layer(df: DataFrame, layer: Sequence[str], ident: str, n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows per layer by hash rank; the rank filter prunes before the shuffle."""
-    w = W.partitionBy(*layer).orderBy("_h", ident)
-    return (
-        df.withColumn("_h", draw_hash(seed, F.col(ident)))
-        .withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= n)
-        .drop("_h", "_rank")
-    )
+    """At most ``n`` rows per layer by hash rank."""
+    hashed = df.withColumn("_h", draw_hash(seed, F.col(ident)))
+    return _first_rows(hashed, layer, ["_h", ident], _hash_segment(), n, "_rank").drop("_h", "_rank")
 
 
 def permuted(df: DataFrame, ident: str, seed: int, cycle: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``offset`` of every row in a seeded permutation (one per key, optionally per cycle)."""
     salt = F.lit(seed) if cycle is None else F.lit(seed) + cycle
     tagged = df.withColumn("_h", draw_hash(salt, F.col(ident)))
-    return index_within(tagged, list(keys), ["_h", ident], F.substring("_h", 1, 3), "offset").drop("_h")
+    return index_within(tagged, list(keys), ["_h", ident], _hash_segment(), "offset").drop("_h")
 
 
 def cyclic_draw(items: DataFrame, ident: str, draws: DataFrame, index: str, seed: int, count: int) -> DataFrame:
