@@ -104,6 +104,45 @@ GATE_THRESHOLDS = {
     "seam_p90_error": 0.10,
 }
 
+PACKAGE_SCHEMA_PATTERN = r"^[a-z0-9_]+\.structured_scene_package\.v1$"
+COLLISION_PROXY = "object_collision_proxy.obj"
+SCENE_MAP_ARRAYS = (
+    "pixel_body_id",
+    "object_mask",
+    "aligned_object_mask",
+    "aligned_object_depth",
+    "environment_mask",
+    "reliable_environment_mask",
+    "environment_completion_mask",
+    "environment_dense_mask",
+    "environment_completion_depth",
+    "environment_depthlab_mask",
+    "environment_depthlab_raw_depth",
+    "content_mask",
+)
+SCENE_ARRAYS = (
+    "xyz",
+    "rgb",
+    "source",
+    "body_id",
+    "intrinsic",
+    "extrinsic",
+    "point_map_world",
+    "depth",
+    "confidence",
+    *SCENE_MAP_ARRAYS,
+    "object_transform_world",
+    "object_transform_camera",
+    "collision_proxy_vertices",
+    "collision_proxy_faces",
+    "support_plane_valid",
+    "support_plane_index",
+    "support_plane_equation_world",
+    "support_plane_distance_threshold",
+    "source_labels",
+    "body_labels",
+)
+
 SECRET_PATTERNS = {
     "token": r"hf_[A-Za-z0-9]{20,}",
     "private_key": r"-----BEGIN (?:OPENSSH |RSA |EC )?PRIVATE KEY-----",

@@ -91,6 +91,21 @@ def nominal_lookup(records: DataFrame, group: str = "base_scene_id", mode: str =
     return records.join(good, group), bad
 
 
+def trajectory_inputs(targets: DataFrame, records: DataFrame, source: str = "target") -> DataFrame:
+    """Sample whose trajectory each target uses: its own, or its scene's base record."""
+    if source not in ("target", "nominal_base"):
+        raise ValueError(f"unsupported trajectory source: {source}")
+    if source == "target":
+        return targets.withColumn("trajectory_id", F.col("sample_id"))
+    base = records.filter(F.col("mode") == "base").groupBy("base_scene_id").agg(F.min("sample_id").alias("trajectory_id"))
+    return targets.join(base, "base_scene_id", "left")
+
+
+def restore_order(df: DataFrame, source: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Rows with the source's ``ordinal``, sorted by it (a range sort over all partitions)."""
+    return df.join(source.select(key, "ordinal"), key).orderBy("ordinal")
+
+
 def build_plan(samples: DataFrame, current: DataFrame, reusable: DataFrame, files: DataFrame, overwrite: bool = False) -> DataFrame:
     """Which artifacts must be built.
 

@@ -208,6 +208,20 @@ def identity_colour(initial: DataFrame, scale: DataFrame, key: str = "sample_id"
     )
 
 
+def track_centroid(points: DataFrame, how: str = "mean") -> DataFrame:
+    """Per (sample, frame, slot) centre of track positions.
+
+    ``mean`` ignores NaN positions, ``median`` takes valid points only (2048 at most).
+    """
+    keys = ["sample_id", "frame", "slot"]
+    if how == "median":
+        return points.filter("valid").groupBy(*keys).agg(F.median("u").alias("u"), F.median("v").alias("v"))
+    def clean(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c))
+
+    return points.groupBy(*keys).agg(F.avg(clean("u")).alias("u"), F.avg(clean("v")).alias("v"))
+
+
 def depth_scale(points: DataFrame, per_frame: bool = False) -> DataFrame:
     """1st percentile and span of valid depths per sample, or per (sample, slot, frame).
 
