@@ -101,3 +101,23 @@ def test_micros_ignores_the_session_zone(spark):
 def test_relative_paths(spark):
     df = spark.createDataFrame([("a/b",), ("/a",), ("a/../b",), ("a..b/c",)], "p string")
     assert [r.ok for r in df.select(K.relative_path(F.col("p")).alias("ok")).collect()] == [True, False, False, True]
+
+
+VECTORS = [
+    ("[1, 2, 3]", True), ("[1, 2.5, 3e10]", True), ("[0, -9.81, 1e300]", True), ("[1, 2]", False), ("[1, 2, true]", False), ("[true, true, true]", False),
+    ('[1, "2", 3]', False), ("[1, null, 3]", False), ("[1, [2], 3]", False), ("null", False), ("7", False), ("[]", False), ("[1e999, 0, 0]", False),
+]
+
+
+def test_json_vectors(spark):
+    df = spark.createDataFrame([(t,) for t, _ in VECTORS], "t string").select("t", F.try_parse_json("t").alias("v"))
+    got = {r.t: r.ok for r in df.select("t", K.vector_ok(F.col("v"), "$", 3).alias("ok")).collect()}
+    assert got == dict(VECTORS)
+
+
+def test_json_matrices(spark):
+    cases = {"[[1, 0, 0], [0, 2.5, 0], [0, 0, 1e3]]": True, "[[1, 0, 0], [0, 1, 0]]": False, "[[1, 0], [0, 1], [0, 0]]": False,
+             "[[1, 0, 0], [0, true, 0], [0, 0, 1]]": False, "[[1, 0, 0], [0, 1, 0], null]": False, "[1, 2, 3]": False}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", F.try_parse_json("t").alias("v"))
+    got = {r.t: r.m is not None for r in df.select("t", K.matrix3(F.col("v"), "$").alias("m")).collect()}
+    assert got == cases

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-NUMERIC_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+NUMERIC = r"(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\([0-9, ]*\))"
+NUMERIC_ARRAY = f"^ARRAY<{NUMERIC}>$"
+NUMERIC_MATRIX = f"^ARRAY<ARRAY<{NUMERIC}>>$"
 
 
 def relative_path(path: Column) -> Column:
@@ -30,18 +32,34 @@ def kind_at(variant: Column, path: str) -> Column:
 def number_at(variant: Column, path: str) -> Column:
     """Finite number at a path, NULL when absent, boolean, text or not finite."""
     value = F.try_variant_get(variant, path, "double")
-    return F.when(kind_at(variant, path).rlike(NUMERIC_KINDS) & finite(value), value)
+    # Text and booleans also convert to a double, so their kinds are excluded.
+    return F.when(finite(value) & ~kind_at(variant, path).isin("STRING", "BOOLEAN"), value)
 
 
 def vector_ok(variant: Column, path: str, length: int) -> Column:
-    """A JSON array of exactly ``length`` finite numbers."""
-    node = F.try_variant_get(variant, path, "array<variant>")
-    kinds = F.forall(
-        node,
-        lambda v: F.coalesce(F.schema_of_variant(v).rlike(NUMERIC_KINDS), F.lit(False))
-        & F.coalesce(finite(F.try_variant_get(v, "$", "double")), F.lit(False)),
-    )
-    return F.coalesce((F.size(node) == length) & kinds, F.lit(False))
+    """A JSON array of exactly ``length`` finite numbers.
+
+    The merged element kind is read once; a text, boolean or mixed array has another.
+    """
+    values = F.try_variant_get(variant, path, "array<double>")
+    numeric = kind_at(variant, path).rlike(NUMERIC_ARRAY)
+    return F.coalesce(numeric & (F.size(values) == length) & F.forall(values, finite), F.lit(False))
+
+
+def matrix3(variant: Column, path: str) -> Column:
+    """A 3x3 JSON matrix of finite numbers, NULL when it is anything else."""
+    rows = F.try_variant_get(variant, path, "array<array<double>>")
+    shape = (F.size(rows) == 3) & F.forall(rows, lambda r: (F.size(r) == 3) & F.forall(r, finite))
+    return F.when(kind_at(variant, path).rlike(NUMERIC_MATRIX) & shape, rows)
+
+
+def variant_keys(variant: Column, path: str = "$") -> Column:
+    """Sorted keys of the JSON object at a path (NULL when not an object)."""
+    return F.array_sort(F.map_keys(F.try_variant_get(variant, path, "map<string,variant>")))
+
+
+def same_keys(found: Column, expected: Sequence[str]) -> Column:
+    return F.coalesce(found == F.array(*[F.lit(k) for k in sorted(expected)]), F.lit(False))
 
 
 def object_keys(raw: Column, path: str) -> Column:
