@@ -26,7 +26,8 @@ HEADLINE = (
     "identity_tracks_static", "dense_tracks", "object_cells", "validate_tracks", "zbuffer", "occupancy_iou", "cover_crop",
     "dilate", "erode", "expand_hole", "neighbour_min", "mask_algebra", "split_scene", "quality_gate", "candidate_ranking",
     "robust_scale", "trimmed_median", "nearest_neighbour", "support_relation", "plane_fit", "components", "weighted_metrics",
-    "masked_mse", "balanced_weights", "js_divergence", "best_cosine", "motion_errors",
+    "masked_mse", "balanced_weights", "js_divergence", "best_cosine", "motion_errors", "validate_records", "sweep_response",
+    "foreground_mask", "package_errors", "audit_cache", "live_metrics",
 )
 
 

@@ -115,9 +115,10 @@ def test_json_vectors(spark):
     assert got == dict(VECTORS)
 
 
-def test_json_matrices(spark):
+def test_typed_matrices(spark):
     cases = {"[[1, 0, 0], [0, 2.5, 0], [0, 0, 1e3]]": True, "[[1, 0, 0], [0, 1, 0]]": False, "[[1, 0], [0, 1], [0, 0]]": False,
-             "[[1, 0, 0], [0, true, 0], [0, 0, 1]]": False, "[[1, 0, 0], [0, 1, 0], null]": False, "[1, 2, 3]": False}
-    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", F.try_parse_json("t").alias("v"))
-    got = {r.t: r.m is not None for r in df.select("t", K.matrix3(F.col("v"), "$").alias("m")).collect()}
+             "[[1, 0, 0], [0, true, 0], [0, 0, 1]]": False, "[[1, 0, 0], [0, 1, 0], null]": False, "[1, 2, 3]": False,
+             '[[1, 0, 0], [0, "1", 0], [0, 0, 1]]': False}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", F.from_json("t", "array<array<double>>").alias("m"))
+    got = {r.t: r.ok for r in df.select("t", K.finite_matrix3(F.col("m")).isNotNull().alias("ok")).collect()}
     assert got == cases

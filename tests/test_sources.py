@@ -4,7 +4,9 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.samples import png, save_npz, track_payload
+from tests.samples import png, safetensors, save_npz, track_payload
+from trackloom import contracts as C
+from trackloom.operators import packages
 from trackloom.sources import archives, images, manifest, sinks
 
 
@@ -124,3 +126,76 @@ def test_sinks_round_trip(spark, tmp_path, rows):
     sinks.write_report(header, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
     assert sinks.shard_name(1, 4) == "manifest.shard-00001-of-00004.json"
+
+
+def scene_arrays(height=6, width=8):
+    """A consistent scene archive: left half observed, one completed column."""
+    a = {n: np.zeros((height, width), bool) for n in C.SCENE_MAP_ARRAYS}
+    a["content_mask"][:] = True
+    a["environment_mask"][:, :4] = True
+    a["environment_completion_mask"][:, 4] = True
+    a["environment_depthlab_mask"][:, 4:] = True
+    a["environment_dense_mask"] = a["environment_mask"] | a["environment_completion_mask"]
+    a["environment_completion_depth"] = np.where(a["environment_completion_mask"], 2.0, 0.0)
+    a["environment_depthlab_raw_depth"] = np.where(a["environment_depthlab_mask"], 2.0, 0.0)
+    a.update(
+        xyz=np.zeros((5, 3)), rgb=np.zeros((5, 3), np.uint8), source=np.array([0, 0, 1, 2, 2]), body_id=np.array([0, 0, 0, 1, 1]), intrinsic=np.eye(3),
+        extrinsic=np.eye(4)[:3], point_map_world=np.zeros((height, width, 3)), depth=np.ones((height, width)), confidence=np.ones((height, width)),
+        object_transform_world=np.eye(4), object_transform_camera=np.eye(4), collision_proxy_vertices=np.zeros((3, 3)), collision_proxy_faces=np.array([[0, 1, 2]]),
+        support_plane_valid=np.array(True), support_plane_index=np.array(0), support_plane_equation_world=np.array([0, 0, 1.0, 0]),
+        support_plane_distance_threshold=np.array(0.1), source_labels=np.array(["a"]), body_labels=np.array(["b"]),
+    )
+    return a
+
+
+def test_scene_packages_from_files(spark, tmp_path, rows):
+    bad = scene_arrays()
+    bad["environment_dense_mask"] = np.zeros_like(bad["environment_dense_mask"])
+    bad["collision_proxy_faces"] = np.array([[0, 1, 9]])
+    for name, arrays in (("01_good", scene_arrays()), ("02_bad", bad), ("03_empty", None)):
+        folder = tmp_path / name
+        folder.mkdir()
+        if arrays is None:
+            continue
+        save_npz(folder / "scene.npz", arrays)
+        (folder / C.COLLISION_PROXY).write_text("o")
+        (folder / "physics.json").write_text(json.dumps({"collision_proxy": C.COLLISION_PROXY}))
+        (folder / "report.json").write_text(json.dumps({"quality_gate": {"passed": True}}))
+        data = (folder / "scene.npz").read_bytes()
+        entry = {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
+        (folder / "scene_manifest.json").write_text(json.dumps({"schema": "acme.structured_scene_package.v1", "artifacts": {"scene.npz": entry}}))
+    root = str(tmp_path)
+    bundles, cloud, pixels = archives.read_scene_packages(spark, root)
+    named = pixels.withColumnsRenamed(
+        {"environment_mask": "observed", "environment_completion_mask": "completed", "environment_dense_mask": "dense", "environment_depthlab_mask": "hole",
+         "content_mask": "content", "reliable_environment_mask": "reliable"}
+    ).drop("depth").withColumnsRenamed({"environment_completion_depth": "depth", "environment_depthlab_raw_depth": "raw_depth"})
+    scenes = spark.createDataFrame([("01_good",), ("02_bad",), ("03_empty",)], "scene string")
+    names = [(f"{s}/{f}",) for s in ("01_good", "02_bad", "03_empty") for f in ("scene.npz", "report.json", "physics.json", C.COLLISION_PROXY)]
+    files = manifest.stat_artifacts(spark.createDataFrame(names, "path string"), root)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    documents = texts.select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("path"), F.try_parse_json("value").alias("doc")
+    )
+    errors, verdict = packages.audit_packages(scenes, bundles, files, documents, archives.read_scene_headers(spark, root), cloud, named)
+    assert rows(errors) == [
+        ("02_bad", "collision proxy face index is out of bounds"),
+        ("02_bad", "dense environment mask is not observed union completed"),
+        ("03_empty", "missing scene_manifest.json"),
+    ]
+    assert rows(verdict, "scene", "passed") == [("01_good", True), ("02_bad", False), ("03_empty", False)]
+    assert cloud.filter("scene = '01_good'").count() == 5
+
+
+def test_tensor_stats_and_dense_cells(spark, rows):
+    dense = np.zeros((18, 2, 3, 4), np.float32)
+    dense[6:12, 1, 0, 2] = (1, 1, 0.5, -0.5, 0.25, 1)
+    latent = safetensors({"latent": np.array([[1.0, np.inf]], np.float32)})
+    half = b"".join(x.tobytes() for x in (np.array([0x3F80, 0x4000], "<u2"),))
+    text = json.dumps({"latent": {"dtype": "BF16", "shape": [2], "data_offsets": [0, 4]}}).encode()
+    bf16 = len(text).to_bytes(8, "little") + text + half
+    files = spark.createDataFrame([("a", bytearray(latent)), ("b", bytearray(bf16)), ("c", bytearray(safetensors({"x": dense})))], "sample_id string, content binary")
+    stats = {r.sample_id: (r.shape, r.dtype, r.finite) for r in archives.read_tensor_stats(files, "latent").collect()}
+    assert stats == {"a": ([1, 2], "float32", False), "b": ([2], "bfloat16", True), "c": (None, None, False)}
+    maps = spark.createDataFrame([("d", bytearray(safetensors({"point_track_map": dense})))], "sample_id string, content binary")
+    assert rows(archives.read_dense_cells(maps), "slot", "frame", "cy", "cx", "dx", "dy") == [(1, 1, 0, 2, 0.5, -0.5)]

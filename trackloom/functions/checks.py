@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 
 NUMERIC = r"(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\([0-9, ]*\))"
 NUMERIC_ARRAY = f"^ARRAY<{NUMERIC}>$"
-NUMERIC_MATRIX = f"^ARRAY<ARRAY<{NUMERIC}>>$"
 
 
 def relative_path(path: Column) -> Column:
@@ -46,11 +45,14 @@ def vector_ok(variant: Column, path: str, length: int) -> Column:
     return F.coalesce(numeric & (F.size(values) == length) & F.forall(values, finite), F.lit(False))
 
 
-def matrix3(variant: Column, path: str) -> Column:
-    """A 3x3 JSON matrix of finite numbers, NULL when it is anything else."""
-    rows = F.try_variant_get(variant, path, "array<array<double>>")
-    shape = (F.size(rows) == 3) & F.forall(rows, lambda r: (F.size(r) == 3) & F.forall(r, finite))
-    return F.when(kind_at(variant, path).rlike(NUMERIC_MATRIX) & shape, rows)
+def finite_vector(values: Column, length: int) -> Column:
+    """A typed array of exactly ``length`` finite numbers."""
+    return F.coalesce((F.size(values) == length) & F.forall(values, finite), F.lit(False))
+
+
+def finite_matrix3(rows: Column) -> Column:
+    """A typed 3x3 matrix of finite numbers, NULL when it is anything else."""
+    return F.when((F.size(rows) == 3) & F.forall(rows, lambda r: finite_vector(r, 3)), rows)
 
 
 def variant_keys(variant: Column, path: str = "$") -> Column:

@@ -30,7 +30,8 @@ def index_within(
 
     ``segment`` must be non-decreasing along ``order`` (a day of a timestamp, an
     id divided by a block size, a hash prefix).  With no keys the numbering is
-    global and only the per-segment counts meet in one task.
+    global and only the per-segment counts meet in one task.  Keys and order columns
+    must not be NULL.
     """
     keys = list(keys)
     tagged = df.withColumn("_seg", segment)

@@ -33,7 +33,7 @@ def percentiles(
     names: Sequence[str],
     count: str | None = None,
 ) -> DataFrame:
-    """One row per key with exact linear-interpolated quantiles; NULLs are skipped.
+    """One row per (non-NULL) key with exact linear-interpolated quantiles; NULLs are skipped.
 
     ``count`` names an extra column with the number of values of the key.
     """

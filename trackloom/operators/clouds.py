@@ -62,10 +62,16 @@ def normals_and_materials(points: DataFrame, key: str = "scene") -> DataFrame:
 def robust_ranges(points: DataFrame, keys: Sequence[str], axes: Sequence[str], low: float, high: float, pad: float = 0.0) -> DataFrame:
     """Equal-aspect display ranges: quantile centre, widest half-range on every axis."""
     keys = list(keys)
-    out: DataFrame | None = None
+    # One row per axis value lets a single quantile pass serve all axes.
+    long = points.select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), G.d(a).alias("v")) for a in axes])).alias("_e")
+    ).select(*keys, "_e.axis", "_e.v")
+    q = percentiles(long, [*keys, "axis"], "v", [low, high], ["_l", "_h"])
+    edges = []
     for a in axes:
-        q = percentiles(points, keys, a, [low, high], [f"_{a}l", f"_{a}h"])
-        out = q if out is None else out.join(q, keys)
+        on = F.col("axis") == a
+        edges += [F.max(F.when(on, F.col("_l"))).alias(f"_{a}l"), F.max(F.when(on, F.col("_h"))).alias(f"_{a}h")]
+    out = q.groupBy(*keys).agg(*edges)
     radius = F.greatest(*[(F.col(f"_{a}h") - F.col(f"_{a}l")) / 2 for a in axes]) * (1.0 + pad)
     result = out.withColumn("_r", radius)
     ranges = []
@@ -321,11 +327,12 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
         children = reps.select(
             *[F.shiftright(f"k{i}", shift).alias(f"_u{i}") for i in range(3)], "k0", "k1", "k2", "rep"
         )
-        up = frontier.select("qid", "q0", "q1", "q2", "ub", *[F.col(f"k{i}").alias(f"_u{i}") for i in range(3)])
-        on = [f"_u{i}" for i in range(3)]
-        # The root round has 64 cells at most, so that side is small by construction.
-        children = F.broadcast(children) if parent == 0 else children
-        met = up.join(children, on)
+        if parent == 0:
+            # The first round has 64 cells at most, so they travel as a literal array.
+            met = frontier.drop("k0", "k1", "k2").withColumn("_c", F.explode(_literal_cells(reps.collect()))).select("*", "_c.*").drop("_c")
+        else:
+            up = frontier.select("qid", "q0", "q1", "q2", "ub", *[F.col(f"k{i}").alias(f"_u{i}") for i in range(3)])
+            met = up.join(children, [f"_u{i}" for i in range(3)])
         far = sum((F.pow(F.col(f"rep.p{i}") - F.col(f"q{i}"), F.lit(2.0)) for i in range(1, 3)), F.pow(F.col("rep.p0") - F.col("q0"), F.lit(2.0)))
         near = sum((F.pow(gap(i, level), F.lit(2.0)) for i in range(1, 3)), F.pow(gap(0, level), F.lit(2.0)))
         w = W.partitionBy("qid")
@@ -347,6 +354,14 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
     return best.select(F.col("qid").alias(query_id), F.col("_b.cid").alias(cloud_id), F.sqrt("_b._d").alias("distance"))
 
 
+def _literal_cells(rows) -> Column:
+    """Array literal of (k0, k1, k2, rep) structs."""
+    def point(r) -> Column:
+        return F.struct(*[F.lit(r["rep"][f"p{i}"]).alias(f"p{i}") for i in range(3)]).alias("rep")
+
+    return F.array(*[F.struct(*[F.lit(r[f"k{i}"]).alias(f"k{i}") for i in range(3)], point(r)) for r in rows])
+
+
 def components(mask: DataFrame, keys: Sequence[str], tile: int = 64, max_rounds: int = 40) -> DataFrame:
     """8-connected component label of every mask pixel (smallest pixel code inside it).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -193,7 +193,7 @@ def contact_coverage(contacts: DataFrame, colliders: DataFrame, parts: DataFrame
 def coverage_report(coverage: DataFrame) -> DataFrame:
     """Long roll-up (section, name, n): statuses, alias reasons, missing colliders.
 
-    Order by (section, n desc, name) for the reference listing.
+    Order by (section, n desc, name) to list it.
     """
     missing = F.col("status") == "not_represented_at_t0"
     entries = F.array_compact(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import checks as K
 from trackloom.functions import condition
-from trackloom.functions.ordered import even_positions, index_within
 from trackloom.operators import documents, manifests, records, selection, sweep
 from trackloom.plans.spec import query
 from trackloom.plans.tables import FRAMES_SQL, SWEEP_SQL, load, sweep_rows, user_frames
@@ -951,10 +950,8 @@ SELECT batch, rank, pair_id FROM draws JOIN pairs ON p = i % n""",
 def validation_draws(spark, folder):
     """Sixteen validation batches on four ranks over the ordered pairs."""
     pairs = load(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("2")).select(F.col("o_orderkey").alias("pair_id"))
-    numbered = index_within(pairs, [], ["pair_id"], F.floor(F.col("pair_id") / selection.ORDINAL_SEGMENT), "pair_index")
-    count = pairs.agg(F.count(F.lit(1)).alias("n"))
-    draws = spark.range(64).select(F.floor(F.col("id") / 4).alias("batch"), (F.col("id") % 4).alias("rank"), "id").join(F.broadcast(count))
-    return draws.withColumn("pair_index", F.pmod("id", F.col("n"))).join(numbered, "pair_index")
+    segment = F.floor(F.col("pair_id") / selection.ORDINAL_SEGMENT)
+    return selection.validation_draws(pairs, ["pair_id"], segment, pairs.count(), 16, 4)
 
 
 @query(

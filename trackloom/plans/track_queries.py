@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import condition, geometry as G
 from trackloom.operators import audit, clouds, raster, sequence
 from trackloom.plans.spec import query
-from trackloom.plans.tables import BLOCK, FRAMES, GRID_SQL, SIDE, TRACK_SQL, grid_points, load, track_initial, track_meta, track_points
+from trackloom.plans.tables import FRAMES, GRID_SQL, SIDE, TRACK_SQL, grid_points, load, track_initial, track_meta, track_points
 
 GRID, PREPROCESS = (8, 8), (32, 32)
 
