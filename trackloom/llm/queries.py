@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import quality
+from trackloom.llm import quality, toxicity
 from trackloom.llm.common import held_out, table
+from trackloom.session import cut_lineage
 
 #: Least score of a document that is kept.
 QUALITY_CUT = 0.3
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit_lexicon(docs, labels)
+    # the one scan of all texts is written down, for the curve and the result both need it
+    found = cut_lineage(docs.select("doc_id", toxicity.toxic_evidence(model).alias("_e")).select("doc_id", "_e.*"))
+    model = toxicity.calibrate(found, labels, model)
+    out = found.withColumn("score", toxicity.toxic_score(model))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "top_start", "top_end", "top_score")
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_from_tables(docs, table(spark, folder, "labels"))
@@ -21,7 +32,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality,)}
+    return {f.__name__: f for f in (op1_toxicity, op5_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
