@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import quality, toxicity
-from trackloom.llm.common import held_out, table
+from trackloom.llm import quality, secrets, toxicity
+from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage
 
 #: Least score of a document that is kept.
@@ -31,8 +31,22 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = secrets.fit_formats(docs)
+    found = docs.select("doc_id", secrets.secret_spans(model).alias("_s"))
+    of = lambda k: F.filter("_s", lambda s: s["kind"] == k)
+    base = F.filter("_s", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        *[F.size(of(i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])],
+        sha256_hex(secrets.joined(base)).alias("base_sha256"),
+        secrets.joined(F.col("_s")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op5_quality, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
