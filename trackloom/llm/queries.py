@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import quality, secrets, toxicity
+from trackloom.llm import pieces, quality, secrets, toxicity
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage
 
@@ -24,6 +24,19 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "top_start", "top_end", "top_score")
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", pieces.encoded("text").alias("_e"))
+    back = pieces.decoded(F.col("_e")["ids"])
+    return docs.select(
+        "doc_id",
+        F.size("_e.ids").cast("long").alias("n_pieces"),
+        F.col("_e.score").alias("score"),
+        F.col("_e.ids").alias("ids"),
+        F.col("_e.others").alias("others"),
+        (back == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_from_tables(docs, table(spark, folder, "labels"))
@@ -46,7 +59,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_quality, op9_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op5_quality, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
