@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import pieces, quality, secrets, toxicity
+from trackloom.llm import decontaminate, pieces, quality, secrets, toxicity
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage
 
@@ -58,8 +58,15 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op5_quality, op9_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op5_quality, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
