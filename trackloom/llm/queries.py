@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import decontaminate, pieces, quality, secrets, toxicity
+from trackloom.llm import decontaminate, pieces, quality, secrets, setsketch, toxicity
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage
 
@@ -37,6 +37,10 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, folder, "documents"), 0.85)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_from_tables(docs, table(spark, folder, "labels"))
@@ -66,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op5_quality, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op4_near_dedup, op5_quality, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
