@@ -10,6 +10,8 @@ from trackloom.session import cut_lineage
 
 #: Rows of one block of a group; a task holds at most two blocks.
 BLOCK = 256
+#: Id rows up to which a counted key table is broadcast (16 bytes each).
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +86,18 @@ def block_pairs(members: DataFrame, group: Sequence[str], member: str, block: in
     )
 
 
+def without(docs: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``docs`` whose ``on`` columns are not in ``gone``, a null id being equal to a null id.
+
+    The keys are counted first and broadcast up to ``BROADCAST_KEYS``, so that texts need not be
+    shuffled; beyond that it is a shuffled anti-join.
+    """
+    keys = cut_lineage(gone.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct())
+    few = keys.count() <= BROADCAST_KEYS
+    match = [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in on]
+    return docs.join(F.broadcast(keys) if few else keys, match, "left_anti")
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
