@@ -13,6 +13,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", stages.keep_good),
+    ("MinHash near-dedup", stages.keep_first_copies),
+    ("benchmark decontamination", stages.keep_clean),
+    ("secret scans", stages.redact_secrets),
+    ("SentencePiece encoding and decoding", stages.encode_pieces),
 ]
 
 #: The trained stages cannot be written in SQL; tests hold the rows against plain Python.
