@@ -124,8 +124,10 @@ def _count_links(threshold: float):
                 j = j[block[j] != block[i]]
             if not len(j):
                 continue
-            same = keys[j] == keys[i]
-            j = j[same.argmax(1) == key]  # pairs whose first common key is this one
+            for a in range(0, key, 4):  # only pairs whose first common key is this one
+                j = j[(keys[j, a : min(a + 4, key)] != keys[i, a : min(a + 4, key)]).all(1)]
+                if not len(j):
+                    break
             if not len(j):
                 continue
             j = j[(np.abs(h[j] - h[i]) <= half).sum(1) >= least]
