@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackloom.session import cut_lineage
@@ -98,6 +100,67 @@ def without(docs: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, match, "left_anti")
 
 
+def in_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each key, given as numpy columns; it returns output rows.
+
+    One shuffle by key and a sort that may spill; a task streams its partition and holds one group at a
+    time, so groups must be bounded. Unlike a grouped map, small groups cost no call of their own.
+    """
+    names = df.columns
+    order = [names.index(k) for k in keys]
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for c in batch.columns:
+            plain = pa.types.is_integer(c.type) or pa.types.is_floating(c.type)
+            if plain and not c.null_count:
+                out.append(c.to_numpy())
+            else:
+                out.append(np.empty(len(c), object))
+                out[-1][:] = c.to_pylist()
+        return out
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        last: tuple | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = columns(b)
+            change = np.zeros(b.num_rows, bool)
+            for k in order:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            change[0] = last is not None and tuple(cols[k][0] for k in order) != last
+            last = tuple(cols[k][-1] for k in order)
+            cuts = np.flatnonzero(change).tolist()
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
+                if a in cuts and held:
+                    yield [np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0]
+                    held = []
+                if z > a:
+                    held.append([c[a:z] for c in cols])
+        if held:
+            yield [np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for cols in groups(batches):
+            out += fn(dict(zip(names, cols)))
+            if len(out) >= 20_000:
+                yield _rows(out, wanted)
+                out = []
+        yield _rows(out, wanted)
+
+    wanted = [x.split() for x in schema.split(",")]
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _rows(rows: list[tuple], wanted: list[list[str]]) -> pa.RecordBatch:
+    """Rows of long columns."""
+    cols = list(zip(*rows)) if rows else [()] * len(wanted)
+    return pa.RecordBatch.from_arrays([pa.array([None if v is None else int(v) for v in c], pa.int64()) for c in cols], [n for n, _ in wanted])
+
+
 class Forest:
     """Union-find over 0..n-1."""
 

@@ -28,11 +28,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trackloom.llm.common import BLOCK, Forest, block_pairs, components
+from trackloom.llm.common import BLOCK, Forest, block_pairs, components, in_groups
 from trackloom.session import cut_lineage
 
 WORDS = 5
@@ -200,22 +199,26 @@ def _candidate_pairs(reg: np.ndarray, size: np.ndarray, allowed, floor: float) -
     return i[order], j[order], e[order]
 
 
-def _decode(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(p["reg"]), np.uint16).reshape(-1, REGISTERS), p["n_shingles"].to_numpy(np.float64)
+def _decode(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(p["reg"]), np.uint16).reshape(-1, REGISTERS), p["n_shingles"].astype(np.float64)
 
 
 def _bucket_forest(floor: float):
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates("cls").sort_values("cls", ignore_index=True)
+    def run(p: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.lexsort((p["block"], p["cls"]))  # a leader's own row goes before its row as a member
+        order = order[np.concatenate([[True], p["cls"][order][1:] != p["cls"][order][:-1]])]
+        if len(order) < 2:
+            return []
+        p = {k: v[order] for k, v in p.items()}
         reg, size = _decode(p)
-        cls, lead = p["cls"].to_numpy(), p["block"].to_numpy() == -1
+        cls, lead = p["cls"], p["block"] == -1
         i, j, _ = _candidate_pairs(reg, size, lambda i, j: np.ones(len(j), bool), floor)
-        forest = Forest(len(p))
+        forest = Forest(len(cls))
         edges = [(cls[a], cls[b]) for a, b in zip(i.tolist(), j.tolist()) if forest.union(a, b)]
         if lead.any():  # a block of a large bucket: tie what is left to the bucket's leader
             top = int(np.flatnonzero(lead)[0])
-            edges += [(cls[top], cls[a]) for a in range(len(p)) if forest.union(top, a)]
-        return pd.DataFrame(edges, columns=["u", "v"]).astype("int64")
+            edges += [(cls[top], cls[a]) for a in range(len(cls)) if forest.union(top, a)]
+        return edges
 
     return run
 
@@ -231,7 +234,7 @@ def _groups(classes: DataFrame, floor: float, rows: int) -> DataFrame:
         members.where("parts > 1 and cls = lead").select("band", "key", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("block"))
     )
     both = leaders.unionByName(dealt).join(classes.select("cls", "reg", "n_shingles"), "cls")
-    edges = both.groupBy("band", "key", "part").applyInPandas(_bucket_forest(floor), "u long, v long").distinct()
+    edges = in_groups(both, ["band", "key", "part"], _bucket_forest(floor), "u long, v long").distinct()
     return components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
 
@@ -239,21 +242,22 @@ def _confirm(threshold: float, floor: float):
     """Confirm pairs of one pair of blocks on their full sets; returns a spanning forest of true links."""
     percent = round(threshold * 100)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("cls", ignore_index=True)
+    def run(p: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.argsort(p["cls"])
+        p = {k: v[order] for k, v in p.items()}
         reg, size = _decode(p)
-        cls, comp, block = p["cls"].to_numpy(), p["comp"].to_numpy(), p["block"].to_numpy()
+        cls, comp, block = p["cls"], p["comp"], p["block"]
         across = block.min() != block.max()
-        forest = Forest(len(p))
+        forest = Forest(len(cls))
         first: dict[int, int] = {}
         for k, c in enumerate(comp.tolist()):
             forest.union(first.setdefault(c, k), k)
-        roots = np.array([forest.find(k) for k in range(len(p))])
+        roots = np.array([forest.find(k) for k in range(len(cls))])
         if len(set(roots.tolist())) == 1:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+            return []
         i, j, _ = _candidate_pairs(reg, size, lambda i, j: (roots[i] != roots[j]) & ((block[i] != block[j]) | (not across)), floor)
         sets: dict[int, np.ndarray] = {}
-        texts = p["text"].to_list()
+        texts = p["text"]
 
         def own(k: int) -> np.ndarray:
             if k not in sets:
@@ -268,7 +272,7 @@ def _confirm(threshold: float, floor: float):
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= percent * (len(x) + len(y) - both) and forest.union(a, b):
                 edges.append((cls[a], cls[b]))
-        return pd.DataFrame(edges, columns=["u", "v"]).astype("int64")
+        return edges
 
     return run
 
@@ -297,7 +301,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     schema = "u long, v long"
     dealt = block_pairs(members, ["grp"], "cls")
     # blocks on their own, and every block against the first
-    near = dealt.where("bi = bj or bi = 0").groupBy("grp", "bi", "bj").applyInPandas(_confirm(threshold, floor), schema)
+    near = in_groups(dealt.where("bi = bj or bi = 0"), ["grp", "bi", "bj"], _confirm(threshold, floor), schema)
     links = cut_lineage(near)
     members = _relabel(members, links)
     # the other pairs of blocks, unless all their members are in one component
@@ -305,7 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     split = rest.groupBy("grp", "bi", "bj").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp", "bi", "bj")
     split = cut_lineage(split)
     if split.limit(1).count():
-        more = block_pairs(members, ["grp"], "cls").join(split, ["grp", "bi", "bj"]).groupBy("grp", "bi", "bj").applyInPandas(_confirm(threshold, floor), schema)
+        more = in_groups(block_pairs(members, ["grp"], "cls").join(split, ["grp", "bi", "bj"]), ["grp", "bi", "bj"], _confirm(threshold, floor), schema)
         links = cut_lineage(links.union(more))
     found = components(links).select(F.col("node").alias("cls"), "component")
     named = classes.select("k1", "k2", "cls").join(found, "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("_c"))

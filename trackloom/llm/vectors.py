@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trackloom.llm.common import Forest, block_pairs, components
+from trackloom.llm.common import Forest, block_pairs, components, in_groups
 from trackloom.session import cut_lineage
 
 KEYS, LINES = 32, 8
@@ -104,20 +103,21 @@ def _count_links(threshold: float):
     half, _ = window_of(threshold)
     least = least_collisions()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("cls", ignore_index=True)
-        key = int(p["slot"].iloc[0])
-        x = np.frombuffer(b"".join(p["unit"]), np.float64).reshape(len(p), -1)
-        keys = np.frombuffer(b"".join(p["keys"]), np.uint32).reshape(len(p), KEYS)
-        cls, weight, block = (p[c].to_numpy() for c in ("cls", "weight", "block"))
+    def run(p: dict[str, np.ndarray]) -> list[tuple]:
+        key = int(p["slot"][0])
+        cls, weight, block = p["cls"], p["weight"], p["block"]
+        if len(cls) < 2:
+            return []
+        x = np.frombuffer(b"".join(p["unit"]), np.float64).reshape(len(cls), -1)
+        keys = np.frombuffer(b"".join(p["keys"]), np.uint32).reshape(len(cls), KEYS)
         across = block.min() != block.max()
         h = x @ _lines(x.shape[1])[0][:, :COUNTED]
         order = np.argsort(h[:, 0], kind="stable")
         sorted_line = h[order, 0]
         # one line alone must not decide: its window is 6 standard deviations wide on either side
         stop = np.searchsorted(sorted_line, sorted_line + 3 * half, side="right")
-        links = np.zeros(len(p), np.int64)
-        forest, edges = Forest(len(p)), []
+        links = np.zeros(len(cls), np.int64)
+        forest, edges = Forest(len(cls)), []
         for place, i in enumerate(order.tolist()):
             j = order[place + 1 : stop[place]]
             if across:
@@ -137,8 +137,7 @@ def _count_links(threshold: float):
                 links[j] += weight[i]
                 edges += [(cls[i], cls[k], 0) for k in j.tolist() if forest.union(i, k)]
         got = np.flatnonzero(links)
-        rows = [*edges, *zip(cls[got], [None] * len(got), links[got])]
-        return pd.DataFrame(rows, columns=["u", "v", "n"]).astype({"u": "int64", "v": "Int64", "n": "int64"})
+        return [*edges, *zip(cls[got], [None] * len(got), links[got])]
 
     return run
 
@@ -156,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     met = classes.select("label", F.octet_length("unit").alias("dim"), "cls", F.posexplode(F.arrow_udf(_keys, "array<long>")("keys")).alias("slot", "key"))
     bucket = ["label", "dim", "slot", "key"]
     members = block_pairs(met, bucket, "cls", BLOCK).join(classes.select("cls", "weight", "unit", "keys"), "cls")
-    found = cut_lineage(members.groupBy(*bucket, "bi", "bj").applyInPandas(_count_links(threshold), "u long, v long, n long"))
+    found = cut_lineage(in_groups(members, [*bucket, "bi", "bj"], _count_links(threshold), "u long, v long, n long"))
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
     comps = components(found.where("v is not null").select("u", "v"))
     named = (
