@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import chat, decontaminate, pieces, quality, secrets, setsketch, toxicity, vectors
+from trackloom.llm import chat, decontaminate, pieces, quality, secrets, setsketch, toxicity, vectors, warc
 from trackloom.llm.common import held_out, sha256_hex, table
-from trackloom.session import cut_lineage
+from trackloom.session import cut_lineage, shared_folder
 
 #: Least score of a document that is kept.
 QUALITY_CUT = 0.3
@@ -37,6 +37,26 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    store = shared_folder(spark, "warc")
+    manifest = warc.write_archives(table(spark, folder, "pages"), store)
+    return warc.read_archives(manifest, store).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (
+  SELECT *, sha1(body) AS hex, min(page_id) OVER (PARTITION BY sha256(body)) AS first_id,
+    row_number() OVER (PARTITION BY sha256(body), page_id ORDER BY url) AS k FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+      ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1), '' ORDER BY i) FROM range(32) t(i)) AS payload_digest,
+  CASE WHEN page_id = first_id AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id AND k = 1 THEN NULL ELSE first_id END AS refers_to, url, true AS intact
+FROM d
+"""
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents"), 0.85)
 
@@ -123,8 +143,8 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op4_near_dedup, op5_quality, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_vectors": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL}
