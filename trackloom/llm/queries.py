@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import chat, decontaminate, pieces, quality, secrets, setsketch, toxicity, vectors, warc
+from trackloom.llm import chat, decontaminate, pages, pieces, quality, secrets, setsketch, toxicity, vectors, warc
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage, shared_folder
 
@@ -68,6 +68,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "pages")
+    out = rows.select("page_id", "url", pages.main_text(pages.fit_labeller(rows)).alias("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"), 0.98)
 
@@ -143,7 +149,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
