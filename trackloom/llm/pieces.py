@@ -40,9 +40,11 @@ MARK = "▁"
 CHUNK = re.compile(r" *(?:[^\W\d_]+|(?:[^\w ]|[\d_])+)| +")
 BY_SPACE = re.compile(r" *[^ ]+| +")
 #: Chunks that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters of the texts that are encoded together.
-GROUP = 2_000_000
+GROUP = 1_000_000
+#: Chunks of one forward pass; bounds its working arrays (some 50 MB).
+AT_ONCE = 20_000
 #: Fixed odd multipliers of the string hash and its spread over 2**_SLOTS chains.
 _MULTIPLIER, _SPREAD, _SLOTS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 19
 
@@ -300,8 +302,9 @@ class Lattice:
         if len(self.known) + len(fresh) > REMEMBERED and self.known:
             self.forget()
             fresh = set(chain.from_iterable(parts))
-        if fresh:
-            self.learn(sorted(fresh))
+        new = sorted(fresh)
+        for a in range(0, len(new), AT_ONCE):
+            self.learn(new[a : a + AT_ONCE])
         get = self.known.__getitem__
         for own in parts:
             if not own:
