@@ -193,6 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positives: int, max_un
     Positives are rows labelled 1; unlabelled rows are those without a label. The sample takes the rows
     of least id hash, by a top-k in every task and then over all.
     """
+    docs = docs.select("doc_id", "text")
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
     marked = ids.join(good, "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit("quality")))

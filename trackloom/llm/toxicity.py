@@ -173,6 +173,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 15_000, max_
     documents. The sample's ids (at most 30,000 rows of 12 bytes) are broadcast; the lexicon, a model
     parameter, has at most ``max_features`` entries.
     """
+    docs = docs.select("doc_id", "text")
     sample = spread_copies(docs, labelled_sample(docs, labels, max_rows))
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int"), "weight")
     counted = rows.mapInArrow(_count_features, "feature string, toxic double, clean double").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
