@@ -39,7 +39,7 @@ REGISTERS = 132
 #: Base of the registers' logarithm, their rate and their largest value: sets of up to 1e12 shingles.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Shingles hashed at a time.
-STEP = 2048
+STEP = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,10 +93,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     seeds = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     for a in range(0, len(seeds), STEP):
-        x = (seeds[a : a + STEP] ^ _SALT[:, None]) * _FACTOR[:, None]
+        x = seeds[a : a + STEP] ^ _SALT[:, None]
+        x *= _FACTOR[:, None]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
-        x ^= x >> np.uint32(13)
         np.minimum(low, x.min(axis=1), out=low)
     smallest = -np.log1p(-(low.astype(np.float64) + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(smallest) / math.log(BASE)), 0, TOP).astype(np.uint16)
@@ -178,25 +178,31 @@ def _estimates(reg: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray)
     return joint_similarity((a > b).sum(1).astype(float), (a < b).sum(1).astype(float), size[i], size[j])
 
 
-def _candidate_pairs(reg: np.ndarray, size: np.ndarray, allowed, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows that may qualify, most similar first. One row against all others at a time."""
-    out = []
+def _candidate_pairs(reg: np.ndarray, size: np.ndarray, allowed, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows that may qualify, most similar first.
+
+    The share of equal registers settles the clear cases; the others get the joint estimate, all at once.
+    """
+    first, second, shares = [], [], []
     for i in range(len(reg) - 1):
         j = np.arange(i + 1, len(reg))
-        ratio = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j])
-        keep = (ratio >= floor) & allowed(i, j)
-        j = j[keep]
-        if len(j):
-            j = j[(reg[i] == reg[j]).sum(1) >= (floor - 0.1) * REGISTERS]
+        j = j[(np.minimum(size[i], size[j]) >= floor * np.maximum(size[i], size[j])) & allowed(i, j)]
         if len(j):
-            e = _estimates(reg, size, np.full(len(j), i), j)
-            out.append((np.full((e >= floor).sum(), i), j[e >= floor], e[e >= floor]))
-    if not out:
+            share = (reg[i] == reg[j]).sum(1) / REGISTERS
+            near = share >= floor - 0.1
+            first.append(np.full(near.sum(), i))
+            second.append(j[near])
+            shares.append(share[near])
+    if not first:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0)
-    i, j, e = map(np.concatenate, zip(*out))
-    order = np.lexsort((j, i, -e))
-    return i[order], j[order], e[order]
+        return z, z
+    i, j, e = map(np.concatenate, (first, second, shares))
+    open_ = np.flatnonzero(e < floor + 0.1)
+    if len(open_):
+        e[open_] = _estimates(reg, size, i[open_], j[open_])
+    keep = np.flatnonzero(e >= floor)
+    order = keep[np.lexsort((j[keep], i[keep], -e[keep]))]
+    return i[order], j[order]
 
 
 def _decode(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +218,7 @@ def _bucket_forest(floor: float):
         p = {k: v[order] for k, v in p.items()}
         reg, size = _decode(p)
         cls, lead = p["cls"], p["block"] == -1
-        i, j, _ = _candidate_pairs(reg, size, lambda i, j: np.ones(len(j), bool), floor)
+        i, j = _candidate_pairs(reg, size, lambda i, j: np.ones(len(j), bool), floor)
         forest = Forest(len(cls))
         edges = [(cls[a], cls[b]) for a, b in zip(i.tolist(), j.tolist()) if forest.union(a, b)]
         if lead.any():  # a block of a large bucket: tie what is left to the bucket's leader
@@ -226,7 +232,10 @@ def _bucket_forest(floor: float):
 def _groups(classes: DataFrame, floor: float, rows: int) -> DataFrame:
     """(cls, grp): classes that may be linked, over one or more steps, by qualifying pairs."""
     bands = classes.select("cls", F.posexplode(_bands(rows)("reg")).alias("band", "key"))
-    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lead")).where("n > 1")
+    same = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lead"), *same).where("n > 1")
+    # buckets of the same members, as near copies have in most bands, are looked at once
+    sizes = sizes.groupBy("n", "lead", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("_b")).select("_b.*", "n", "lead")
     members = cut_lineage(bands.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
     # a class that is in a bucket of several blocks brings its leader along to each of them
     dealt = members.select("band", "key", "cls", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("cls"), F.col("parts"))).otherwise(0).cast("int").alias("part"), F.lit(0).alias("block"))
@@ -255,7 +264,7 @@ def _confirm(threshold: float, floor: float):
         roots = np.array([forest.find(k) for k in range(len(cls))])
         if len(set(roots.tolist())) == 1:
             return []
-        i, j, _ = _candidate_pairs(reg, size, lambda i, j: (roots[i] != roots[j]) & ((block[i] != block[j]) | (not across)), floor)
+        i, j = _candidate_pairs(reg, size, lambda i, j: (roots[i] != roots[j]) & ((block[i] != block[j]) | (not across)), floor)
         sets: dict[int, np.ndarray] = {}
         texts = p["text"]
 
