@@ -367,23 +367,29 @@ def lattice(path: str, n_best: int) -> Lattice:
 
 EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 OTHER = pa.struct([("loss", pa.float64()), ("edits", pa.list_(EDIT))])
-ENCODED = "struct<ids:array<int>,score:double,others:array<struct<loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>"
+ENCODED = "struct<ids:array<int>,score:double,round_trip:boolean,others:array<struct<loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>"
 
 
 def encoded(text: Column | str = "text", n_best: int = 4, path: str = VOCABULARY) -> Column:
-    """ids and score of the best segmentation, and the next ones as edits of it with their loss of score."""
+    """ids and score of the best segmentation, and the next ones as edits of it with their loss of score.
+
+    ``round_trip`` tells whether decoding the ids gave back the text; it is done beside the encoding,
+    for a second Python step would double the worker processes of a task.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         tool = lattice(path, n_best)
-        flat, ends, scores, others = [], [0], [], []
-        for ids, score, rest in tool.encode_many(texts.to_pylist()):
+        flat, ends, scores, same, others = [], [0], [], [], []
+        rows = texts.to_pylist()
+        for text, (ids, score, rest) in zip(rows, tool.encode_many(rows)):
             flat.append(ids)
+            same.append(tool.decode(ids.tolist()) == (text or ""))
             ends.append(ends[-1] + len(ids))
             scores.append(score)
             others.append([{"loss": loss, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for loss, edits in rest])
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(others, pa.list_(OTHER))], ["ids", "score", "others"])
+        return pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_()), pa.array(others, pa.list_(OTHER))], ["ids", "score", "round_trip", "others"])
 
     return F.arrow_udf(run, ENCODED)(F.col(text) if isinstance(text, str) else text)
 

@@ -26,14 +26,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", pieces.encoded("text").alias("_e"))
-    back = pieces.decoded(F.col("_e")["ids"])
     return docs.select(
         "doc_id",
         F.size("_e.ids").cast("long").alias("n_pieces"),
         F.col("_e.score").alias("score"),
         F.col("_e.ids").alias("ids"),
         F.col("_e.others").alias("others"),
-        (back == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.col("_e.round_trip").alias("round_trip"),
     )
 
 
