@@ -63,7 +63,6 @@ def test_percentiles_are_exact(spark, monkeypatch, sketch):
     if sketch:  # force the bracket path on small data
         monkeypatch.setattr(quantiles, "ACCURACY", 100)
         monkeypatch.setattr(quantiles, "MARGIN", 0.03)
-        monkeypatch.setattr(quantiles, "SMALL_GROUP", 200)
     data, df = skewed(spark)
     probs = [0.95, 0.0, 0.5, 0.005, 1.0, 0.15]
     names = [f"p{i}" for i in range(len(probs))]

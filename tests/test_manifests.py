@@ -103,9 +103,9 @@ def test_audit_cache_reports_every_defect(spark, rows):
     files = spark.createDataFrame([("la", 1, "1"), ("t", 1, "2"), ("ka", 1, "3"), ("pa", 1, "4"), ("f", 1, "5"), ("s", 1, "6"), ("v", 1, "7"), ("pb", 1, "4")], "path string, bytes long, sha256 string")
     found = rows(manifests.audit_cache(records, source, tracks, files), "sample_id", "message")
     assert found == sorted(
-        [("a", "latent path is reused: la"), ("b", "latent path is reused: la"), ("b", "cached source record changed"), ("b", "first frame file/hash mismatch"),
-         ("b", "point-track file/hash mismatch"), ("b", "point-track object binding mismatch"), ("b", "point-track object count mismatch"),
-         ("b", "point trajectory binding mismatch")]
+        [("a", "latent.shared: la"), ("b", "latent.shared: la"), ("b", "record.changed"), ("b", "artifact: first_frame"),
+         ("b", "artifact: track"), ("b", "track.objects"), ("b", "track.count"),
+         ("b", "trajectory.path")]
     )
 
 

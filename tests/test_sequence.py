@@ -61,29 +61,27 @@ def test_latent_windows(spark):
     assert got == {0: 2.0, 1: 0.5, 2: 1.0}
 
 
-def reference_track(frames, seed):
-    """Plain loop over one video; frames is a list of candidate lists (cx, cy, area)."""
-    centres, areas = [], []
-    for candidates in frames:
-        seen = [c for c in centres if c is not None]
-        if seen:
-            target, gate, known = seen[-1].copy(), 150.0, areas[-1]
-            if len(seen) > 1:
-                target = target + (seen[-1] - seen[-2])
+def expected_track(frames, seed):
+    """The definition on arrays: predict from the last two found centres, gate, take the least cost."""
+    found, out = [], []
+    for listed in frames:
+        table = np.array(listed, np.float64).reshape(-1, 3)
+        centres, sizes = table[:, :2].astype(np.float32), table[:, 2]
+        if found:
+            expected, radius = 2 * found[-1] - found[-2] if len(found) > 1 else found[-1], 150.0
         else:
-            target, gate, known = np.array(seed, np.float32), 160.0, 0.0
-        best = None
-        for cx, cy, area in candidates:
-            c = np.array([cx, cy], np.float32)
-            distance = float(np.linalg.norm(c - target))
-            if distance > gate:
-                continue
-            cost = distance + (3.0 * abs(np.log(max(area, 1) / max(known, 1))) if known > 0 else 0)
-            if best is None or cost < best[0]:
-                best = (cost, c, area)
-        centres.append(None if best is None else best[1])
-        areas.append(0.0 if best is None else best[2])
-    return centres, areas
+            expected, radius = np.array(seed, np.float32), 160.0
+        away = np.linalg.norm(centres - expected, axis=1).astype(np.float64)
+        last_size = out[-1][1] if out else 0.0
+        growth = 3.0 * np.abs(np.log(np.maximum(sizes, 1) / max(last_size, 1))) if last_size > 0 else 0.0
+        cost = np.where(away <= radius, away + growth, np.inf)
+        if len(cost) and np.isfinite(cost.min()):
+            k = int(cost.argmin())
+            found.append(centres[k])
+            out.append((centres[k], sizes[k]))
+        else:
+            out.append((None, 0.0))
+    return [c for c, _ in out], [a for _, a in out]
 
 
 def candidate_rows(seed, videos=6, frames=40):
@@ -98,7 +96,7 @@ def candidate_rows(seed, videos=6, frames=40):
             if not found:
                 rows.append((f"v{v}", t, 0, None, None, 0.0))
             rows += [(f"v{v}", t, i, *map(float, c)) for i, c in enumerate(found)]
-        want[f"v{v}"] = reference_track(listed, (100.0, 60.0))
+        want[f"v{v}"] = expected_track(listed, (100.0, 60.0))
     return rows, want
 
 

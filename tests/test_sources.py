@@ -179,9 +179,9 @@ def test_scene_packages_from_files(spark, tmp_path, rows):
     )
     errors, verdict = packages.audit_packages(scenes, bundles, files, documents, archives.read_scene_headers(spark, root), cloud, named)
     assert rows(errors) == [
-        ("02_bad", "collision proxy face index is out of bounds"),
-        ("02_bad", "dense environment mask is not observed union completed"),
-        ("03_empty", "missing scene_manifest.json"),
+        ("02_bad", "mask.dense_is_not_union"),
+        ("02_bad", "range: collision_proxy_faces"),
+        ("03_empty", "manifest.absent"),
     ]
     assert rows(verdict, "scene", "passed") == [("01_good", True), ("02_bad", False), ("03_empty", False)]
     assert cloud.filter("scene = '01_good'").count() == 5

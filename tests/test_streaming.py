@@ -42,7 +42,7 @@ def test_best_so_far(spark, tmp_path, rows):
         write(spark.createDataFrame(data, schema), batch)
         write(spark.createDataFrame(data, schema), batch)  # a replay changes nothing
     got = rows(spark.read.parquet(str(tmp_path / "best")), "mode", "total", "step", "batch")
-    assert got == [("a", 1.0, 5, 2), ("a", 4.0, 2, 0), ("b", 9.0, 4, 1)]
+    assert got == [("a", 1.0, 5, 2), ("a", 4.0, 2, 0), ("a", 5.0, 1, 0), ("b", 9.0, 4, 1)]
 
 
 def test_tracker_stream_equals_loop(spark, tmp_path):

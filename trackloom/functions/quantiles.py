@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # The sketch is off by at most 1/ACCURACY of the rows, half the bracket margin.
 ACCURACY = 100_000
 MARGIN = 2.0 / ACCURACY
-# Groups up to this size are ranked whole; above it the margin is >= 10 rows.
-SMALL_GROUP = 1_000_000
 
 
 def bounded_percentiles(value: str | Column, probs: Sequence[float]) -> Column:
@@ -48,31 +46,34 @@ def percentiles(
         F.percentile_approx("_v", lows + highs, ACCURACY).alias("_b"),
     )
     k = len(ranked)
-    small = F.col("_n") <= SMALL_GROUP
     keyed = _join(rows, stats, keys)
     # Number of brackets that end below the value, and whether the value is inside the next one.
     below = sum(
-        (F.when(~small & (F.col("_b")[k + i] < F.col("_v")), 1).otherwise(0) for i in range(k)),
+        (F.when(F.col("_b")[k + i] < F.col("_v"), 1).otherwise(0) for i in range(k)),
         F.lit(0),
     )
-    inside = F.when(small, True)
+    inside = F.lit(False)
     for i in range(k):
-        inside = inside.when(
-            (F.col("_b")[i] <= F.col("_v")) & (F.col("_v") <= F.col("_b")[k + i]), True
-        )
-    keyed = keyed.withColumn("_in", inside.otherwise(False)).withColumn(
+        inside = inside | ((F.col("_b")[i] <= F.col("_v")) & (F.col("_v") <= F.col("_b")[k + i]))
+    keyed = keyed.withColumn("_in", inside).withColumn(
         "_zone", below * 2 + F.col("_in").cast("int")
     )
     counted = keyed.groupBy(
         *keys, "_n", "_zone", F.when(F.col("_in"), F.col("_v")).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_c"))
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = W.partitionBy(*keys).orderBy("_zone", "_v").rowsBetween(W.unboundedPreceding, 0)
     cumulative = counted.withColumn("_cum", F.sum("_c").over(w))
     picks = []
+
+    def value_at(rank: Column) -> Column:
+        # A rank just outside its bracket is the first or last value of the counted zone beside it.
+        start = F.col("_cum") - F.col("_c")
+        return F.min(F.when((start <= rank) & (rank < F.col("_cum")), F.when(rank == start, F.col("_lo")).otherwise(F.col("_hi"))))
+
     for i, p in enumerate(ranked):
         rank = F.lit(p) * (F.col("_n") - 1)
-        picks.append(F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_v"))).alias(f"_l{i}"))
-        picks.append(F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_v"))).alias(f"_h{i}"))
+        picks.append(value_at(F.floor(rank)).alias(f"_l{i}"))
+        picks.append(value_at(F.ceil(rank)).alias(f"_h{i}"))
     picked = cumulative.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
     out = []
     for i, original in enumerate(order):

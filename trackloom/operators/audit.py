@@ -132,17 +132,25 @@ CHECKS = (
 
 
 def roundtrip_audit(samples: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
-    """(sample_id, failures ARRAY, passed) over every check whose metric is present.
+    """(sample_id, failures ARRAY, skipped ARRAY, passed) over all checks.
 
-    ``parts`` are per-sample metric tables; all joins are on the sample.
+    ``parts`` are per-sample metric tables; all joins are on the sample. A check whose metric no
+    part brings is listed as skipped, and a sample with skipped checks does not pass.
     """
     out = samples.select("sample_id")
     for part in parts:
         out = out.join(part, "sample_id", "left")
     tests: list[Column] = []
+    skipped = [name for name, metric, _, _ in CHECKS if metric not in out.columns]
     for name, metric, relation, limit in CHECKS:
-        if metric in out.columns:
+        if name not in skipped:
             value = F.col(metric)
             ok = value if relation == "true" else {"<": value < limit, "<=": value <= limit, ">=": value >= limit}[relation]
             tests.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)))
-    return out.withColumn("failures", F.array_compact(F.array(*tests))).withColumn("passed", F.size("failures") == 0)
+    return out.withColumns(
+        {
+            "failures": F.array_compact(F.array(*tests)),
+            "skipped": F.array(*[F.lit(name) for name in skipped]).cast("array<string>"),
+            "passed": (F.size(F.array_compact(F.array(*tests))) == 0) & F.lit(not skipped),
+        }
+    )

@@ -274,7 +274,8 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
 
     A level-by-level descent of an implicit octree.  Each level keeps, per query, only
     the cells that can still hold something nearer than the best representative seen,
-    so neither a dense cell nor the whole cloud is ever paired with a query.  Equal
+    so neither a dense cell nor the whole cloud is ever paired with a query.  A query
+    with a NULL or NaN coordinate, or an empty cloud, gives NULL id and distance.  Equal
     coordinates collapse to their smallest id first; ties go to the smaller id.  The
     tree is deep enough that its fullest leaf holds at most ``LEAF_POINTS`` points.
     """
@@ -288,7 +289,7 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
         F.count(F.lit(1)).alias("n"), *[F.min(f"p{i}").alias(f"lo{i}") for i in range(3)], *[F.max(f"p{i}").alias(f"hi{i}") for i in range(3)]
     ).first()
     if not stats["n"]:
-        return q_pts.select(F.col("qid").alias(query_id), F.lit(None).alias(cloud_id), F.lit(None).cast("double").alias("distance")).limit(0)
+        return q_pts.select(F.col("qid").alias(query_id), F.lit(None).cast(cloud.schema[cloud_id].dataType).alias(cloud_id), F.lit(None).cast("double").alias("distance"))
     low = [stats[f"lo{i}"] for i in range(3)]
     side = max(max(stats[f"hi{i}"] - low[i] for i in range(3)), 1e-12) * (1 + 1e-9)
 
@@ -315,7 +316,10 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
     schedule = list(range(min(2, levels), levels + 1, 2))
     if schedule[-1] != levels:
         schedule.append(levels)
-    frontier = q_pts.withColumn("ub", F.lit(float("inf")))
+    placed = F.lit(True)
+    for i in range(3):
+        placed = placed & F.col(f"q{i}").isNotNull() & ~F.isnan(f"q{i}")
+    frontier = q_pts.filter(placed).withColumn("ub", F.lit(float("inf")))
     for i in range(3):
         frontier = frontier.withColumn(f"k{i}", F.lit(0))
     parent = 0
@@ -351,7 +355,10 @@ def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str,
         .groupBy("qid")
         .agg(F.min(F.struct("_d", "cid")).alias("_b"))
     )
-    return best.select(F.col("qid").alias(query_id), F.col("_b.cid").alias(cloud_id), F.sqrt("_b._d").alias("distance"))
+    # a query without a place (NULL or NaN coordinate) met no cell and has no nearest point
+    met_any = best.withColumnRenamed("qid", "_q")
+    every = q_pts.select("qid").distinct().join(met_any, F.col("qid") == F.col("_q"), "left")
+    return every.select(F.col("qid").alias(query_id), F.col("_b.cid").alias(cloud_id), F.sqrt("_b._d").alias("distance"))
 
 
 def _literal_cells(rows) -> Column:

@@ -7,23 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from trackloom import contracts as C
+from trackloom.session import cut_lineage
 
 
 def forbidden_keys(docs: DataFrame, keys: Sequence[str], key: str = "doc_id", raw: str = "raw") -> DataFrame:
-    """Denied keys met anywhere in a JSON document, at any nesting.
+    """Denied keys met anywhere in a JSON document, at any nesting; (key, NULL) if a document is no JSON.
 
-    Every object key is followed by a colon outside of string values.  Strings that
-    are not keys are removed first, so one JVM expression walks the whole document
-    without a level-by-level loop.
+    The parsed document is walked one level of nesting at a time, all documents together: a level
+    explodes every object and array into its fields and elements, keeps the denied names, and hands
+    containers on. There are as many rounds as the deepest document has levels.
     """
-    # A string literal followed by a colon is a key; what remains are values.
-    found = F.regexp_extract_all(F.col(raw), F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?'), 0)
-    names = F.transform(
-        F.filter(found, lambda s: s.rlike(r":$")),
-        lambda s: F.regexp_extract(s, r'^"((?:[^"\\]|\\.)*)"\s*:$', 1),
-    )
-    hits = F.array_sort(F.array_intersect(F.array_distinct(names), F.array(*[F.lit(k) for k in keys])))
-    return docs.select(key, F.explode(hits).alias("key"))
+    parsed = docs.select(F.col(key).alias("_id"), F.try_parse_json(raw).alias("_v"), F.col(raw).isNotNull().alias("_some"))
+    broken = parsed.filter("_some and _v is null").select("_id", F.lit(None).cast("string").alias("_name"))
+    spark = docs.sparkSession
+    level = parsed.filter("_v is not null").select("_id", "_v")
+    found = cut_lineage(broken)
+    while True:
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_id", F.col("key").alias("_name"), F.col("value").alias("_v"))
+        inside = cut_lineage(inside.filter("_v is not null"))
+        found = found.union(inside.filter(F.col("_name").isin(*keys)).select("_id", "_name"))
+        level = inside.filter(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).select("_id", "_v")
+        if not level.limit(1).count():
+            break
+    return found.distinct().select(F.col("_id").alias(key), F.col("_name").alias("key"))
 
 
 def scan_text(

@@ -384,34 +384,34 @@ def audit_cache(
         return df.select("sample_id", F.lit(rule).alias("rule_id"), text.alias("message"))
 
     parts = [
-        rows(duplicates_of(records, "sample_id"), "duplicate", "duplicate cache sample"),
+        rows(duplicates_of(records, "sample_id"), "duplicate", "record.repeated"),
         rows(
             changed_records(
-                records.select("sample_id", "record_json"),
-                source.select("sample_id", "record_json"),
+                records.select("sample_id", _parsed("record_json")),
+                source.select("sample_id", _parsed("record_json")),
                 "sample_id",
                 ["record_json"],
             ),
             "changed",
-            "cached source record changed",
+            "record.changed",
         ),
         rows(
             records.join(duplicates_of(records, "latent_path"), "latent_path", "left_semi"),
             "latent_reused",
-            F.concat(F.lit("latent path is reused: "), F.col("latent_path")),
+            F.concat(F.lit("latent.shared: "), F.col("latent_path")),
         ),
     ]
     bound = F.array(
         *[
             F.struct(F.lit(label).alias("label"), F.col(p).alias("path"), F.col(h).alias("sha256"), F.lit(None).cast("long").alias("bytes"))
             for label, p, h in (
-                ("first frame", "first_frame", "first_frame_sha256"),
-                ("scene condition", "scene", "scene_sha256"),
+                ("first_frame", "first_frame", "first_frame_sha256"),
+                ("scene", "scene", "scene_sha256"),
                 ("latent", "latent_path", "latent_sha256"),
                 ("text", "text_path", "text_sha256"),
-                ("point-track", "track_path", "track_sha256"),
-                ("source point trajectory", "source_point_trajectory", "source_point_trajectory_sha256"),
-                ("source video", "video", "video_sha256"),
+                ("track", "track_path", "track_sha256"),
+                ("trajectory", "source_point_trajectory", "source_point_trajectory_sha256"),
+                ("video", "video", "video_sha256"),
             )
         ]
     )
@@ -420,7 +420,7 @@ def audit_cache(
         rows(
             artifact_status(artifacts, files).filter("status <> 'ok'"),
             "artifact",
-            F.concat(F.col("label"), F.lit(" file/hash mismatch")),
+            F.concat(F.lit("artifact: "), F.col("label")),
         )
     )
     right = tracks.select(
@@ -434,13 +434,13 @@ def audit_cache(
     j = records.join(right, "sample_id", "left")
     conditions = F.array_compact(
         F.array(
-            F.when(F.col("_hit").isNull() | F.col("track_path").isNull(), F.lit("missing point-track record")),
-            F.when(~same("track_object_ids", "object_ids"), F.lit("point-track object binding mismatch")),
-            F.when(~same("track_object_count", F.size("object_ids")), F.lit("point-track object count mismatch")),
-            F.when(F.col("_hit") & ~same("_ids", "object_ids"), F.lit("point trajectory object binding mismatch")),
-            F.when(F.col("_hit") & ~same("_n", F.size("object_ids")), F.lit("point trajectory object count mismatch")),
-            F.when(F.col("_hit") & ~same("source_point_trajectory", "_p"), F.lit("point trajectory binding mismatch")),
-            F.when(F.col("_hit") & ~same("source_point_trajectory_sha256", "_h"), F.lit("point trajectory hash binding mismatch")),
+            F.when(F.col("_hit").isNull() | F.col("track_path").isNull(), F.lit("track.absent")),
+            F.when(~same("track_object_ids", "object_ids"), F.lit("track.objects")),
+            F.when(~same("track_object_count", F.size("object_ids")), F.lit("track.count")),
+            F.when(F.col("_hit") & ~same("_ids", "object_ids"), F.lit("trajectory.objects")),
+            F.when(F.col("_hit") & ~same("_n", F.size("object_ids")), F.lit("trajectory.count")),
+            F.when(F.col("_hit") & ~same("source_point_trajectory", "_p"), F.lit("trajectory.path")),
+            F.when(F.col("_hit") & ~same("source_point_trajectory_sha256", "_h"), F.lit("trajectory.sha256")),
         )
     )
     parts.append(
@@ -452,7 +452,7 @@ def audit_cache(
         parts.append(rows(record_violations, "record", F.col("message")))
     if tensor_stats is not None:
         bad = tensor_stats.filter(~F.col("shape_ok") | ~F.col("values_ok"))
-        parts.append(rows(bad, "tensor", F.when(~F.col("shape_ok"), F.lit("shape mismatch")).otherwise(F.lit("invalid values"))))
+        parts.append(rows(bad, "tensor", F.when(~F.col("shape_ok"), F.lit("tensor.shape")).otherwise(F.lit("tensor.values"))))
     if cell_violations is not None:
         parts.append(rows(cell_violations, "cells", F.col("message")))
     out = parts[0]
@@ -461,6 +461,11 @@ def audit_cache(
     return out
 
 
+def _parsed(column: str) -> Column:
+    """A JSON text in one spelling: parsed, keys in order, no spaces; what does not parse stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column)).alias(column)
+
+
 def duplicates_of(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 

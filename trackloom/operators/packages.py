@@ -8,18 +8,11 @@ from trackloom import contracts as C
 from trackloom.functions import checks as K
 from trackloom.operators.masks import mask_algebra
 
-MASK_MESSAGES = {
-    "completion_replaces_observed": "completion replaces observed environment pixels",
-    "dense_is_not_union": "dense environment mask is not observed union completed",
-    "dense_outside_content": "dense environment includes preprocessing padding",
-    "hole_outside_content": "completion mask includes preprocessing padding",
-    "completion_outside_hole": "environment completion escapes the completion mask",
-    "reliable_not_observed": "reliable environment is not a subset of observed environment",
-    "completed_depth_not_positive": "completed environment depth must be finite and positive",
-    "depth_outside_completion": "completion depth is nonzero outside the completion mask",
-    "raw_depth_in_padding": "raw depth is nonzero in preprocessing padding",
-    "raw_depth_not_positive": "masked raw depth must be finite and positive",
-}
+#: Counts of ``mask_algebra`` that make a scene fail; the rule id is ``mask.<count>``.
+MASK_RULES = (
+    "completion_replaces_observed", "completed_depth_not_positive", "completion_outside_hole", "dense_is_not_union", "dense_outside_content",
+    "depth_outside_completion", "hole_outside_content", "raw_depth_in_padding", "raw_depth_not_positive", "reliable_not_observed",
+)
 
 
 def artifact_errors(packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -30,22 +23,20 @@ def artifact_errors(packages: DataFrame, files: DataFrame) -> DataFrame:
     )
     disk = files.select("path", F.col("bytes").alias("_b"), F.col("sha256").alias("_h"))
     joined = listed.join(disk, "path", "left")
-    escapes = F.contains("name", F.lit("/")) | (F.col("name") == "..")
-    gone = F.col("_h").isNull()
-
-    def note(condition: Column, text: str) -> Column:
-        return F.when(condition, F.concat(F.lit(f"{text}: "), F.col("name")))
-
-    notes = F.when(escapes, F.array(note(F.lit(True), "artifact escapes scene directory"))).when(
-        gone, F.array(note(F.lit(True), "missing artifact"))
-    ).otherwise(
-        F.array_compact(
-            F.array(
-                note(~F.col("_b").eqNullSafe(F.col("want.bytes")), "size mismatch"),
-                note(~F.col("_h").eqNullSafe(F.col("want.sha256")), "sha256 mismatch"),
+    outside = F.contains("name", F.lit("/")) | (F.col("name") == "..")
+    rule = (
+        F.when(outside, F.array(F.lit("artifact.outside")))
+        .when(F.col("_h").isNull(), F.array(F.lit("artifact.absent")))
+        .otherwise(
+            F.array_compact(
+                F.array(
+                    F.when(~F.col("_b").eqNullSafe(F.col("want.bytes")), F.lit("artifact.bytes")),
+                    F.when(~F.col("_h").eqNullSafe(F.col("want.sha256")), F.lit("artifact.sha256")),
+                )
             )
         )
     )
+    notes = F.transform(rule, lambda r: F.concat(r, F.lit(": "), F.col("name")))
     return joined.select("scene", F.explode(notes).alias("error"))
 
 
@@ -58,7 +49,7 @@ def audit_packages(
     cloud: DataFrame,
     pixels: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
-    """(errors per scene, verdict per scene).
+    """(errors per scene, verdict per scene); an error is a rule id, with its subject after a colon.
 
     ``scenes(scene)`` lists directories; ``packages(scene, manifest)``; ``files(path,
     bytes, sha256)`` with paths below the root; ``documents(path, doc)`` are the parsed
@@ -87,16 +78,16 @@ def audit_packages(
     absent = F.array_sort(F.array_except(F.array(*[F.lit(n) for n in C.SCENE_ARRAYS]), F.col("fields")))
     checks = F.array_compact(
         F.array(
-            F.when(~present, F.lit("missing scene_manifest.json")),
-            F.when(present & ~F.coalesce(text("$.schema").rlike(C.PACKAGE_SCHEMA_PATTERN), F.lit(False)), F.lit("unexpected manifest schema")),
-            F.when(present & ~F.col("report"), F.lit("missing quality report")),
-            F.when(present & ~F.col("physics"), F.lit("missing physics.json")),
+            F.when(~present, F.lit("manifest.absent")),
+            F.when(present & ~F.coalesce(text("$.schema").rlike(C.PACKAGE_SCHEMA_PATTERN), F.lit(False)), F.lit("manifest.schema")),
+            F.when(present & ~F.col("report"), F.lit("report.absent")),
+            F.when(present & ~F.col("physics"), F.lit("physics.absent")),
             F.when(
                 present & F.col("physics") & ~(F.coalesce(named, F.lit(False)) & F.col("proxy")),
-                F.lit("physics.json does not bind the exported collision proxy"),
+                F.lit("physics.proxy"),
             ),
-            F.when(present & ~F.col("archive"), F.lit("missing scene archive")),
-            F.when(F.size(absent) > 0, F.concat(F.lit("scene.npz missing fields: "), F.array_join(absent, ", "))),
+            F.when(present & ~F.col("archive"), F.lit("archive.absent")),
+            F.when(F.size(absent) > 0, F.concat(F.lit("archive.fields: "), F.array_join(absent, ", "))),
         )
     )
     structural = table.select("scene", F.explode(F.concat(checks, F.coalesce("problems", F.array().cast("array<string>")))).alias("error"))
@@ -109,15 +100,15 @@ def audit_packages(
         F.explode(
             F.array_compact(
                 F.array(
-                    F.when(~F.col("_finite"), F.lit("xyz must be finite N x 3")),
-                    F.when(~F.col("_known"), F.lit("source contains unknown labels")),
+                    F.when(~F.col("_finite"), F.lit("cloud.finite")),
+                    F.when(~F.col("_known"), F.lit("cloud.source")),
                 )
             )
         ).alias("error"),
     )
     counts = mask_algebra(pixels)
     mask_errors = counts.select(
-        "scene", F.explode(F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(m)) for n, m in MASK_MESSAGES.items()]))).alias("error")
+        "scene", F.explode(F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(f"mask.{n}")) for n in MASK_RULES]))).alias("error")
     )
     errors = structural.unionByName(artifact_errors(packages, files)).unionByName(cloud_errors).unionByName(mask_errors)
     failed = errors.groupBy("scene").agg(F.count(F.lit(1)).alias("errors"))

@@ -514,9 +514,11 @@ def validate_track_cells(cells: DataFrame, object_count: DataFrame) -> DataFrame
     empty = F.lit(True)
     for x in values:
         empty = empty & (F.abs(x) <= tol)
-    joined = cells.join(object_count, "sample_id")
-    slots = (F.col("slot") < F.col("object_count")) | empty
+    joined = cells.join(object_count, "sample_id", "left")
+    known = F.col("object_count").isNotNull()
+    slots = ~known | (F.col("slot") < F.col("object_count")) | empty
     names = {
+        "C00": (known, "no object count for the sample"),
         "C01": (finite, "non-finite values"),
         "C02": (ranged, "values must lie in [0, 1]"),
         "C03": (binary, "visibility must be binary"),

@@ -10,8 +10,6 @@ from trackloom.functions.ordered import even_positions, index_within
 
 # Rows of one segment when positions are taken over ordinals.
 ORDINAL_SEGMENT = 1_000_000
-# Up to this rank Spark drops surplus rows of a key before the shuffle (its window group limit).
-PRUNED_RANK = 1000
 
 
 def _segment(ordinal: str) -> Column:
@@ -84,19 +82,15 @@ def round_robin(df: DataFrame, group: str, ordinal: str, n: int, groups: int) ->
         .limit(groups)
     )
     picked = ranked.join(keep, group).orderBy("_turn", "_first").limit(n)
-    position = F.row_number().over(W.orderBy("_turn", "_first")) - 1
-    return picked.withColumn("position", position.cast("long")).drop("_turn", "_first")
+    # a turn has one row per group at most, so turns are the segments of the numbering
+    return index_within(picked, [], ["_turn", "_first"], F.col("_turn"), "position").drop("_turn", "_first")
 
 
 def _first_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, n: int, name: str
 ) -> DataFrame:
     """First ``n`` rows per key with their rank; a large key never sits in one task."""
-    if n <= PRUNED_RANK:
-        ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    else:
-        ranked = index_within(df, keys, order, segment, name)
-    return ranked.filter(F.col(name) < n)
+    return index_within(df, keys, order, segment, name).filter(F.col(name) < n)
 
 
 def one_per_group(df: DataFrame, group: str, ordinal: str, last: bool = False) -> DataFrame:

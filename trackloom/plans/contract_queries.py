@@ -305,18 +305,18 @@ def represented_parts(spark, folder):
 PACKAGE_SQL = """
 s AS (SELECT s_suppkey AS n, s_nationkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS scene FROM supplier),
 e AS (
-  SELECT scene, 'missing scene_manifest.json' AS error FROM s WHERE n % 13 = 1
-  UNION ALL SELECT scene, 'unexpected manifest schema' FROM s WHERE n % 13 = 2
-  UNION ALL SELECT scene, 'missing artifact: scene.npz' FROM s WHERE n % 13 = 3
-  UNION ALL SELECT scene, 'missing scene archive' FROM s WHERE n % 13 = 3
-  UNION ALL SELECT scene, 'size mismatch: scene.npz' FROM s WHERE n % 13 = 4
-  UNION ALL SELECT scene, 'sha256 mismatch: scene.npz' FROM s WHERE n % 13 = 5
-  UNION ALL SELECT scene, 'artifact escapes scene directory: ../x' FROM s WHERE n % 13 = 6
-  UNION ALL SELECT scene, 'physics.json does not bind the exported collision proxy' FROM s WHERE n % 13 = 7
-  UNION ALL SELECT scene, 'missing quality report' FROM s WHERE n % 13 = 8
-  UNION ALL SELECT scene, 'scene.npz missing fields: depth' FROM s WHERE n % 13 = 9
-  UNION ALL SELECT DISTINCT s.scene, 'source contains unknown labels' FROM s JOIN lineitem ON l_suppkey = n WHERE n % 13 = 10
-  UNION ALL SELECT DISTINCT s.scene, 'dense environment includes preprocessing padding' FROM s JOIN lineitem ON l_suppkey = n WHERE n % 13 = 11 AND l_quantity > 25)
+  SELECT scene, 'manifest.absent' AS error FROM s WHERE n % 13 = 1
+  UNION ALL SELECT scene, 'manifest.schema' FROM s WHERE n % 13 = 2
+  UNION ALL SELECT scene, 'artifact.absent: scene.npz' FROM s WHERE n % 13 = 3
+  UNION ALL SELECT scene, 'archive.absent' FROM s WHERE n % 13 = 3
+  UNION ALL SELECT scene, 'artifact.bytes: scene.npz' FROM s WHERE n % 13 = 4
+  UNION ALL SELECT scene, 'artifact.sha256: scene.npz' FROM s WHERE n % 13 = 5
+  UNION ALL SELECT scene, 'artifact.outside: ../x' FROM s WHERE n % 13 = 6
+  UNION ALL SELECT scene, 'physics.proxy' FROM s WHERE n % 13 = 7
+  UNION ALL SELECT scene, 'report.absent' FROM s WHERE n % 13 = 8
+  UNION ALL SELECT scene, 'archive.fields: depth' FROM s WHERE n % 13 = 9
+  UNION ALL SELECT DISTINCT s.scene, 'cloud.source' FROM s JOIN lineitem ON l_suppkey = n WHERE n % 13 = 10
+  UNION ALL SELECT DISTINCT s.scene, 'mask.dense_outside_content' FROM s JOIN lineitem ON l_suppkey = n WHERE n % 13 = 11 AND l_quantity > 25)
 """
 
 
@@ -384,14 +384,14 @@ def package_verdicts(spark, folder):
 CACHE_SQL = """
 d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, doc_id % 9 AS n FROM documents),
 e AS (
-  SELECT s, 'cached source record changed' AS message FROM d WHERE n = 1
-  UNION ALL SELECT s, 'latent path is reused: l/shared' FROM d WHERE n = 2
-  UNION ALL SELECT s, 'latent file/hash mismatch' FROM d WHERE n = 3
-  UNION ALL SELECT s, 'text file/hash mismatch' FROM d WHERE n = 4
-  UNION ALL SELECT s, 'missing point-track record' FROM d WHERE n = 5
-  UNION ALL SELECT s, 'point-track object binding mismatch' FROM d WHERE n = 6
-  UNION ALL SELECT s, 'point-track object count mismatch' FROM d WHERE n = 7
-  UNION ALL SELECT s, 'point trajectory hash binding mismatch' FROM d WHERE n = 8)
+  SELECT s, 'record.changed' AS message FROM d WHERE n = 1
+  UNION ALL SELECT s, 'latent.shared: l/shared' FROM d WHERE n = 2
+  UNION ALL SELECT s, 'artifact: latent' FROM d WHERE n = 3
+  UNION ALL SELECT s, 'artifact: text' FROM d WHERE n = 4
+  UNION ALL SELECT s, 'track.absent' FROM d WHERE n = 5
+  UNION ALL SELECT s, 'track.objects' FROM d WHERE n = 6
+  UNION ALL SELECT s, 'track.count' FROM d WHERE n = 7
+  UNION ALL SELECT s, 'trajectory.sha256' FROM d WHERE n = 8)
 """
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackloom.operators.records import validate_records
-from trackloom.operators.sequence import TRACK_SCHEMA, FollowState
+from trackloom.operators.sequence import TRACK_SCHEMA, FollowState, running_best
 
 PROGRESS_SCHEMA = (
     "step long, mode string, axis string, total double, reconstruction double, response double, "
@@ -41,19 +41,22 @@ def live_metrics(progress: DataFrame, value: str = "total", weight: str | None =
 
 
 def best_so_far_writer(path: str, key: str = "mode", value: str = "total") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that appends rows improving on every earlier batch.
+    """foreachBatch function that appends every row improving on all before it, by step within a batch.
 
-    The best value per key is kept as a table in ``path`` keyed by batch id, so a
-    replayed batch overwrites its own folder and changes nothing else.
+    The rows of a batch go to ``path/batch=<id>`` and the best value of every key so far to
+    ``path-best/<id>``, which the next batch reads alone. A replayed batch overwrites its own
+    two folders and changes nothing else.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        low = batch.groupBy(key).agg(F.min_by(F.struct(value, "step"), value).alias("_b")).select(key, f"_b.{value}", "_b.step")
+        fresh = running_best(batch.select(key, value, "step").filter(F.col(value).isNotNull()), [key], "step", value)
+        now = batch.groupBy(key).agg(F.min(value).alias("_k"))
         if batch_id > 0:
-            earlier = spark.read.schema(f"{key} string, {value} double, step long, batch long").parquet(path)
-            known = earlier.filter(F.col("batch") < batch_id).groupBy(key).agg(F.min(value).alias("_k"))
-            low = low.join(known, key, "left").filter(F.col("_k").isNull() | (F.col(value) < F.col("_k"))).drop("_k")
-        low.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            known = spark.read.schema(f"{key} string, _k double").parquet(f"{path}-best/{batch_id - 1}")
+            fresh = fresh.join(known, key, "left").filter(F.col("_k").isNull() | (F.col(value) < F.col("_k"))).drop("_k")
+            now = now.union(known).groupBy(key).agg(F.min("_k").alias("_k"))
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        now.write.mode("overwrite").parquet(f"{path}-best/{batch_id}")
 
     return write
 
@@ -79,12 +82,16 @@ class Tracker(StatefulProcessor):
             state.last = None if lx is None else np.array([lx, ly], np.float32)
             state.before = None if bx is None else np.array([bx, by], np.float32)
         # A micro-batch brings the newly arrived frames of one video, not its history.
-        # Frames at or before the last one seen are late and cannot be inserted.
-        fresh = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "candidate_id"], kind="stable")
-        fresh = fresh[fresh["frame"] > state.frame]
+        # Frames at or before the last one seen cannot be inserted; they are given out as late.
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "candidate_id"], kind="stable")
+        late = arrived[arrived["frame"] <= state.frame]
+        if len(late):
+            frames = late["frame"].drop_duplicates()
+            yield pd.DataFrame({"video": state.video, "frame": frames, "cx": None, "cy": None, "area": 0.0, "late": True})
+        fresh = arrived[arrived["frame"] > state.frame]
         if fresh.empty:
             return
-        out = state.advance(fresh)
+        out = state.advance(fresh).assign(late=False)
         last = (None, None) if state.last is None else tuple(float(v) for v in state.last)
         before = (None, None) if state.before is None else tuple(float(v) for v in state.before)
         self.memory.update((*last, *before, float(state.area), int(state.frame)))
@@ -97,11 +104,12 @@ class Tracker(StatefulProcessor):
 def live_tracker(candidates: DataFrame, gate: float = 150.0, seed_gate: float = 160.0) -> DataFrame:
     """Streaming tracker over ``candidates(video, frame, candidate_id, cx, cy, area, sx, sy)``.
 
-    Needs the RocksDB state store provider; frames of a video must arrive in order.
+    Needs the RocksDB state store provider. A frame at or before the last one seen of its
+    video gives a row without a centre and with ``late`` set; it does not move the track.
     """
     return candidates.groupBy("video").transformWithStateInPandas(
         statefulProcessor=Tracker(gate, seed_gate),
-        outputStructType=TRACK_SCHEMA,
+        outputStructType=f"{TRACK_SCHEMA}, late boolean",
         outputMode="append",
         timeMode="None",
     )
