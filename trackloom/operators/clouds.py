@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackloom.functions import geometry as G
@@ -17,6 +18,7 @@ from trackloom.session import cut_lineage
 
 OBSERVED, COMPLETED, OBJECT = 0, 1, 2
 LEAF_POINTS, MAX_LEVEL = 64, 30
+SCORED = 4096
 
 
 def compose_scene(observed: DataFrame, completed: DataFrame, objects: DataFrame) -> DataFrame:
@@ -195,12 +197,14 @@ def local_band(pixels: DataFrame, width: int, height: int, key: str = "scene") -
     return pixels.filter("reliable").join(ring, [key, "y", "x"], "left_semi")
 
 
-def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: int = 0, trials: int = 128, minimum: int = 160) -> DataFrame:
+def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: int = 0, trials: int = 1600, minimum: int = 160, least: int = 100) -> DataFrame:
     """Up to ``planes`` dominant planes per scene by seeded triple sampling.
 
     Hash-ranked points give ``trials`` candidate planes per scene (a fixed-size array
-    per scene).  Every point is scored against them and counts merge map-side; the only
-    driver loop is over the plane number, with a checkpoint per round.
+    per scene).  A scene's points are dealt over blocks of ``SCORED`` points, each scored
+    against all planes in one array call, and the blocks' counts are added up.  A scene
+    with fewer than ``least`` points left gets no further plane.  The only driver loop is
+    over the plane number, with a checkpoint per round.
     """
     sizes = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("_total"), *[(F.max(G.d(c)) - F.min(G.d(c))).alias(f"_s{c}") for c in ("x", "y", "z")]
@@ -212,14 +216,16 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
     left = points.select(key, F.col(ident).alias("_id"), G.d("x").alias("x"), G.d("y").alias("y"), G.d("z").alias("z")).join(sizes, key)
     found: DataFrame | None = None
     for index in range(planes):
-        candidates = _triple_planes(left, key, seed + index, trials)
-        scored = (
-            left.join(candidates, key)
-            .select(key, "_total", "_tol", "x", "y", "z", F.explode("_planes").alias("_p"))
-            .filter(F.abs(F.col("_p.a") * F.col("x") + F.col("_p.b") * F.col("y") + F.col("_p.c") * F.col("z") + F.col("_p.d")) <= F.col("_tol"))
-            .groupBy(key, "_total", "_tol", "_p")
-            .agg(F.count(F.lit(1)).alias("_n"))
+        enough = left.groupBy(key).agg(F.count(F.lit(1)).alias("_left")).filter(F.col("_left") >= least)
+        candidates = _triple_planes(left, key, seed + index, trials).join(enough, key)
+        block = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_left") / F.lit(SCORED)))
+        counts = (
+            left.join(enough, key).withColumn("_block", block).groupBy(key, "_total", "_tol", "_block")
+            .agg(F.collect_list(F.struct("x", "y", "z")).alias("_points")).join(candidates.drop("_left"), key)
+            .select(key, "_total", "_tol", F.posexplode(F.arrow_udf(_near_counts, "array<long>")("_points", "_planes", "_tol")).alias("_i", "_near"))
+            .groupBy(key, "_total", "_tol", "_i").agg(F.sum("_near").alias("_n")).filter("_n > 0")
         )
+        scored = counts.join(candidates, key).select(key, "_total", "_tol", "_n", F.get("_planes", "_i").alias("_p"))
         best = scored.groupBy(key).agg(
             F.max_by(F.struct("_p", "_n", "_total", "_tol"), F.struct("_n", (-F.col("_p.trial")).alias("_t"))).alias("_b")
         )
@@ -240,6 +246,16 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
     return found
 
 
+def _near_counts(points: pa.Array, planes: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """For each row, how many of its points lie within the tolerance of each of its planes."""
+    out = []
+    for p, q, t in zip(points, planes, tolerance.to_pylist()):
+        x, y, z = (p.values.field(c).to_numpy(zero_copy_only=False) for c in "xyz")
+        a, b, c, d = (q.values.field(n).to_numpy(zero_copy_only=False) for n in "abcd")
+        out.append([int((np.abs(a[i] * x + b[i] * y + c[i] * z + d[i]) <= t).sum()) for i in range(len(a))])
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def _triple_planes(points: DataFrame, key: str, seed: int, trials: int) -> DataFrame:
     """Array of candidate unit planes per scene from the 3 x trials first points by hash."""
     w = W.partitionBy(key).orderBy("_h", "_id")

@@ -34,6 +34,23 @@ def nearest_neighbour(spark, folder):
     return clouds.nearest(hidden, visible, "vec_id", "nearest_id")
 
 
+@query(
+    "vec_id:i nearest_id:i distance:f6",
+    f"""WITH {XYZ_SQL},
+d AS (SELECT a.vec_id, b.vec_id AS nearest_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance
+      FROM v a JOIN v b ON a.label % 2 = 0 AND b.label % 2 = 1 AND a.vec_id % 5 > 1),
+n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest_id) = 1)
+SELECT v.vec_id, n.nearest_id, n.distance FROM v LEFT JOIN n ON v.vec_id = n.vec_id WHERE v.label % 2 = 0""",
+)
+def nearest_missing(spark, folder):
+    """As nearest_neighbour, but a fifth of the queries has a NaN coordinate and a fifth a NULL one."""
+    v = vectors(spark, folder)
+    part = F.col("vec_id") % 5
+    hidden = v.filter("label % 2 = 0").withColumn("x", F.when(part == 0, F.lit(float("nan"))).when(part != 1, F.col("x")))
+    visible = v.filter("label % 2 = 1").withColumnRenamed("vec_id", "nearest_id")
+    return clouds.nearest(hidden, visible, "vec_id", "nearest_id")
+
+
 @query(
     "scene:i vec_id:i plane:i distance:f6",
     f"""WITH {XYZ_SQL},
@@ -101,7 +118,7 @@ def plane_fit(spark, folder):
     v = vectors(spark, folder)
     # Scenes of 250 vectors, flattened so that a plane dominates.
     scenes = v.withColumn("scene", F.floor(F.col("vec_id") / 250)).withColumn("z", F.col("z") * 0.001 + F.col("x") * 0.5)
-    return clouds.fit_planes(scenes, "scene", "vec_id", planes=2, trials=64)
+    return clouds.fit_planes(scenes, "scene", "vec_id", planes=2)
 
 
 @query(

@@ -278,6 +278,22 @@ def forbidden_keys(spark, folder):
     return documents.forbidden_keys(events, ["k", "value"], "event_id")
 
 
+@query(
+    "doc_id:i key:s",
+    """
+SELECT doc_id, 'deep' AS key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 <> 1
+UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 7 = 1""",
+)
+def forbidden_keys_documents(spark, folder):
+    """Denied keys in JSON around every whole document text; some documents are cut off and are no JSON."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("deep")).otherwise(F.lit("plain"))
+    inner = F.to_json(F.create_map(name, F.col("text")))
+    end = F.when(F.col("doc_id") % 7 == 1, F.lit("")).otherwise(F.lit("}"))
+    raw = F.concat(F.lit('{"list": [["deep", '), inner, F.lit("], null, 1], \"text\": "), F.to_json(F.array("text")), end)
+    docs = load(spark, folder, "documents").select("doc_id", raw.alias("raw"))
+    return documents.forbidden_keys(docs, ["deep", "absent"])
+
+
 @query(
     "sample_id:i scene:i shard:i",
     """
@@ -889,7 +905,7 @@ def attach_source(spark, folder):
 
 SCHEDULE_SQL = """
 pairs AS (
-  SELECT o_orderstatus AS axis, o_orderkey AS pair_id FROM orders WHERE o_orderpriority LIKE '1%'),
+  SELECT o_orderstatus AS axis, o_orderkey AS pair_id FROM orders),
 plan AS (SELECT i // 4 AS step, (i // 2) % 2 AS rank, i % 2 AS micro FROM range(400) AS t(i)),
 indexed AS (
   SELECT *, step % 5 < 2 AS response,
@@ -924,7 +940,7 @@ JOIN permuted p ON k.axis = p.axis AND k.cycle = p.cycle AND k.position = p.posi
 )
 def training_schedule(spark, folder):
     """Response microbatches of 100 steps bound to seeded permutations of the pairs."""
-    pairs = load(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("1")).select(
+    pairs = load(spark, folder, "orders").select(
         F.col("o_orderstatus").alias("axis"), F.col("o_orderkey").alias("pair_id")
     )
     plan = sweep.training_schedule(spark, 100, 2, 2, ("F", "O", "F", "O", "P")).filter("mode = 'response'")
@@ -943,13 +959,13 @@ def training_schedule(spark, folder):
     """
 WITH pairs AS (
   SELECT o_orderkey AS pair_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n
-  FROM orders WHERE o_orderpriority LIKE '2%'),
+  FROM orders),
 draws AS (SELECT i // 4 AS batch, i % 4 AS rank, i FROM range(64) AS t(i))
 SELECT batch, rank, pair_id FROM draws JOIN pairs ON p = i % n""",
 )
 def validation_draws(spark, folder):
     """Sixteen validation batches on four ranks over the ordered pairs."""
-    pairs = load(spark, folder, "orders").filter(F.col("o_orderpriority").startswith("2")).select(F.col("o_orderkey").alias("pair_id"))
+    pairs = load(spark, folder, "orders").select(F.col("o_orderkey").alias("pair_id"))
     segment = F.floor(F.col("pair_id") / selection.ORDINAL_SEGMENT)
     return selection.validation_draws(pairs, ["pair_id"], segment, pairs.count(), 16, 4)
 

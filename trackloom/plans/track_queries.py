@@ -289,16 +289,18 @@ edited AS (
          CASE WHEN CAST(sample_id AS INTEGER) % 4 = 1 THEN 0.5 ELSE visible END AS visible FROM cells)
 SELECT DISTINCT sample_id, 'C02' AS rule_id FROM edited WHERE r > 1 + 1e-6
 UNION ALL SELECT DISTINCT sample_id, 'C03' FROM edited WHERE visible NOT IN (0, 1)
-UNION ALL SELECT DISTINCT sample_id, 'C05' FROM edited WHERE slot >= 2""",
+UNION ALL SELECT DISTINCT sample_id, 'C05' FROM edited WHERE slot >= 2 AND CAST(sample_id AS INTEGER) % 5 <> 2
+UNION ALL SELECT DISTINCT sample_id, 'C00' FROM edited WHERE CAST(sample_id AS INTEGER) % 5 = 2""",
 )
 def track_cell_checks(spark, folder):
-    """Map rules on edited cells: range, binary visibility, unused slots."""
+    """Map rules on edited cells: range, binary visibility, unused slots, samples without an object count."""
     number = F.col("sample_id").cast("int")
     cells = identity_cells(spark, folder)
     edited = cells.withColumn("r", F.when(number % 3 == 1, F.col("r") + 1.5).otherwise(F.col("r"))).withColumn(
         "visible", F.when(number % 4 == 1, F.lit(0.5)).otherwise(F.col("visible"))
     )
-    return raster.validate_track_cells(edited, cells.select("sample_id").distinct().withColumn("object_count", F.lit(2)))
+    counts = cells.select("sample_id").distinct().filter(number % 5 != 2).withColumn("object_count", F.lit(2))
+    return raster.validate_track_cells(edited, counts)
 
 
 @query(
