@@ -47,6 +47,8 @@ def test_forgetting_changes_nothing(monkeypatch):
 
 def test_odd_rows_and_empty_tables(spark):
     docs = odd_documents(spark)
-    out = docs.select("doc_id", "text", pieces.encoded("text").alias("e")).select("*", pieces.decoded("e.ids").alias("back")).collect()
-    assert len(out) == docs.count() and all(r["back"] == (r["text"] or "") for r in out)
-    assert documents(spark, []).select(pieces.encoded("text")).count() == 0
+    encoded = pieces.encode(docs)
+    out = encoded.select("text", "score", "round_trip", "lang", pieces.decoded("ids").alias("back")).collect()
+    assert len(out) == docs.count() and all(r["back"] == (r["text"] or "") and r["round_trip"] and isinstance(r["score"], float) for r in out)
+    assert set(docs.columns) <= set(encoded.columns) and len(encoded.columns) == len(set(encoded.columns))
+    assert pieces.encode(documents(spark, [])).count() == 0

@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Where the cluster's machines hold the public vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +41,7 @@ MARK = "▁"
 CHUNK = re.compile(r" *(?:[^\W\d_]+|(?:[^\w ]|[\d_])+)| +")
 BY_SPACE = re.compile(r" *[^ ]+| +")
 #: Chunks that a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Characters of the texts that are encoded together.
 GROUP = 1_000_000
 #: Chunks of one forward pass; bounds its working arrays (some 50 MB).
@@ -347,7 +348,7 @@ class Lattice:
     def _alternatives(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         got = self.other.get(chunk)
         if got is None:
-            if len(self.other) >= 20_000:
+            if len(self.other) >= 5_000:
                 self.other.clear()
             k = self.known[chunk]
             ids = tuple(self.flat[self.first[k] : self.first[k] + self.size[k]].tolist())
@@ -367,31 +368,47 @@ def lattice(path: str, n_best: int) -> Lattice:
 
 EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 OTHER = pa.struct([("loss", pa.float64()), ("edits", pa.list_(EDIT))])
-ENCODED = "struct<ids:array<int>,score:double,round_trip:boolean,others:array<struct<loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>"
+ENCODED = "ids array<int>, score double, round_trip boolean, others array<struct<loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
+#: Rows encoded and given out together.
+ROWS = 500
 
 
-def encoded(text: Column | str = "text", n_best: int = 4, path: str = VOCABULARY) -> Column:
-    """ids and score of the best segmentation, and the next ones as edits of it with their loss of score.
+def encode(df: DataFrame, text: str = "text", n_best: int = 4, path: str = VOCABULARY, prefix: str = "") -> DataFrame:
+    """Add ids and score of the best segmentation, and the next ones as edits of it with their loss of score.
 
-    ``round_trip`` tells whether decoding the ids gave back the text; it is done beside the encoding,
-    for a second Python step would double the worker processes of a task.
+    ``round_trip`` tells whether decoding the ids gave back the text; it is done beside the encoding, for
+    a second Python step would double the worker processes of a task. Results leave the task in small
+    batches, and what a worker remembers is dropped at the end of its task. Columns of the same names
+    are replaced.
     """
+    added = [(prefix + f.split()[0], f.split(maxsplit=1)[1]) for f in ENCODED.split(", ")]
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in {n for n, _ in added}])
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattice(path, n_best)
-        flat, ends, scores, same, others = [], [0], [], [], []
-        rows = texts.to_pylist()
-        for text, (ids, score, rest) in zip(rows, tool.encode_many(rows)):
-            flat.append(ids)
-            same.append(tool.decode(ids.tolist()) == (text or ""))
-            ends.append(ends[-1] + len(ids))
-            scores.append(score)
-            others.append([{"loss": loss, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for loss, edits in rest])
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_()), pa.array(others, pa.list_(OTHER))], ["ids", "score", "round_trip", "others"])
-
-    return F.arrow_udf(run, ENCODED)(F.col(text) if isinstance(text, str) else text)
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(a, ROWS)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *_encoded(tool, part[text].to_pylist())], [*part.schema.names, *(n for n, _ in added)])
+        finally:
+            tool.forget()
+
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in added)).fields])
+    return kept.mapInArrow(run, schema)
+
+
+def _encoded(tool: Lattice, rows: list[str | None]) -> list[pa.Array]:
+    flat, ends, scores, same, others = [], [0], [], [], []
+    for text, (ids, score, rest) in zip(rows, tool.encode_many(rows)):
+        flat.append(ids)
+        same.append(tool.decode(ids.tolist()) == (text or ""))
+        ends.append(ends[-1] + len(ids))
+        scores.append(score)
+        others.append([{"loss": loss, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for loss, edits in rest])
+    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    return [lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_()), pa.array(others, pa.list_(OTHER))]
 
 
 def decoded(ids: Column | str = "ids", path: str = VOCABULARY) -> Column:

@@ -229,7 +229,8 @@ def quality_score(model: QualityModel, text: Column | str = "text") -> Column:
     """Estimated probability of quality 1 for each whole text."""
 
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts.to_pylist()), pa.float64())
+        parts = [model.score(texts.slice(a, 500).to_pylist()) for a in range(0, len(texts), 500)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return F.arrow_udf(scored, "double")(F.col(text) if isinstance(text, str) else text)
 

@@ -25,15 +25,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", pieces.encoded("text").alias("_e"))
-    return docs.select(
-        "doc_id",
-        F.size("_e.ids").cast("long").alias("n_pieces"),
-        F.col("_e.score").alias("score"),
-        F.col("_e.ids").alias("ids"),
-        F.col("_e.others").alias("others"),
-        F.col("_e.round_trip").alias("round_trip"),
-    )
+    docs = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "others", "round_trip")
 
 
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -141,7 +141,7 @@ def joint_similarity(greater: np.ndarray, smaller: np.ndarray, n_u: np.ndarray,
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x.slice(a, 500) for x in batches for a in range(0, x.num_rows, 500)):
         sizes, k1, k2, regs = [], [], [], []
         for text in b["text"].to_pylist():
             s = shingle_hashes(text)

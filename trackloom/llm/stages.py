@@ -44,5 +44,4 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the piece ids of the best segmentation, its score, and the next best as edits of it."""
-    out = docs.withColumn("_e", pieces.encoded("text"))
-    return out.select(*docs.columns, F.col("_e.ids").alias("piece_ids"), F.col("_e.score").alias("piece_score"), F.col("_e.others").alias("piece_others"))
+    return pieces.encode(docs, "text", prefix="piece_").drop("piece_round_trip")

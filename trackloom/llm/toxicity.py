@@ -250,7 +250,7 @@ def toxic_evidence(model: ToxicityModel, text: Column | str = "text") -> Column:
         memo = _Memo(model.word_score)
         get = memo.__getitem__
         out = []
-        for t in texts.to_pylist():
+        for t in (t for a in range(0, len(texts), 500) for t in texts.slice(a, 500).to_pylist()):
             words = words_of(t)
             scores = np.fromiter(map(get, words), np.float32, len(words))
             segments = maximal_segments(scores)
