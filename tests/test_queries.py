@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from trackloom.plans.catalogue import catalogue
 from scripts.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue()))
 def test_query_equals_sql(spark, con, name):
     ok, text = compare(spark, con, FOLDER, name)
     assert ok or text.startswith("0 rows equal"), text

@@ -18,6 +18,7 @@ def build_session(app: str = "trackloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files go with the last reference to them
         **conf,
     }
     for key, value in settings.items():
