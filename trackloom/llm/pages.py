@@ -365,9 +365,13 @@ def train(pages: list[list[Block]], steps: int = 300, batch: int = 24, seed: int
 
 
 def fit_labeller(pages: DataFrame, max_pages: int = 300, max_bytes: int = 100_000) -> Labeller:
-    """Train on at most ``max_pages`` pages of at most ``max_bytes`` bytes, those of least hash."""
-    sample = pages.where(F.octet_length("html") <= max_bytes).select("html").distinct()
-    rows = sample.orderBy(F.xxhash64("html"), "html").limit(max_pages).toArrow()["html"].to_pylist()
+    """Train on at most ``max_pages`` different pages of at most ``max_bytes`` bytes, those of least hash.
+
+    Only hashes are shuffled to choose them; their rows (at most ``max_pages`` of 8 bytes) are broadcast.
+    """
+    fit = pages.where(F.octet_length("html") <= max_bytes).select("html", F.xxhash64("html").alias("_h"))
+    chosen = fit.select("_h").distinct().orderBy("_h").limit(max_pages)
+    rows = fit.join(F.broadcast(chosen), "_h").groupBy("_h").agg(F.min("html").alias("html")).orderBy("_h").toArrow()["html"].to_pylist()
     return train([leaf_blocks(h) for h in rows])
 
 
