@@ -182,10 +182,9 @@ class FormatModel:
         base, _, runs = scan(text)
         added = []
         for a, b, token in runs:
-            if _plausible(token):
-                g = self.gain(token)
-                if g >= self.least_total and g >= self.least_mean * len(token):
-                    added.append((a, 3, b))
+            g = self.gain(token)
+            if g >= self.least_total and g >= self.least_mean * len(token):
+                added.append((a, 3, b))
         return sorted(base + added) if added else base
 
     def redact(self, text: str | None) -> str | None:
@@ -200,11 +199,6 @@ class FormatModel:
         return "".join(out) + text[at:]
 
 
-def _plausible(token: str) -> bool:
-    """Letters of one case alone are a word for every format learnt here; they are not scored."""
-    return not (token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()))
-
-
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, token, n): credentials by kind, and character pairs of ordinary runs under kind -1."""
     for b in batches:
@@ -213,8 +207,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, strings, runs = scan(text)
             found.update(strings)
             for _, _, token in runs:
-                found.update([(-1, x + y) for x, y in zip(token, token[1:])] if _plausible(token) else [])
-                found[-2, token[:2]] += 1
+                found.update([(-1, x + y) for x, y in zip(token, token[1:])])
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys], pa.int32()), pa.array([t for _, t in keys]), pa.array([found[k] for k in keys], pa.int64())], ["kind", "token", "n"]
@@ -228,7 +221,7 @@ def fit_formats(docs: DataFrame, max_strings: int = 500, text: str = "text") ->
     most 66 x 66 pair counts.
     """
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_survey, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    counted = cut_lineage(counted.where("kind >= -1"))
+    counted = cut_lineage(counted)
     pairs = np.full((len(ALPHABET), len(ALPHABET)), 0.5)
     for r in counted.where("kind = -1").toArrow().to_pylist():
         pairs[_CODE[r["token"][0]], _CODE[r["token"][1]]] += r["n"]
