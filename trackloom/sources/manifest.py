@@ -42,8 +42,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """One or more whole JSON documents: header fields and positioned records.
 
-    The header keeps ``record_count`` next to the counted ``records_found`` so a
-    mismatch can be reported.  Values stay VARIANT.
+    The header keeps ``record_count`` next to the counted ``records_found`` and tells by
+    ``count_ok`` whether they agree.  A document that cannot be parsed (no JSON, or above
+    the VARIANT size limit) keeps its header row with ``readable`` false, so its records
+    do not vanish unseen.  Values stay VARIANT.
     """
     docs = (
         spark.read.text(path, wholetext=True)
@@ -61,6 +63,8 @@ def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.try_variant_get("doc", "$.schema", "string").alias("schema"),
         F.try_variant_get("doc", "$.record_count", "long").alias("record_count"),
         F.size(items).cast("long").alias("records_found"),
+        F.col("doc").isNotNull().alias("readable"),
+        F.coalesce(F.try_variant_get("doc", "$.record_count", "long") == F.size(items), F.lit(False)).alias("count_ok"),
     )
     records = docs.select("source", F.posexplode(items).alias("ordinal", "rec")).select(
         "source",
