@@ -53,6 +53,23 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents"), 0.85)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[o + 1:o + 5], ' ') END AS g
+  FROM w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) t(o)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+joint AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM joint JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT DISTINCT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_from_tables(docs, table(spark, folder, "labels"))
@@ -140,9 +157,29 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, w, least(10, len(w)) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[o + 1:o + k], ' ') AS g FROM b, unnest(range(len(w) - k + 1)) t(o)),
+places AS (
+  SELECT doc_id, s, k, array_to_string(w[s + 1:s + k], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM win) sizes, unnest(range(greatest(len(w) - k + 1, 0))) t(s)),
+hits AS (SELECT DISTINCT doc_id, s, places.k, item_id FROM places JOIN win ON places.k = win.k AND places.g = win.g),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + k)) t(p) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL}
