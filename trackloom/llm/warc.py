@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Payload bytes of a shard, compressed bytes at which a file is rolled, and the records' fixed date.
 SHARD_BYTES = 32 * 2**20
@@ -101,24 +101,32 @@ MANIFEST = "file string, bytes long, records long, sha256 string"
 _MANIFEST = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
 
 
-def _write_shards(folder: str, roll_bytes: int):
+def _write_shards(folder: str, roll_bytes: int, least_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _place(folder)
         store.create_dir(f"{path}/_temporary", recursive=True)
-        shard, roll, file, last, serial = object(), 0, None, object(), 0
+        shard, roll, file, last, serial, firsts, led = object(), 0, None, object(), -1, {}, set()
         for b in batches:
             done = []
-            rows = zip(*(b[c].to_pylist() for c in ("shard", "page_id", "url", "html", "first_id", "lead")))
-            for s, page, url, html, first, lead in rows:
+            rows = zip(*(b[c].to_pylist() for c in ("shard", "page_id", "part", "url", "html", "body", "first_id")))
+            for s, page, part, url, html, body, first_id in rows:
+                if page != last:
+                    last, serial, firsts, led = page, -1, {}, set()
+                if part == 0:  # what the page's payloads refer to
+                    firsts[body] = first_id
+                    continue
                 if s != shard or file is None or file.bytes >= roll_bytes:
                     if file is not None:
                         done.append(file.close())
                     roll = roll + 1 if s == shard else 0
                     shard = s
                     file = _File(store, path, f"pages-{s + 1:09d}-{roll:05d}.warc.gz")
-                serial = serial + 1 if page == last else 0
-                last = page
+                serial += 1
                 payload = (html or "").encode()
+                own = hashlib.sha256(payload).digest()
+                first = firsts[own]
+                lead = len(payload) < least_bytes or (first == page and own not in led)
+                led.add(own)
                 file.add(build_record(page, serial, url, payload, sha1_base32(payload), first, not lead))
             if done:
                 yield pa.RecordBatch.from_pylist(done, _MANIFEST)
@@ -128,41 +136,29 @@ def _write_shards(folder: str, roll_bytes: int):
     return run
 
 
-def first_of_equals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages with ``first_id``, the least id of their payload, and whether the row is that response (``lead``).
+def first_of_equals(pages: DataFrame) -> DataFrame:
+    """(page_id, body, first_id): for each page and payload digest the least id that has it; no payloads."""
+    rows = pages.select("page_id", _body().alias("body")).distinct()
+    return rows.join(rows.groupBy("body").agg(F.min("page_id").alias("first_id")), "body")
 
-    Payloads shorter than ``least_bytes`` are all responses. Repeated rows of the first id are told apart
-    by a serial number within the id, of which only the first leads.
-    """
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("_body"), F.octet_length(body).alias("_size"))
-    firsts = rows.groupBy("_body").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(firsts, "_body")
-    own = F.col("page_id").eqNullSafe(F.col("first_id"))
-    # only repeats of one id and payload share a window; a null id is never the least but for payloads without another
-    serial = F.row_number().over(Window.partitionBy("page_id", "_body").orderBy(F.col("url")))
-    again = rows.groupBy("page_id", "_body").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if again.limit(1).count():
-        joined = joined.withColumn("_k", serial)
-    else:
-        joined = joined.withColumn("_k", F.lit(1))
-    return joined.select("page_id", "url", "html", "_size", "first_id", ((F.col("_size") < least_bytes) | (own & (F.col("_k") == 1))).alias("lead"))
+
+def _body() -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write one record per page below ``folder`` and return the committed manifest."""
     spark = pages.sparkSession
-    marked = first_of_equals(pages, least_bytes)
     span = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.octet_length(F.coalesce("html", F.lit(""))).cast("long")).alias("size")).first()
     lo, hi, size = span["lo"] or 0, span["hi"] or 0, span["size"] or 0
     shards = max(1, -(-size // shard_bytes))
     width = max(1, -(-(hi - lo + 1) // shards))
-    shard = F.coalesce(F.floor((F.col("page_id") - lo) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = (
-        marked.select(shard.alias("shard"), "page_id", "url", "html", "first_id", "lead")
-        .repartitionByRange("shard").sortWithinPartitions("shard", "page_id", F.desc("lead"), "url", "html")
-    )
-    rows.mapInArrow(_write_shards(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
+    shard = F.coalesce(F.floor((F.col("page_id") - lo) / F.lit(width)), F.lit(-1)).cast("long").alias("shard")
+    # payloads are shuffled once: the small table of firsts comes to the same shard, ahead of its page
+    firsts = first_of_equals(pages).select(shard, "page_id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "body", "first_id")
+    texts = pages.select(shard, "page_id", F.lit(1).alias("part"), "url", "html", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("long").alias("first_id"))
+    rows = firsts.union(texts).repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "part", "url", "html")
+    rows.mapInArrow(_write_shards(folder, roll_bytes, least_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
