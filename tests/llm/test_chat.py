@@ -45,6 +45,44 @@ def test_templates_that_rewrite_history_are_found():
     assert not rewritten and [out[s.text_start : s.text_end] for s in spans] == ["hi", "yo"]
 
 
+def _forgetful(messages):  # drops thoughts of all but the last turn
+    return "".join(f"[{r}]{t if k == len(messages) - 1 else t.split('|')[-1]};" for k, (r, t) in enumerate(messages))
+
+
+def _defaulted(messages):  # adds a system text where none is given, in any turn
+    return ("" if any(r == "system" for r, _ in messages) else "[system]be brief;") + "".join(f"[{r}]{t};" for r, t in messages)
+
+
+def _numbered(messages):  # numbers the turns
+    return "".join(f"{k}[{r}]{t};" for k, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+@pytest.mark.parametrize("render", [_forgetful, _defaulted, _numbered])
+def test_any_template_is_rendered_from_whole_prefixes(spark, render, size):
+    rnd = random.Random(3)
+    convs = {c: [(rnd.choice(["user", "assistant", "system"] if k == 5 else ["user", "assistant"]), rnd.choice(["hi", "thought|answer", "a|b", ""])) for k in range(n)] for c, n in enumerate([1, 2, 7, 70])}
+    df = spark.createDataFrame([(c, k, r, t) for c, v in convs.items() for k, (r, t) in enumerate(v)], ROWS).repartition(3)
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, render, size).collect()}
+    for c, v in convs.items():
+        out, spans, rewritten = chat.locate(render, v)
+        assert out == render(v) == got[c]["formatted"] and rewritten == got[c]["rewritten"]
+        assert [(t["start"], t["end"], t["text_start"], t["text_end"]) for t in got[c]["turns"]] == [(s.start, s.end, s.text_start, s.text_end) for s in spans]
+
+
+def _counted_turn(n, message):
+    return f"{n}[{message[0]}]{message[1]};", n + 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_an_incremental_template_keeps_its_state_between_pieces(spark, size):
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(70)]
+    render = chat.Incremental(_counted_turn, 0)
+    rows = chat.format_conversations(spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], ROWS), render, size).orderBy("piece").collect()
+    assert len(rows) == -(-70 // size) and "".join(r["formatted"] for r in rows) == render(turns) == _numbered(turns)
+    assert [r["formatted"][t["text_start"] : t["text_end"]] for r in rows for t in r["turns"]] == [t for _, t in turns]
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = [(None, 1, "user", "x"), (None, None, "assistant", "first"), (1, 0, None, None), (1, 0, None, None), (2, 0, "assistant", "y" * 300_000)]
     df = spark.createDataFrame(rows, ROWS).withColumns({c: F.lit("mine") for c in ("piece", "formatted", "turns")})

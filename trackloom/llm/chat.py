@@ -6,9 +6,12 @@ k-1. Rendering the last turn with two different probe texts locates the text ins
 that does not begin with the one before it shows that the template rewrites history: the turn is
 reported, the spans before the first changed character stay, and the later ones are unknown.
 
-Long conversations are rendered in pieces of at most ``PIECE`` turns that follow their last turn as
-context, so a task holds one piece, whatever the conversation's length; rows stream in order after one
-shuffle by conversation. The digest of a conversation's turns is a running hash, hence sequential.
+A template given as :class:`Incremental`, a state and what the next turn adds, cannot rewrite history.
+Its conversations are rendered in pieces of at most ``PIECE`` turns that start from the state so far, so a
+task holds one piece, whatever the conversation's length. Any other function may look at every turn: it is
+given the true whole prefixes, and a conversation is one piece, which a task holds whole and renders three
+times for each of its turns. Rows stream in order after one shuffle by conversation. The digest of a
+conversation's turns is a running hash, hence sequential.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), nulls first, and
 repeated rows are turns of their own; rows with a null id form one conversation; an empty table gives an
@@ -21,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,9 +56,35 @@ def role_of(head: str) -> str:
     return _ROLE[head] if head in _ROLE else unescape(head[len("### role=") : -2])
 
 
-def marked(messages: list[Message]) -> str:
-    """The default template: a marked header, the escaped text and a closing mark for each turn."""
-    return "".join(header(role) + escape(text) + END for role, text in messages)
+@dataclass(frozen=True)
+class Incremental:
+    """A template that only appends: ``step(state, message)`` gives what the turn adds, and the next state.
+
+    The state says all that later turns need of the earlier ones; it should not grow with them.
+    """
+
+    step: Callable[[Any, Message], tuple[str, Any]]
+    start: Any = None
+
+    def __call__(self, messages: list[Message]) -> str:
+        return self.run(self.start, messages)[0]
+
+    def run(self, state: Any, messages: list[Message]) -> tuple[str, Any]:
+        """(what the messages add after the state, state after them)."""
+        out = []
+        for m in messages:
+            added, state = self.step(state, m)
+            out.append(added)
+        return "".join(out), state
+
+
+def _marked_turn(state: None, message: Message) -> tuple[str, None]:
+    role, text = message
+    return header(role) + escape(text) + END, None
+
+
+#: The default template: a marked header, the escaped text and a closing mark for each turn.
+marked = Incremental(_marked_turn)
 
 
 @dataclass(frozen=True)
@@ -109,31 +139,34 @@ _PIECES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int32()), ("formatted
 
 
 def _pieces(rows: Iterator[tuple[int | None, str, str]], render: Render, size: int) -> Iterator[dict]:
-    """One record per piece from rows in order."""
+    """One record per piece from rows in order; only an incremental template is cut into pieces."""
+    cut = isinstance(render, Incremental)
 
-    def finish(conv, number, context, part) -> dict:
-        out, spans, rewritten = locate(render, [*context, *part], len(context))
-        base = len(render(context))
-        shift = lambda x: None if x is None else x - base
-        turns = [{"role": m[0], "start": shift(s.start), "end": shift(s.end), "text_start": shift(s.text_start), "text_end": shift(s.text_end)} for m, s in zip(part, spans)]
-        return {"conv_id": conv, "piece": number, "formatted": out[base:], "rewritten": [k - len(context) + number * size for k in rewritten], "turns": turns}
+    def finish(conv, number, state, part) -> dict:
+        out, spans, rewritten = locate((lambda m: render.run(state, m)[0]) if cut else render, part)
+        turns = [{"role": m[0], "start": s.start, "end": s.end, "text_start": s.text_start, "text_end": s.text_end} for m, s in zip(part, spans)]
+        return {"conv_id": conv, "piece": number, "formatted": out, "rewritten": [k + number * size for k in rewritten], "turns": turns}
 
-    at, number, context, part, open_ = None, 0, [], [], False
+    first = render.start if cut else None
+    at, number, state, part, open_ = None, 0, first, [], False
     for conv, role, text in rows:
         if not open_ or conv != at:
             if open_:
-                yield finish(at, number, context, part)
-            at, number, context, part, open_ = conv, 0, [], [], True
-        elif len(part) == size:
-            yield finish(at, number, context, part)
-            number, context, part = number + 1, part[-1:], []
+                yield finish(at, number, state, part)
+            at, number, state, part, open_ = conv, 0, first, [], True
+        elif cut and len(part) == size:
+            yield finish(at, number, state, part)
+            number, state, part = number + 1, render.run(state, part)[1], []
         part.append((role, text))
     if open_:
-        yield finish(at, number, context, part)
+        yield finish(at, number, state, part)
 
 
 def format_conversations(conversations: DataFrame, render: Render = marked, size: int = PIECE) -> DataFrame:
-    """Formatted pieces with the span of every turn, in order within a conversation."""
+    """Formatted pieces with the span of every turn, in order within a conversation.
+
+    Pieces hold ``size`` turns if ``render`` is :class:`Incremental`, else a whole conversation.
+    """
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     rows = conversations.select("conv_id", "turn", text("role"), text("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
