@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -59,6 +60,47 @@ def test_proximity_takes_words_out_of_order(spark):
     assert hit(0) == {1} and hit(2) == {0, 1}
 
 
+def _brute_near(texts, items, slop, n=10):
+    """Every span of at most k + 2 slop words that holds a window's words as often, and whose ends it needs."""
+    out = []
+    for t in texts:
+        w, hit, found = _words(t), set(), set()
+        for i, item in items:
+            x = _words(item)
+            k = min(n, len(x))
+            for need in [Counter(x[o : o + k]) for o in range(len(x) - k + 1 if x else 0)]:
+                for a in range(len(w)):
+                    for b in range(a + k, min(len(w), a + k + 2 * slop) + 1):
+                        if need <= Counter(w[a:b]) and not need <= Counter(w[a + 1 : b]) and not need <= Counter(w[a : b - 1]):
+                            hit |= set(range(a, b))
+                            found.add(str(i))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 2, 4])
+def test_proximity_equals_brute_force(spark, slop):
+    """Random permutations of a window with foreign words put in, and words that come too seldom."""
+    rnd = random.Random(slop)
+    some = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(rnd.choice(some[:n]) if i % 2 else x for x in rnd.sample(some, n))) for i, n in enumerate([10, 10, 12, 14, 3, 4, 1, 2])]
+    texts = ["w9 w1 w2 w3 w4 w5 w6 w7 w8 w0"]
+    for _ in range(60):
+        w = _words(rnd.choice(items)[1])
+        o = rnd.randint(0, max(0, len(w) - 10))
+        w = w[o : o + 10]
+        rnd.shuffle(w)
+        for _ in range(rnd.randint(0, 2 * slop + 1)):
+            w.insert(rnd.randint(0, len(w)), rnd.choice(["x", "y", *some]))
+        if rnd.random() < 0.3:
+            w[rnd.randrange(len(w))] = rnd.choice(some)
+        texts.append(" ".join([*rnd.choices(["x", "y", "w0"], k=rnd.randint(0, 30)), *w, *rnd.choices(["x", "y", "w1"], k=rnd.randint(0, 5))]))
+    items.append((90, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find(documents(spark, texts), spark.createDataFrame(items, ITEM), slop=slop).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute_near(texts, items, slop)
+    assert "90" in got[0][2]
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, none = odd_documents(spark), spark.createDataFrame([], ITEM)
     bench = spark.createDataFrame([(1, "same row twice in this table"), (None, "a text without an id stays alone here"), (2, ""), (3, None)], ITEM)

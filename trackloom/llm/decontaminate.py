@@ -5,8 +5,12 @@ rarest of every window; the index stores the postings (document, position) of th
 under the empty word the length of every document. A posting minus the word's place in its item is an
 alignment of the item with the document. The lists of a window's two rarest words are intersected on
 equal alignments, which leaves few candidates beside true occurrences, and these are compared word by
-word with the whole text (``slop=0``), or must hold all words of the window within its span widened by
-``slop`` words on either side, in any order (``slop>0``).
+word with the whole text (``slop=0``).
+
+With ``slop>0`` a window of n words occurs where n + 2 * ``slop`` consecutive words of the document hold all
+its words, in any order, each as often as the window does. Alignments say nothing then: the lists are
+intersected on positions less than that width apart, and every start in their reach is tried. Hit words are
+those of the tightest spans, which hold the window and in which no shorter span does.
 
 The benchmark's side of a join is broadcast only if its counted rows stay below a bound, and is shuffled
 otherwise; a list is collected only for one window, one alignment or one document.
@@ -60,6 +64,24 @@ def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
 
 
+def _tight_spans(text: str, c: Column, slop: int) -> Column:
+    """The tightest spans [s, e) of at most len + 2 * slop words that hold the candidate's words, from its first to its last start."""
+    need = F.transform(F.array_distinct(c["w"]), lambda x: F.struct(x.alias("term"), F.size(F.filter(c["w"], lambda y: y == x)).alias("n")))
+
+    def from_start(t: Column) -> Column:
+        part = F.slice(text, t + 1, c["len"] + 2 * slop)
+        places = F.transform(part, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        # where each word has come as often as it must; null if it has not
+        reach = F.transform(need, lambda x: F.get(F.filter(places, lambda y: y["v"] == x["term"]), x["n"] - 1)["i"])
+        return F.struct(t.alias("s"), F.when(~F.exists(reach, lambda r: r.isNull()), t + F.array_max(reach) + 1).alias("e"))
+
+    first = lambda s: F.get(text, s["s"])
+    times = lambda words, word: F.size(F.filter(words, lambda y: y == word))
+    starts = F.filter(F.sequence(c["s"], c["t"]), lambda t: F.array_contains(c["w"], F.get(text, t)))
+    held = F.filter(F.transform(starts, from_start), lambda s: s["e"].isNotNull())
+    return F.filter(held, lambda s: times(F.slice(text, s["s"] + 1, s["e"] - s["s"]), first(s)) == times(c["w"], first(s)))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row per document: n_words, n_hit, and the sorted ids of the items with an occurring window."""
     items, ids = distinct_items(benchmark)
@@ -79,7 +101,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
         .select("item", "o", "len", F.col("_x")[0]["p"].alias("a"), F.element_at("_x", F.least(F.lit(2), "len"))["p"].alias("b"), F.slice("_x", 1, 2).alias("_x"))
     )
     windows = cut_lineage(windows)
-    anchors = cut_lineage(windows.select("item", F.explode("_x").alias("_x")).select(F.col("_x.term").alias("term"), "item", F.col("_x.p").alias("p")).distinct())
+    anchors = cut_lineage(windows.select("item", "len", F.explode("_x").alias("_x")).select(F.col("_x.term").alias("term"), "item", "len", F.col("_x.p").alias("p")).distinct())
     n_anchors, n_windows = anchors.count(), windows.count()
 
     # the index: postings of the rare words, and each document's length under the empty word
@@ -89,24 +111,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
     )
     lengths = index.where("term = ''").select("doc_id", "_h", F.col("pos").cast("long").alias("n_words"))
 
-    # offset-adjusted lists, intersected per alignment
-    lists = index.where("term <> ''").join(_sized(anchors, n_anchors), "term").select("doc_id", "_h", "item", "p", (F.col("pos") - F.col("p")).alias("at"))
+    # offset-adjusted lists, intersected per alignment; with slop, lists of places in blocks of twice the reach
+    lists = index.where("term <> ''").join(_sized(anchors, n_anchors), "term")
     if slop:
-        near = F.floor(F.col("at") / (slop + 1))
-        lists = lists.withColumn("_c", F.explode(F.array(near, near + 1)))
+        block = F.floor(F.col("pos") / (F.col("len") + 2 * slop))
+        lists = lists.select("doc_id", "_h", "item", "p", F.col("pos").alias("at"), F.explode(F.array(block, block + 1)).alias("_c"))
     else:
-        lists = lists.withColumn("_c", F.col("at"))
-    met = lists.groupBy("doc_id", "_h", "item", "_c").agg(F.collect_set("p").alias("_p"), F.min("at").alias("at"))
+        lists = lists.select("doc_id", "_h", "item", "p", (F.col("pos") - F.col("p")).alias("at")).withColumn("_c", F.col("at"))
+    met = lists.groupBy("doc_id", "_h", "item", "_c").agg(F.collect_set("p").alias("_p"), F.min("at").alias("at"), *([F.max("at").alias("to")] if slop else []))
     per_item = windows.groupBy("item").agg(F.collect_list(F.struct("o", "len", "a", "b")).alias("_windows")).join(items, "item")
     single = F.size("_p") == 1
+    if slop:  # the first and last place at which a span with both anchors may start
+        place = lambda w: [F.greatest(F.col("at") - w["len"] - 2 * slop + 1, F.lit(0)).alias("s"), F.col("to").alias("t")]
+    else:
+        place = lambda w: [(w["o"] + F.col("at")).alias("s")]
     open_ = (
         met.join(_sized(per_item, n_windows), "item")
         .withColumn("_open", F.filter("_windows", lambda w: F.array_contains("_p", w["a"]) & F.array_contains("_p", w["b"])))
         .where((F.size("_open") > 0) & (~single | F.exists("_windows", lambda w: w["len"] == 1)))
-        .select("doc_id", "_h", "item", "at", F.transform("_open", lambda w: F.struct((w["o"] + F.col("at")).alias("s"), w["len"].alias("len"), F.slice("item_words", w["o"] + 1, w["len"]).alias("w"))).alias("_open"))
+        .select("doc_id", "_h", "item", F.transform("_open", lambda w: F.struct(*place(w), w["len"].alias("len"), F.slice("item_words", w["o"] + 1, w["len"]).alias("w"))).alias("_open"))
     )
     cands = cut_lineage(
-        open_.select("doc_id", "_h", F.explode(F.transform("_open", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"), w["w"].alias("w"), F.col("item").alias("item")))).alias("_c"))
+        open_.select("doc_id", "_h", F.explode(F.transform("_open", lambda w: w.withField("item", F.col("item")))).alias("_c"))
         .groupBy("doc_id", "_h").agg(F.collect_set("_c").alias("_cands"))
     )
 
@@ -117,12 +143,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
     right = cands.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_cands")
     both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_k"])).select("doc_id", "_h", words("text").alias("_w"), "_cands")
     if slop:
-        low = lambda c: F.greatest(c["s"] - slop, F.lit(0))
-        holds = lambda c: F.size(F.array_except(c["w"], F.slice("_w", low(c) + 1, c["s"] + c["len"] + 2 * slop - low(c)))) == 0
+        checked = F.transform("_cands", lambda c: F.struct(c["item"].alias("item"), _tight_spans("_w", c, slop).alias("_spans")))
+        checked = F.filter(checked, lambda c: F.size(c["_spans"]) > 0)
+        spans = F.flatten(F.transform("_hits", lambda c: c["_spans"]))
     else:
-        holds = lambda c: (c["s"] >= 0) & (F.slice("_w", F.greatest(c["s"] + 1, F.lit(1)), c["len"]) == c["w"])
-    hits = cut_lineage(both.select("doc_id", "_h", F.size("_w").alias("_n"), F.filter("_cands", holds).alias("_hits")).where(F.size("_hits") > 0))
-    spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda c: F.struct(F.greatest(c["s"], F.lit(0)).alias("s"), F.least(c["s"] + c["len"], F.col("_n")).alias("e")))))
+        checked = F.filter("_cands", lambda c: (c["s"] >= 0) & (F.slice("_w", F.greatest(c["s"] + 1, F.lit(1)), c["len"]) == c["w"]))
+        spans = F.transform("_hits", lambda c: F.struct(F.greatest(c["s"], F.lit(0)).alias("s"), F.least(c["s"] + c["len"], F.col("_n")).alias("e")))
+    hits = cut_lineage(both.select("doc_id", "_h", F.size("_w").alias("_n"), checked.alias("_hits")).where(F.size("_hits") > 0))
+    spans = F.array_sort(F.array_distinct(spans))
     joined = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
