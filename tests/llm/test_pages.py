@@ -27,6 +27,21 @@ def test_blocks_of_broken_markup():
     assert pages.leaf_blocks(None) == pages.leaf_blocks("<title>x</title>") == []
 
 
+def test_elements_that_close_themselves_or_never_cut_nothing_off():
+    texts = lambda page: [b.text for b in pages.leaf_blocks(page)]
+    for tag in ('<svg class="i"/>', "<math/>", "<svg><title/><path d=x /></svg>", "<SVG><text>no</text></SVG>", "<svg><svg/>no<svg>no</svg>no</svg>", "<title-bar>", "<template><p>no</p></template>", "<select><option>no<hr><option>no</select>"):
+        assert texts(f"<article><p>one {tag} two</p><p>three</p></article><p>x</p>") == ["one two", "three", "x"], tag
+    for tag in ("<button>no", "<svg>no", "<select><option>no", "<template><p>no"):
+        assert texts(f"<article><div>one {tag}</div><p>two</p></article><p>x</p>") == ["one", "two", "x"], tag
+        if "template" not in tag:
+            assert texts(f"<article>one {tag}<p>two</p>three</article><p>x</p>") == ["one", "two", "three", "x"], tag
+    for tag in ("object", "noscript", "video", "audio", "canvas"):
+        assert texts(f"<p>one<{tag} a=b>two</{tag}>three</p><p>x</p>") == ["one two three", "x"]
+        assert texts(f"<article>one<{tag}>two<p>three</p></article><p>x</p>") == ["one two", "three", "x"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then") == ["if x=1 then"]
+    assert texts("<p>one<script>no</p><p>") == ["one"] and texts("<p>one<title/>no</title>two") == ["onetwo"]
+
+
 def test_article_text_of_pages_not_trained_on(spark, rows, model):
     import html
 

@@ -9,7 +9,9 @@ and what is not; each is also shown with other container names, with container n
 foreign side blocks put in, so that words, shape and neighbours count where the markup says little.
 
 Defined results: a null or empty page, and one without text, gives the empty text; a page is read whole;
-unclosed tags, scripts, comments and cut-off markup end with the page; repeated rows give equal texts;
+unclosed scripts, comments and cut-off markup end with the page; formulas and what stands in for embedded
+media are text; drawings, buttons and selections are not, up to their end tag, the next block or their
+parent's end, nor are templates, up to their end tag or their parent's end; repeated rows give equal texts;
 an empty table gives an empty result; without pages to train on nothing is extracted. Other columns are
 kept, and an existing column of the output's name is replaced.
 """
@@ -31,13 +33,19 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# content read as raw text up to the end tag, and never shown
+_RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe")}
+# elements without text of the page; a block's start ends all but a template
+_HIDDEN = frozenset(("template", "svg", "select", "button"))
+# elements whose content stands in for something else and is set apart by spaces
+_INSTEAD = frozenset(("noscript", "object", "video", "audio", "canvas"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|textarea|title|select|svg|iframe|button|object|video|audio|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"\w+")
 
@@ -82,41 +90,83 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    hidden = False
+    foreign = 0
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not hidden:
             piece = page[at : m.start()]
             parts.append(piece)
             if anchor:
                 linked += len(piece)
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
-            parts.append(" ")
-        elif tag == "a":
-            anchor = 0 if m[2] else 1
-        elif tag in BLOCKS:
-            flush()
-            if m[2]:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+        if tag in BLOCKS:
+            if m[1]:
+                same = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if not (hidden and (same is None or any(t in _HIDDEN for t, _ in stack[:same]))):
+                    flush()
+                if same is not None:
+                    del stack[same:]
             else:
+                while stack and stack[-1][0] in _HIDDEN and stack[-1][0] != "template" and (tag, stack[-1][0]) != ("hr", "select"):
+                    stack.pop()
+                hidden = hidden and any(t in _HIDDEN for t, _ in stack)
+                if not hidden:
+                    flush()
                 if stack and stack[-1][0] == "p":
                     stack.pop()
                 ends = _CLOSES_ITSELF.get(tag)
                 while ends and stack and stack[-1][0] in ends:
                     stack.pop()
                 if tag != "hr":
-                    stack.append((tag, node_words(tag, m[4])))
-    if at < len(page):
+                    stack.append((tag, node_words(tag, m[3])))
+                foreign = 0
+            hidden = hidden and any(t in _HIDDEN for t, _ in stack)
+        elif tag == "br":
+            if not hidden:
+                parts.append(" ")
+        elif tag == "a":
+            if not hidden:
+                anchor = 0 if m[1] else 1
+        elif tag in _RAW:
+            # only inside svg and math may such an element close itself
+            if not m[1] and not (foreign and _closed(m[3])):
+                end = _RAW[tag].search(page, at)
+                at = end.end() if end else len(page)
+        elif tag in _INSTEAD:
+            if not hidden:
+                parts.append(" ")
+        elif tag in _HIDDEN or tag == "math":
+            own = tag in ("svg", "math")
+            if m[1]:
+                if own:
+                    foreign = max(foreign - 1, 0)
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
+                    if stack[i][0] in BLOCKS and tag != "template":
+                        break
+                hidden = hidden and any(t in _HIDDEN for t, _ in stack)
+            elif not (own and _closed(m[3])):
+                foreign += own
+                if tag in _HIDDEN:
+                    stack.append((tag, []))
+                    hidden = True
+    if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
     return out
 
 
+def _closed(attributes: str) -> bool:
+    """Whether the tag ends in a slash that is not part of an unquoted value."""
+    return attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes)
+
+
 def _slot(word: str, slots: int) -> int:
     return zlib.crc32(word.encode()) % slots
 
