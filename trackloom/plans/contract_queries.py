@@ -259,6 +259,14 @@ def restore_order(spark, folder):
     return selection.limit_ordered(manifests.restore_order(urgent, source, "o_orderkey"), "ordinal", 50)
 
 
+@query("o_orderkey:i ordinal:i", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders")
+def restore_order_all(spark, folder):
+    """All orders in source order."""
+    orders = load(spark, folder, "orders").select("o_orderkey")
+    source = index_within(orders, [], ["o_orderkey"], F.floor(F.col("o_orderkey") / selection.ORDINAL_SEGMENT), "ordinal")
+    return manifests.restore_order(orders, source, "o_orderkey")
+
+
 @query("sample_id:i trajectory_id:i", """
 WITH b AS (SELECT o_custkey, min(o_orderkey) AS t FROM orders WHERE o_orderpriority LIKE '3%' GROUP BY o_custkey)
 SELECT o_orderkey AS sample_id, t AS trajectory_id FROM orders LEFT JOIN b ON orders.o_custkey = b.o_custkey""")

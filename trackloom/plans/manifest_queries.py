@@ -954,6 +954,28 @@ def training_schedule(spark, folder):
     return keyed.join(order, ["axis", "cycle", "offset"])
 
 
+@query(
+    "step:i rank:i micro:i draw_index:i sample_id:i",
+    f"""
+WITH {SCHEDULE_SQL},
+records AS (SELECT o_orderkey AS sample_id FROM orders),
+draws AS (
+  SELECT step, rank, micro, draw_index + slot AS draw_index FROM drawn, (SELECT unnest([0, 1]) AS slot) WHERE mode = 'ordinary'),
+keyed AS (SELECT *, draw_index // n AS cycle, draw_index % n AS position FROM draws, (SELECT count(*) AS n FROM records)),
+permuted AS (
+  SELECT sample_id, cycle, row_number() OVER (
+    PARTITION BY cycle ORDER BY sha256(CAST(11 + cycle AS VARCHAR) || ':' || CAST(sample_id AS VARCHAR)), sample_id) - 1 AS position
+  FROM records, (SELECT DISTINCT cycle FROM keyed))
+SELECT step, rank, micro, draw_index, sample_id FROM keyed k JOIN permuted p ON k.cycle = p.cycle AND k.position = p.position""",
+)
+def training_schedule_ordinary(spark, folder):
+    """Ordinary microbatches of 100 steps bound to two records each of seeded permutations."""
+    records = load(spark, folder, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    plan = sweep.training_schedule(spark, 100, 2, 2, ("F", "O", "F", "O", "P")).filter("mode = 'ordinary'")
+    draws = plan.withColumn("draw_index", F.explode(F.array("draw_index", F.col("draw_index") + 1)))
+    return selection.cyclic_draw(records, "sample_id", draws, "draw_index", 11, records.count())
+
+
 @query(
     "batch:i rank:i pair_id:i",
     """
