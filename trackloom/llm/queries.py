@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import chat, decontaminate, pages, pieces, quality, secrets, setsketch, toxicity, vectors, warc
+from trackloom.llm import chat, decontaminate, mixing, pages, pieces, quality, repair, secrets, setsketch, toxicity, vectors, warc
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage, shared_folder
 
@@ -177,9 +177,72 @@ FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN named ON named.doc_i
 """
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repair.damaged(table(spark, folder, "conversations"))
+    plans = cut_lineage(repair.plan_edits(rows))
+    out = repair.with_digest(plans, repair.turn_digests(repair.repaired_turns(rows, plans)))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256", "n_rows")
+
+
+# A plain dynamic programme over the rows: the least (cost, edits) of every state of the role pattern.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+src AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM src, crc),
+rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) t(i)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM rows),
+faults AS (
+  SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+    CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+      WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault FROM numbered),
+facts AS (
+  SELECT conv_id, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+-- per conversation after row k: {cost, audit, text so far} of the states start, system, user, assistant
+ways AS (
+  SELECT conv_id, 0::BIGINT AS k, [{'c': 0::BIGINT, 'a': '', 'x': ''}] AS p, CAST([] AS STRUCT(c BIGINT, a VARCHAR, x VARCHAR)[]) AS s,
+    [{'c': 5::BIGINT, 'a': 'I', 'x': chr(10) || 'user:'}] AS u, [{'c': 10::BIGINT, 'a': 'II', 'x': chr(10) || 'user:' || chr(10) || 'assistant:'}] AS a FROM facts
+  UNION ALL
+  SELECT conv_id, k, p, s,
+    list_sort(list_concat(u, list_transform(list_concat(list_concat(p, s), a), lambda v: {'c': v.c + 5, 'a': v.a || 'I', 'x': v.x || chr(10) || 'user:'})))[1:1] AS u,
+    list_sort(list_concat(a, list_transform(list_concat(u, list_transform(list_concat(p, s), lambda v: {'c': v.c + 5, 'a': v.a || 'I', 'x': v.x || chr(10) || 'user:'})), lambda v: {'c': v.c + 5, 'a': v.a || 'I', 'x': v.x || chr(10) || 'assistant:'})))[1:1] AS a
+  FROM (
+    SELECT conv_id, k, dp AS p, list_sort(list_concat(ds, ks))[1:1] AS s, list_sort(list_concat(list_concat(du, ku), ru))[1:1] AS u, list_sort(list_concat(list_concat(da, ka), ra))[1:1] AS a
+    FROM (
+      SELECT w.conv_id, f.k,
+        list_transform(w.p, lambda v: {'c': v.c + 2, 'a': v.a || 'D', 'x': v.x}) AS dp, list_transform(w.s, lambda v: {'c': v.c + 2, 'a': v.a || 'D', 'x': v.x}) AS ds,
+        list_transform(w.u, lambda v: {'c': v.c + 2, 'a': v.a || 'D', 'x': v.x}) AS du, list_transform(w.a, lambda v: {'c': v.c + 2, 'a': v.a || 'D', 'x': v.x}) AS da,
+        CASE WHEN f.fault IN (0, 3) AND f.i = 's' THEN list_transform(w.p, lambda v: {'c': v.c + more, 'a': v.a || 'K', 'x': v.x || line}) ELSE [] END AS ks,
+        CASE WHEN f.fault IN (0, 3) AND f.i = 'u' THEN list_transform(list_concat(list_concat(w.p, w.s), w.a), lambda v: {'c': v.c + more, 'a': v.a || 'K', 'x': v.x || line}) ELSE [] END AS ku,
+        CASE WHEN f.fault IN (0, 3) AND f.i = 'a' THEN list_transform(w.u, lambda v: {'c': v.c + more, 'a': v.a || 'K', 'x': v.x || line}) ELSE [] END AS ka,
+        CASE WHEN f.fault IN (0, 3) THEN list_transform(list_concat(list_concat(w.p, w.s), w.a), lambda v: {'c': v.c + 1 + more, 'a': v.a || 'R', 'x': v.x || chr(10) || 'user:' || f.text}) ELSE [] END AS ru,
+        CASE WHEN f.fault IN (0, 3) THEN list_transform(w.u, lambda v: {'c': v.c + 1 + more, 'a': v.a || 'R', 'x': v.x || chr(10) || 'assistant:' || f.text}) ELSE [] END AS ra
+      FROM ways w JOIN (SELECT *, CASE fault WHEN 3 THEN 5 ELSE 0 END AS more, chr(10) || role || ':' || text AS line FROM faults) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1))),
+best AS (SELECT w.conv_id, list_sort(list_concat(w.p, w.a))[1] AS b FROM ways w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND w.k = f.n_rows)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.x[2:], '')) AS repaired_sha256, coalesce(n_rows, 0) AS n_rows
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate, op12_repair, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL, "op12_repair": OP12_SQL}
