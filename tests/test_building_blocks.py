@@ -121,3 +121,19 @@ def test_typed_matrices(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", F.from_json("t", "array<array<double>>").alias("m"))
     got = {r.t: r.ok for r in df.select("t", K.finite_matrix3(F.col("m")).isNotNull().alias("ok")).collect()}
     assert got == cases
+
+
+def test_top_k_of_a_key_that_holds_most_rows(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.functions.ordered import top_k
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"), (F.col("id") * 7919 % 10_007).alias("v"), "id")
+    for k in (1, 3, 5_000):
+        got = sorted(map(tuple, top_k(rows.repartition(9), ["key"], [F.desc("v"), "id"], k, rounds=2, fan=3).collect()))
+        want, by = [], {}
+        for r in sorted(rows.collect(), key=lambda r: (-r.v, r.id)):
+            by[r.key] = by.get(r.key, 0) + 1
+            if by[r.key] <= k:
+                want.append((r.key, r.v, r.id, by[r.key]))
+        assert got == sorted(want)

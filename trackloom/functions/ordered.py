@@ -135,3 +135,27 @@ def micros(ts: str | Column) -> Column:
     seconds = F.hour(c) * 3600 + F.minute(c) * 60
     fraction = (F.extract(F.lit("SECOND"), c) * 1000000).cast("long")
     return (days * 86400 + seconds.cast("long")) * 1000000 + fraction
+
+
+def top_k(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    k: int,
+    name: str = "rank",
+    fan: int = 64,
+    rounds: int = 3,
+) -> DataFrame:
+    """First ``k`` rows of every key in ``order``, ranked from 1.
+
+    Rows are ranked inside their own partition first, and the first ``k`` of ``fan`` partitions meet in
+    each further round, so a key that holds most rows never sits in one task. ``order`` must be total
+    for a reproducible choice; which partition a row comes from does not change the result.
+    """
+    keys, order = list(keys), _order(order)
+    out = df.withColumn("_part", F.spark_partition_id())
+    for _ in range(rounds):
+        ranked = out.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
+        out = ranked.filter(F.col("_r") <= k).withColumn("_part", F.floor(F.col("_part") / F.lit(fan)).cast("int")).drop("_r")
+    ranked = out.drop("_part").withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return ranked.filter(F.col(name) <= k)
