@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.llm import chat, decontaminate, mixing, pages, pieces, quality, repair, secrets, setsketch, toxicity, vectors, warc
+from trackloom.llm import chat, decontaminate, mixing, pages, phrases, pieces, quality, repair, secrets, setsketch, toxicity, vectors, warc
 from trackloom.llm.common import held_out, sha256_hex, table
 from trackloom.session import cut_lineage, shared_folder
 
@@ -177,6 +177,33 @@ FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN named ON named.doc_i
 """
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, folder, "documents")))
+
+
+OP11_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents)),
+f AS (
+  SELECT lang, k, w[o + 1:o + k] AS p, count(*) AS n
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) sizes, unnest(range(greatest(len(w) - k + 1, 0))) t(o) GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+inside AS (SELECT lang, p[i:i + 1] AS p, max(n) AS n FROM c, (SELECT unnest([1, 2]) AS i) i WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, p) WHERE inside.n IS NULL OR 100 * inside.n < 50 * c.n),
+scored AS (
+  SELECT c.lang, c.p, c.n AS a, x.n AS l, y.n AS r, j, (c.n::HUGEINT * c.n * 1000000) // (x.n::HUGEINT * y.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1:]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = repair.damaged(table(spark, folder, "conversations"))
     plans = cut_lineage(repair.plan_edits(rows))
@@ -241,8 +268,8 @@ def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate, op12_repair, op13_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_warc, op4_near_dedup, op5_quality, op6_main_text, op7_vectors, op8_chat, op9_secrets, op10_decontaminate, op11_phrases, op12_repair, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL, "op12_repair": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_decontaminate": OP10_SQL, "op7_vectors": OP7_SQL, "op8_chat": OP8_SQL, "op11_phrases": OP11_SQL, "op12_repair": OP12_SQL}
