@@ -51,15 +51,14 @@ def texts(rnd, n):
     return rows
 
 
-@pytest.mark.parametrize("shards, run, slots, least", [(3, 1, 1 << 16, 10), (1, 8192, 1 << 16, 4), (4, 3, 16, 12), (2, 5, 1, 7)])
-def test_phrases_equal_counting_all_of_them(spark, monkeypatch, shards, run, slots, least):
+@pytest.mark.parametrize("shards, slots, least", [(3, 1 << 16, 10), (1, 1 << 16, 4), (4, 16, 12), (2, 1, 7)])
+def test_phrases_equal_counting_all_of_them(spark, monkeypatch, shards, slots, least):
     """Any number of shards and any size of the slot table give the exact counts."""
-    monkeypatch.setattr(phrases, "TOKENS", 700)
-    monkeypatch.setattr(phrases, "PART", 64)
+    monkeypatch.setattr(phrases, "CHUNK", 500)
     rows = texts(random.Random(shards), 90)
     found, total = counts(rows, 4)
     df = spark.createDataFrame(rows, DOCS).repartition(5)
-    out = phrases.frequent_phrases(df, least, 4, shards, slots, run).collect()
+    out = phrases.frequent_phrases(df, least, 4, shards, slots).collect()
     want = {(*key, n) for key, n in found.items() if n >= least} | {(lang, "", n) for lang, n in total.items()}
     assert len(out) == len(want) and {(r["lang"], r["phrase"], r["n"]) for r in out} == want
 
@@ -67,7 +66,7 @@ def test_phrases_equal_counting_all_of_them(spark, monkeypatch, shards, run, slo
 def test_best_phrases_equal_brute_force(spark):
     rows = texts(random.Random(7), 150)
     found, total = counts(rows)
-    got = phrases.collocations(phrases.frequent_phrases(spark.createDataFrame(rows, DOCS).repartition(3), 6, run=2, slots=1 << 16), 12)
+    got = phrases.collocations(phrases.frequent_phrases(spark.createDataFrame(rows, DOCS).repartition(3), 6, slots=1 << 16), 12)
     assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == sorted(best(found, total, 6, 12))
 
 
