@@ -44,9 +44,9 @@ from trackloom.session import cut_lineage, shared_folder
 #: Shards of a cycle.
 SHARDS = 2
 #: Hash slots of the table of phrases that reached the threshold, one byte each.
-SLOTS = 1 << 25
+SLOTS = 1 << 24
 #: Bytes of text that are numbered together, and whose phrases a task counts at a time.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
@@ -113,19 +113,22 @@ def _numbered_chunks(docs: DataFrame, shards: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["shard", "sign", "lang", "numbers", "words", "hashes"])
 
-        for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].cast(pa.binary()).to_pylist()):
-                start = 0
-                while start < len(text):  # a long text is cut where a piece ends
-                    cut = _END.search(text, start + chunk_bytes) if len(text) - start > chunk_bytes else None
-                    end = cut.start() if cut else len(text)
-                    held[lang].append(text[start:end])
-                    size += end - start
-                    start = end
-                    if size >= chunk_bytes:
-                        yield from flush()
-                        held.clear()
-                        size, turn = 0, turn + 1
+        rows = (
+            (lang, text) for b in batches for at in range(0, b.num_rows, 200) for part in [b.slice(at, 200)]
+            for lang, text in zip(part["lang"].to_pylist(), part["text"].cast(pa.binary()).to_pylist())
+        )
+        for lang, text in rows:
+            start = 0
+            while start < len(text):  # a long text is cut where a piece ends
+                cut = _END.search(text, start + chunk_bytes) if len(text) - start > chunk_bytes else None
+                end = cut.start() if cut else len(text)
+                held[lang].append(text[start:end])
+                size += end - start
+                start = end
+                if size >= chunk_bytes:
+                    yield from flush()
+                    held.clear()
+                    size, turn = 0, turn + 1
         yield from flush()
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _CHUNKS)
