@@ -302,12 +302,18 @@ _STATE = "a long, b long, n long, mask int, until int, reached int"
 def _merged(state: DataFrame, new: DataFrame, step: int, here: int, min_count: int) -> DataFrame:
     """Counts after a shard; phrases that ended their cycle below the threshold go."""
     zero, bit = F.lit(0).cast("long"), F.lit(1 << here)
-    # mask, and one more than the step at which the threshold was reached, travel as one number; shuffled rows stay narrow
-    facts = F.shiftleft(F.coalesce(F.col("reached") + 1, F.lit(0)), 16).bitwiseOR(F.col("mask"))
-    both = state.select("a", "b", "n", zero.alias("more"), "until", facts.alias("facts")).union(new.select("a", "b", zero.alias("n"), F.col("n").alias("more"), "until", F.lit(0).alias("facts")))
-    once = both.repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("more").alias("more"), F.max("until").alias("until"), F.max("facts").alias("facts"))
-    mask, reached = F.col("facts").bitwiseAND(F.lit(0xFFFF)), F.shiftright("facts", 16)
-    once = once.withColumns({"mask": mask, "reached": F.when(reached > 0, reached - 1), "n": F.col("n") + F.when(mask.bitwiseAND(bit) == 0, F.col("more")).otherwise(zero)})
+    # shuffled rows are narrow: an old count travels with its mask, and one more than the step at which it
+    # reached the threshold, as one negative number; a new one is positive
+    facts = F.shiftleft(F.coalesce(F.col("reached") + 1, F.lit(0)), 8).bitwiseOR(F.col("mask")).cast("long")
+    old = state.select("a", "b", (-F.shiftleft("n", 16) - facts).alias("v"), "until")
+    both = old.union(new.select("a", "b", F.col("n").alias("v"), "until")).repartition("a", "b")
+    v = F.col("v")
+    once = both.groupBy("a", "b").agg(
+        F.coalesce(F.sum(F.when(v > 0, v)), zero).alias("more"), F.coalesce(F.max(F.when(v < 0, -v)), zero).alias("old"), F.max("until").alias("until")
+    )
+    mask = F.col("old").bitwiseAND(F.lit(255)).cast("int")
+    reached = F.shiftright("old", 8).bitwiseAND(F.lit(255)).cast("int")
+    once = once.withColumns({"mask": mask, "reached": F.when(reached > 0, reached - 1), "n": F.shiftright("old", 16) + F.when(mask.bitwiseAND(bit) == 0, F.col("more")).otherwise(zero)})
     return once.select(
         "a", "b", "n", F.col("mask").bitwiseOR(F.when(F.col("more") > 0, bit).otherwise(F.lit(0))).alias("mask"), "until",
         F.coalesce("reached", F.when(F.col("n") >= min_count, F.lit(step))).cast("int").alias("reached"),
@@ -318,10 +324,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
     """(lang, phrase, k, n): all phrases of 1 to ``longest`` words that occur ``min_count`` times or more.
 
     The row of k = 0 and an empty phrase holds the number of all words of its language. ``shards`` is at most
-    16, ``slots`` a power of two.
+    8, ``slots`` a power of two.
     """
-    if not 1 <= shards <= 16 or slots & (slots - 1):
-        raise ValueError("shards are 1 to 16, slots a power of two")
+    if not 1 <= shards <= 8 or longest * shards > 250 or slots & (slots - 1):
+        raise ValueError("shards are 1 to 8, slots a power of two")
     spark = docs.sparkSession
     folder = shared_folder(spark, "phrases")
     # texts are cut into words once; every later scan reads numbers
@@ -337,6 +343,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
         path = f"{folder}/state{step % 2}"
         _merged(state, new, step, step % shards, min_count).write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)
         reached.destroy()
+        del new
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this step
         state = spark.read.schema(_STATE).parquet(path)
         # phrases that reached the threshold here open longer ones for one cycle
         fresh = _slot_table(state.where(F.col("reached") == step).select("a", "b", F.lit(1).alias("value")), slots)
