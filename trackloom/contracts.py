@@ -104,6 +104,41 @@ GATE_THRESHOLDS = {
     "seam_p90_error": 0.10,
 }
 
+CURRENT_CACHE_PATTERN = r"^[a-z0-9_]+\.wan_ti2v_cache\.v4$"
+TRACK_MANIFEST_PATTERN = r"^[a-z0-9_]+\.point_trajectory_manifest\.v1$"
+
+# The preprocessing that a cache header states for its track maps. Sizes and the name of the
+# source schema are added from the header; the last two tables hold for the current cache schema only.
+PREPROCESS_DENSE = {
+    "channels_per_object": 6,
+    "max_objects": 3,
+    "frame_selection": "evenly_spaced_from_first_to_last",
+    "spatial_grid": "Wan_latent_grid",
+    "spatial_transform": "cover_then_center_crop_to_preprocess_size",
+}
+PREPROCESS_CURRENT = {
+    "pixel_center_convention": "opencv_half_pixel",
+    "geometry_compute_dtype": "float64_after_source_decode_until_integer_rasterization",
+}
+PREPROCESS_IDENTITY = {
+    "representation": "das_3d_tracks",
+    "channels_per_object": 4,
+    "channels": ["identity_r", "identity_g", "identity_b", "visibility"],
+    "max_objects": 3,
+    "frame_selection": "same_evenly_spaced_indices_as_preprocessed_video",
+    "source_frame_alignment": "trajectory_count_equals_source_video_count",
+    "spatial_grid": "Wan_VAE_grid_after_full_resolution_visibility",
+    "spatial_transform": "cover_then_center_crop_to_preprocess_size",
+    "point_identity": "first_frame_camera_xyz_with_reciprocal_z_rgb",
+    "color_normalization": "shared_xy_minmax_inverse_z_2_98_percentile",
+    "visibility": "full_resolution_dynamic_and_static_nearest_depth_z_buffer",
+    "visibility_depth_range": "source_camera_clip_start_end",
+    "spatial_reduction": "visible_point_identity_mean_and_binary_occupancy",
+    "temporal_encoding": "conditioner_first_frame_plus_learned_stride4_windows",
+    "point_splat_radius_px": 1,
+}
+LATENT_CHANNELS, TEXT_WIDTH, TEXT_TOKENS = 48, 4096, 512
+
 PACKAGE_SCHEMA_PATTERN = r"^[a-z0-9_]+\.structured_scene_package\.v1$"
 COLLISION_PROXY = "object_collision_proxy.obj"
 SCENE_MAP_ARRAYS = (

@@ -148,12 +148,16 @@ def top_k(
 ) -> DataFrame:
     """First ``k`` rows of every key in ``order``, ranked from 1.
 
-    Rows are ranked inside their own partition first, and the first ``k`` of ``fan`` partitions meet in
-    each further round, so a key that holds most rows never sits in one task. ``order`` must be total
-    for a reproducible choice; which partition a row comes from does not change the result.
+    Up to the session's limit for ranked windows (1,000) Spark itself keeps the first rows of every task
+    before it shuffles. Beyond it, rows are ranked inside their own partition first, and the first ``k``
+    of ``fan`` partitions meet in each further round. Either way a key that holds most rows never sits in
+    one task. ``order`` must be total for a reproducible choice; which partition a row comes from does not
+    change the result.
     """
     keys, order = list(keys), _order(order)
-    out = df.withColumn("_part", F.spark_partition_id())
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        rounds = 0
+    out = df.withColumn("_part", F.spark_partition_id()) if rounds else df
     for _ in range(rounds):
         ranked = out.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
         out = ranked.filter(F.col("_r") <= k).withColumn("_part", F.floor(F.col("_part") / F.lit(fan)).cast("int")).drop("_r")

@@ -109,6 +109,33 @@ def occlusion_probe(
     )
 
 
+def clock_error(meta: DataFrame, clock: DataFrame) -> DataFrame:
+    """Largest gap between the stated times of a track and ``clock(sample_id, frame, t)``, as ``time_error``.
+
+    A frame that only one of them has, or a time that is no number, is an infinite gap.
+    """
+    stated = meta.select("sample_id", F.posexplode("time_s").alias("frame", "_t"))
+    both = stated.join(clock.select("sample_id", F.col("frame").cast("int").alias("frame"), F.col("t").cast("double").alias("_c")), ["sample_id", "frame"], "full")
+    gap = F.abs(F.col("_t") - F.col("_c"))
+    return both.groupBy("sample_id").agg(F.max(F.when(gap.isNull() | F.isnan(gap), F.lit(float("inf"))).otherwise(gap)).alias("time_error"))
+
+
+def window_error(cells: DataFrame, pooled: DataFrame, values: Sequence[str] = ("r", "g", "b", "visible")) -> DataFrame:
+    """Largest gap between a pooled map and the frames it stands for, as ``pool_error``.
+
+    ``pooled`` has a ``latent`` index where ``cells`` have a frame: 0 is frame 0, l > 0 the mean of frames
+    4 l - 3 to 4 l, absent cells being zero. Frames add their share of a window and the pooled cell is taken
+    off; what is left is the error, in one aggregation and no join.
+    """
+    keys = ["sample_id", "slot", "latent", "cy", "cx"]
+    latent = F.col("latent")
+    own = cells.withColumn("latent", F.when(F.col("frame") == 0, 0).otherwise(F.floor((F.col("frame") + 3) / 4)).cast("int"))
+    share = F.when(latent == 0, F.lit(1.0)).otherwise(F.lit(0.25))
+    both = own.select(*keys, *[(G.d(v) * share).alias(v) for v in values]).unionByName(pooled.select(*keys[:2], latent.cast("int").alias("latent"), *keys[3:], *[(-G.d(v)).alias(v) for v in values]))
+    left = both.groupBy(*keys).agg(*[F.abs(F.sum(v)).alias(v) for v in values])
+    return left.groupBy("sample_id").agg(F.max(F.greatest(*values)).alias("pool_error"))
+
+
 # check name, metric column, relation, limit
 CHECKS = (
     ("raw_time", "time_error", "<", 1e-7),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from trackloom.functions import geometry as G
 from trackloom.functions.quantiles import percentiles
 from trackloom.operators.masks import dilate, disc_spans
-from trackloom.operators.selection import draw_hash
+from trackloom.operators.selection import permuted
 from trackloom.session import cut_lineage
 
 OBSERVED, COMPLETED, OBJECT = 0, 1, 2
@@ -198,13 +198,16 @@ def local_band(pixels: DataFrame, width: int, height: int, key: str = "scene") -
 
 
 def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: int = 0, trials: int = 1600, minimum: int = 160, least: int = 100) -> DataFrame:
-    """Up to ``planes`` dominant planes per scene by seeded triple sampling.
-
-    Hash-ranked points give ``trials`` candidate planes per scene (a fixed-size array
-    per scene).  A scene's points are dealt over blocks of ``SCORED`` points, each scored
-    against all planes in one array call, and the blocks' counts are added up.  A scene
-    with fewer than ``least`` points left gets no further plane.  The only driver loop is
-    over the plane number, with a checkpoint per round.
+    """Up to ``planes`` dominant planes per scene by seeded triples, each refitted to its inliers.
+
+    Every scene gets all ``trials``, however few points it has: a corner of a trial is the point at a
+    place that is a hash of (seed, trial, corner) modulo the number of points, in a numbering that no task
+    sorts whole. Trials whose corners lie on a line give no plane. A scene's points are dealt over blocks of
+    ``SCORED`` points, each scored against all planes in one array call, and the blocks' counts are added up.
+    ``inliers`` are those of the best trial; they are taken out before the next plane, and the equation
+    given is the least-squares plane through them. A scene with fewer than ``least`` points left gets no
+    further plane. ``ident`` is unique in a scene. The only driver loop is over the plane number, with a
+    checkpoint per round.
     """
     sizes = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("_total"), *[(F.max(G.d(c)) - F.min(G.d(c))).alias(f"_s{c}") for c in ("x", "y", "z")]
@@ -217,7 +220,7 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
     found: DataFrame | None = None
     for index in range(planes):
         enough = left.groupBy(key).agg(F.count(F.lit(1)).alias("_left")).filter(F.col("_left") >= least)
-        candidates = _triple_planes(left, key, seed + index, trials).join(enough, key)
+        candidates = cut_lineage(_trial_planes(left, enough, key, seed + index, trials).join(enough, key))
         block = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_left") / F.lit(SCORED)))
         counts = (
             left.join(enough, key).withColumn("_block", block).groupBy(key, "_total", "_tol", "_block")
@@ -229,23 +232,42 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
         best = scored.groupBy(key).agg(
             F.max_by(F.struct("_p", "_n", "_total", "_tol"), F.struct("_n", (-F.col("_p.trial")).alias("_t"))).alias("_b")
         )
-        accepted = best.filter(
-            F.col("_b._n") >= F.greatest(F.lit(80), F.floor(F.col("_b._total") * 0.07))
-        ).select(
-            key, F.lit(index).alias("plane"), "_b._p.a", "_b._p.b", "_b._p.c", "_b._p.d",
-            F.col("_b._n").alias("inliers"), F.col("_b._tol").alias("tolerance"),
+        trial = best.filter(F.col("_b._n") >= F.greatest(F.lit(80), F.floor(F.col("_b._total") * 0.07))).select(
+            key, *[F.col(f"_b._p.{n}").alias(f"_{n}") for n in "abcd"], F.col("_b._n").alias("inliers"), F.col("_b._tol").alias("tolerance")
         )
-        accepted = cut_lineage(accepted)
+        trial = cut_lineage(trial)
+        off = F.abs(F.col("_a") * F.col("x") + F.col("_b") * F.col("y") + F.col("_c") * F.col("z") + F.col("_d"))
+        near = left.join(trial, key)
+        accepted = cut_lineage(trial.join(_refit(near.filter(off <= F.col("tolerance")), key), key).select(
+            key, F.lit(index).alias("plane"), *[F.coalesce(n, f"_{n}").alias(n) for n in "abcd"], "inliers", "tolerance"
+        ))
         found = accepted if found is None else found.unionByName(accepted)
         if index + 1 < planes:
-            drop = accepted.select(key, "a", "b", "c", "d")
-            kept = left.join(drop, key).filter(
-                F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) > F.col("_tol")
-            ).select(*left.columns)
-            left = cut_lineage(kept)
+            left = cut_lineage(near.filter(off > F.col("tolerance")).select(*left.columns))
     return found
 
 
+def _refit(points: DataFrame, key: str) -> DataFrame:
+    """Plane through the mean of the points whose normal follows from their covariance; NULL for points on a line.
+
+    The two slopes are regressed on the axis for which the other two spread most.
+    """
+    x, y, z = (F.col(c) for c in "xyz")
+    m = points.groupBy(key).agg(
+        *[F.avg(c).alias(f"_m{n}") for c, n in ((x, "x"), (y, "y"), (z, "z"))],
+        *[F.covar_pop(a, b).alias(f"_{n}") for a, b, n in ((x, x, "xx"), (y, y, "yy"), (z, z, "zz"), (x, y, "xy"), (x, z, "xz"), (y, z, "yz"))],
+    )
+    xx, yy, zz, xy, xz, yz = (F.col(f"_{n}") for n in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    along = {"x": yy * zz - yz * yz, "y": xx * zz - xz * xz, "z": xx * yy - xy * xy}
+    top = F.greatest(*along.values())
+    p, q, r = xz * yz - xy * zz, xy * yz - xz * yy, xy * xz - yz * xx
+    normal = F.when(along["x"] == top, F.array(along["x"], p, q)).when(along["y"] == top, F.array(p, along["y"], r)).otherwise(F.array(q, r, along["z"]))
+    m = m.withColumn("_v", F.when(top > 1e-24, normal))
+    size = G.norm(*[F.col("_v")[i] for i in range(3)])
+    m = m.select(key, "_mx", "_my", "_mz", *[(F.col("_v")[i] / size).alias(n) for i, n in enumerate("abc")])
+    return m.select(key, "a", "b", "c", (-(F.col("a") * F.col("_mx") + F.col("b") * F.col("_my") + F.col("c") * F.col("_mz"))).alias("d"))
+
+
 def _near_counts(points: pa.Array, planes: pa.Array, tolerance: pa.Array) -> pa.Array:
     """For each row, how many of its points lie within the tolerance of each of its planes."""
     out = []
@@ -256,33 +278,27 @@ def _near_counts(points: pa.Array, planes: pa.Array, tolerance: pa.Array) -> pa.
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _triple_planes(points: DataFrame, key: str, seed: int, trials: int) -> DataFrame:
-    """Array of candidate unit planes per scene from the 3 x trials first points by hash."""
-    w = W.partitionBy(key).orderBy("_h", "_id")
-    drawn = (
-        points.withColumn("_h", draw_hash(seed, F.col("_id")))
-        .withColumn("_r", F.row_number().over(w))
-        .filter(F.col("_r") <= 3 * trials)
+def _trial_planes(points: DataFrame, sizes: DataFrame, key: str, seed: int, trials: int) -> DataFrame:
+    """Array of candidate unit planes per scene of ``sizes(key, _left)``, at most one per trial."""
+    placed = permuted(points.join(sizes.select(key), key, "left_semi"), "_id", seed, keys=[key])
+    corner = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    drawn = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("corner", corner)
+    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "trial", "corner"), 256), 1, 12)
+    drawn = drawn.withColumn("offset", F.conv(digits, 16, 10).cast("long") % F.col("_left"))
+    listed = drawn.join(placed.select(key, "offset", "x", "y", "z"), [key, "offset"]).groupBy(key, "trial").agg(
+        *[F.max(F.when(F.col("corner") == j, F.struct("x", "y", "z"))).alias(f"_{n}") for j, n in enumerate("pqr")]
     )
-    corner = F.struct("_r", "x", "y", "z")
-    listed = drawn.groupBy(key).agg(F.array_sort(F.collect_list(corner)).alias("_c"))
-
-    def plane(i: Column) -> Column:
-        p, q, r = (F.get("_c", i * 3 + j) for j in range(3))
-        e = [q[c] - p[c] for c in "xyz"]
-        f = [r[c] - p[c] for c in "xyz"]
-        n = [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
-        size = G.norm(*n)
-        safe = F.when(size > 1e-12, size)
-        unit = [x / safe for x in n]
-        return F.struct(
-            i.alias("trial"), unit[0].alias("a"), unit[1].alias("b"), unit[2].alias("c"),
-            (-(unit[0] * p["x"] + unit[1] * p["y"] + unit[2] * p["z"])).alias("d"),
-        )
-
-    count = F.floor(F.size("_c") / 3).cast("int")
-    made = F.transform(F.sequence(F.lit(0), count - 1), plane)
-    return listed.filter(F.size("_c") >= 3).select(key, F.filter(made, lambda s: s["a"].isNotNull()).alias("_planes"))
+    p, q, r = (F.col(f"_{n}") for n in "pqr")
+    e = [q[c] - p[c] for c in "xyz"]
+    f = [r[c] - p[c] for c in "xyz"]
+    n = [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
+    size = G.norm(*n)
+    flat = listed.withColumns({f"_n{i}": x / size for i, x in enumerate(n)} | {"_size": size}).filter("_size > 1e-12")
+    unit = [F.col(f"_n{i}") for i in range(3)]
+    plane = F.struct(
+        "trial", unit[0].alias("a"), unit[1].alias("b"), unit[2].alias("c"), (-(unit[0] * p["x"] + unit[1] * p["y"] + unit[2] * p["z"])).alias("d")
+    )
+    return flat.groupBy(key).agg(F.array_sort(F.collect_list(plane)).alias("_planes"))
 
 
 def nearest(queries: DataFrame, cloud: DataFrame, query_id: str, cloud_id: str, axes: Sequence[str] = ("x", "y", "z"), depth: int | None = None) -> DataFrame:

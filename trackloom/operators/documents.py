@@ -7,29 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from trackloom import contracts as C
-from trackloom.session import cut_lineage
+
+
+#: A JSON string, with the colon that follows it if it is a key. Possessive, so texts of any length are safe.
+_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[\x20\t\r\n]*+:)?+'
 
 
 def forbidden_keys(docs: DataFrame, keys: Sequence[str], key: str = "doc_id", raw: str = "raw") -> DataFrame:
     """Denied keys met anywhere in a JSON document, at any nesting; (key, NULL) if a document is no JSON.
 
-    The parsed document is walked one level of nesting at a time, all documents together: a level
-    explodes every object and array into its fields and elements, keeps the denied names, and hands
-    containers on. There are as many rounds as the deepest document has levels.
+    In a document that parses, quotes only delimit strings and a string before a colon is a key, so one
+    pass over the text finds the keys of all levels; those written with escapes are decoded first.
     """
-    parsed = docs.select(F.col(key).alias("_id"), F.try_parse_json(raw).alias("_v"), F.col(raw).isNotNull().alias("_some"))
-    broken = parsed.filter("_some and _v is null").select("_id", F.lit(None).cast("string").alias("_name"))
-    spark = docs.sparkSession
-    level = parsed.filter("_v is not null").select("_id", "_v")
-    found = cut_lineage(broken)
-    while True:
-        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_id", F.col("key").alias("_name"), F.col("value").alias("_v"))
-        inside = cut_lineage(inside.filter("_v is not null"))
-        found = found.union(inside.filter(F.col("_name").isin(*keys)).select("_id", "_name"))
-        level = inside.filter(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).select("_id", "_v")
-        if not level.limit(1).count():
-            break
-    return found.distinct().select(F.col("_id").alias(key), F.col("_name").alias("key"))
+    parsed = F.try_parse_json(raw).isNotNull()
+    literal = F.transform(
+        F.filter(F.regexp_extract_all(raw, F.lit(_STRING), F.lit(0)), lambda s: s.endswith(":")), lambda s: F.rtrim(F.substr(s, F.lit(1), F.length(s) - 1), F.lit(" \t\r\n"))
+    )
+    names = F.transform(
+        literal, lambda s: F.when(F.contains(s, F.lit("\\")), F.try_variant_get(F.try_parse_json(s), "$", "string")).otherwise(F.substr(s, F.lit(2), F.length(s) - 2))
+    )
+    denied = F.filter(F.array_distinct(names), lambda n: n.isin(*keys))
+    found = F.when(parsed, denied).otherwise(F.array(F.lit(None).cast("string")))
+    some = docs.filter(F.col(raw).isNotNull())
+    return some.select(F.col(key), F.explode(found).alias("key")).distinct()
 
 
 def scan_text(
@@ -50,6 +50,19 @@ def scan_text(
     return docs.select(key, F.explode(F.array_compact(F.array(*found))).alias("finding"))
 
 
+#: Folders of a person's machine that published text should not name.
+MACHINE_PATHS = {
+    "data_mount": r"/mnt/data/[A-Za-z0-9_.-]+",
+    "home_path": r"/home/[A-Za-z0-9_][A-Za-z0-9_.-]*",
+    "windows_path": r"(?i)[a-z]:\\users\\[^\\\s]+",
+}
+
+
+def machine_paths(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """Findings (key, finding) of personal folders in a text."""
+    return scan_text(docs, MACHINE_PATHS, key, text)
+
+
 def legacy_tokens(docs: DataFrame, tokens: Sequence[str], key: str = "path", text: str = "text") -> DataFrame:
     """Literal tokens that occur in a text."""
     hits = F.filter(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom import contracts as C
+from trackloom.functions.ordered import top_k
 
 # measurement, comparison that fails the gate, reason
 GATES = (
@@ -127,16 +128,14 @@ def candidate_score(df: DataFrame) -> DataFrame:
 
 def rank_candidates(scored: DataFrame, group: str, order: str, keep: int = 20) -> DataFrame:
     """Best ``keep`` candidates per image; ties keep the earlier candidate first."""
-    w = W.partitionBy(group).orderBy(F.col("score").desc(), F.col(order))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    return top_k(scored, [group], [F.col("score").desc(), order], keep)
 
 
 def best_solution(views: DataFrame, solutions: DataFrame, group: str, keep: int = 10) -> DataFrame:
     """Keep the ``keep`` views with most matches, then the solution with most inliers
     and least error.  ``views(group, view, matches, shape)``;
     ``solutions(group, view, inliers, error)``."""
-    w = W.partitionBy(group).orderBy(F.col("matches").desc(), F.col("shape"), F.col("view"))
-    kept = views.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= keep)
+    kept = top_k(views, [group], [F.col("matches").desc(), "shape", "view"], keep, "_rank")
     joined = solutions.join(kept.select(group, "view"), [group, "view"], "left_semi")
     row = F.struct("inliers", (-F.col("error")).alias("_e"), "view", "error")
     return joined.groupBy(group).agg(F.max(row).alias("_b")).select(

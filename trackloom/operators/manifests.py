@@ -92,13 +92,18 @@ def nominal_lookup(records: DataFrame, group: str = "base_scene_id", mode: str =
 
 
 def trajectory_inputs(targets: DataFrame, records: DataFrame, source: str = "target") -> DataFrame:
-    """Sample whose trajectory each target uses: its own, or its scene's base record."""
+    """Sample whose trajectory each target uses: its own, or its scene's base record.
+
+    A scene without a base record gives NULL; one with several fails, as soon as a target asks for it.
+    """
     if source not in ("target", "nominal_base"):
         raise ValueError(f"unsupported trajectory source: {source}")
     if source == "target":
         return targets.withColumn("trajectory_id", F.col("sample_id"))
-    base = records.filter(F.col("mode") == "base").groupBy("base_scene_id").agg(F.min("sample_id").alias("trajectory_id"))
-    return targets.join(base, "base_scene_id", "left")
+    base = records.filter(F.col("mode") == "base").groupBy("base_scene_id").agg(F.min("sample_id").alias("trajectory_id"), F.count(F.lit(1)).alias("_n"))
+    several = F.raise_error(F.concat(F.lit("several base records of scene "), F.col("base_scene_id").cast("string"))).cast(records.schema["sample_id"].dataType)
+    one = F.when(F.col("_n") > 1, several).otherwise(F.col("trajectory_id"))
+    return targets.join(base, "base_scene_id", "left").withColumn("trajectory_id", one).drop("_n")
 
 
 def restore_order(df: DataFrame, source: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -371,13 +376,15 @@ def audit_cache(
     record_violations: DataFrame | None = None,
     tensor_stats: DataFrame | None = None,
     cell_violations: DataFrame | None = None,
+    text_stats: DataFrame | None = None,
 ) -> DataFrame:
     """All per-sample error conditions of a cache as (sample_id, rule_id, message).
 
     ``records`` is flattened: sample_id, base_scene_id, record_json, object_ids,
     latent_path/sha256, text_path/sha256, track_path/sha256/shape, track_object_ids,
     track_object_count, source_point_trajectory(_sha256), first_frame(_sha256),
-    scene(_sha256), video(_sha256).
+    scene(_sha256), video(_sha256). Headers and track manifests are audited by
+    ``headers.audit_headers`` and ``headers.audit_track_manifests``.
     """
     def rows(df: DataFrame, rule: str, message: Column | str) -> DataFrame:
         text = F.lit(message) if isinstance(message, str) else message
@@ -453,6 +460,9 @@ def audit_cache(
     if tensor_stats is not None:
         bad = tensor_stats.filter(~F.col("shape_ok") | ~F.col("values_ok"))
         parts.append(rows(bad, "tensor", F.when(~F.col("shape_ok"), F.lit("tensor.shape")).otherwise(F.lit("tensor.values"))))
+    if text_stats is not None:
+        bad = text_stats.filter(~F.col("shape_ok") | ~F.col("values_ok"))
+        parts.append(rows(bad, "text", F.when(~F.col("shape_ok"), F.lit("text.shape")).otherwise(F.lit("text.values"))))
     if cell_violations is not None:
         parts.append(rows(cell_violations, "cells", F.col("message")))
     out = parts[0]

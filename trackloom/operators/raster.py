@@ -44,7 +44,8 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
 
     ``meta`` carries sample_id, fields ARRAY, frames, time_s ARRAY, object_ids, width,
     height, metadata VARIANT; ``initial(sample_id, slot, point_id, ix, iy, iz)``.
-    Point rules are booleans folded per sample in one pass over the points.
+    Point rules are booleans folded per sample in one pass over the points. T03 needs the readers'
+    ``points.valid_binary``; points without that column have flags already.
     """
     declared = F.coalesce(
         F.try_variant_get("metadata", "$.schema", "string").rlike(C.TRACK_SCHEMA_PATTERN), F.lit(False)
@@ -77,6 +78,7 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
     track_ok = (c[2] <= 1e-6) | (K.close(u, pu, 1e-4, 1e-3) & K.close(v, pv, 1e-4, 1e-3))
     in_view = (c[2] > F.col("clip_start")) & (c[2] < F.col("clip_end")) & (pu >= 0) & (pu < F.col("width")) & (pv >= 0) & (pv < F.col("height"))
     per_point = {
+        "T03": F.col("valid_binary") if "valid_binary" in points.columns else F.lit(True),
         "T04": K.close(depth, c[2], 1e-5, 1e-6),
         "T05": ~F.col("valid") | (depth > 1e-6),
         "T07": everything,
@@ -148,11 +150,12 @@ def validate_tracks(points: DataFrame, cameras: DataFrame, meta: DataFrame, init
     rules = [
         ("T01", fields, "required fields are missing"),
         ("T02", shape, "exactly 2048 points per object and frame are required"),
+        ("T03", F.col("T03"), "a flag is neither 0 nor 1"),
         ("T04", F.col("T04"), "depth must equal camera z"),
-        ("T05", F.col("T05"), "valid points must have positive depth"),
+        ("T05", F.col("T05"), "flagged point at or behind the camera"),
         ("T06", n.between(1, C.MAX_OBJECTS) & (F.size(F.array_distinct(ids)) == n), "object ids must be 1..3 and unique"),
         ("T07", F.col("T07") & F.forall(times, K.finite), "non-finite coordinates or times"),
-        ("T08", (F.size(times) == frames) & increasing, "time must be strictly increasing, one per frame"),
+        ("T08", (F.size(times) == frames) & increasing, "one rising time stamp per frame expected"),
         ("T09", F.col("T09"), "initial points must equal frame 0"),
         ("T10", F.col("T10"), "camera matrices must be finite homogeneous transforms"),
         ("T11", F.col("T11"), "camera rotations must be orthonormal"),

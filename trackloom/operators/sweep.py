@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom import contracts as C
-from trackloom.functions.ordered import DEFAULT_BLOCK, with_adjacent
+from trackloom.functions.ordered import DEFAULT_BLOCK, top_k, with_adjacent
 from trackloom.functions.quantiles import percentiles
 from trackloom.functions.geometry import norm
 
@@ -176,8 +176,7 @@ def axis_summary(
 
 def top_groups(pairs: DataFrame, axis: str, response: str, ordinal: str, k: int) -> DataFrame:
     """Top ``k`` rows per axis by response; ties keep source order."""
-    w = W.partitionBy(axis).orderBy(F.col(response).desc(), F.col(ordinal))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_k(pairs, [axis], [F.col(response).desc(), ordinal], k)
 
 
 def training_schedule(

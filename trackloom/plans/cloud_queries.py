@@ -112,15 +112,64 @@ def shift_to_support(spark, folder):
     return clouds.shift_to_support(v, clouds.support_relation(v, _planes(v), ["scene"]), ["scene"])[1]
 
 
-@query("scene:i plane:i a:f6 b:f6 c:f6 d:f6 inliers:i")
+def _plane_sql(points: str, planes: int = 2) -> str:
+    """All trials of every scene, scored on all points; ``points`` gives (scene, id, x, y, z)."""
+    steps = [
+        f"pts AS ({points})",
+        """spans AS (SELECT scene, count(*) AS total, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS s FROM pts GROUP BY scene HAVING count(*) >= 160)""",
+        """left0 AS (SELECT pts.*, total, greatest((s[2] + (s[3] - s[2]) * 0.6) * 0.006, 1e-5) AS tol FROM pts JOIN spans USING (scene))""",
+    ]
+    for r in range(planes):
+        steps += [
+            f"""num{r} AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY sha256('{r}:' || id), id) - 1 AS at, count(*) OVER (PARTITION BY scene) AS n FROM left{r})""",
+            f"""drawn{r} AS (SELECT scene, t, c, ('0x' || substr(sha256('{r}:' || t || ':' || c), 1, 12))::BIGINT % n AS at FROM (SELECT DISTINCT scene, n FROM num{r} WHERE n >= 100), range(1600) a(t), range(3) b(c))""",
+            f"""corner{r} AS (SELECT d.scene, t, max({{'x': x, 'y': y, 'z': z}}) FILTER (c = 0) AS p, max({{'x': x, 'y': y, 'z': z}}) FILTER (c = 1) AS q, max({{'x': x, 'y': y, 'z': z}}) FILTER (c = 2) AS w
+              FROM drawn{r} d JOIN num{r} m ON m.scene = d.scene AND m.at = d.at GROUP BY d.scene, t)""",
+            f"""cross{r} AS (SELECT scene, t, p, (q.y - p.y) * (w.z - p.z) - (q.z - p.z) * (w.y - p.y) AS i, (q.z - p.z) * (w.x - p.x) - (q.x - p.x) * (w.z - p.z) AS j,
+              (q.x - p.x) * (w.y - p.y) - (q.y - p.y) * (w.x - p.x) AS k FROM corner{r})""",
+            f"""plane{r} AS (SELECT scene, t, i / s AS a, j / s AS b, k / s AS c, -(i / s * p.x + j / s * p.y + k / s * p.z) AS d FROM (SELECT *, sqrt(i * i + j * j + k * k) AS s FROM cross{r}) WHERE s > 1e-12)""",
+            f"""score{r} AS (SELECT p.scene, t, count(*) AS n FROM plane{r} p JOIN left{r} l ON l.scene = p.scene AND abs(a * x + b * y + c * z + d) <= tol GROUP BY p.scene, t)""",
+            f"""best{r} AS (SELECT p.*, n, tol FROM (SELECT * FROM score{r} QUALIFY row_number() OVER (PARTITION BY scene ORDER BY n DESC, t) = 1) s JOIN plane{r} p USING (scene, t)
+              JOIN (SELECT DISTINCT scene, total, tol FROM left{r}) z USING (scene) WHERE n >= greatest(80, floor(total * 0.07)))""",
+            f"""moment{r} AS (SELECT b.scene, any_value(n) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz,
+              covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM best{r} b JOIN left{r} l ON l.scene = b.scene AND abs(a * x + b * y + c * z + d) <= l.tol GROUP BY b.scene)""",
+            f"""normal{r} AS (SELECT *, CASE WHEN yy * zz - yz * yz >= greatest(xx * zz - xz * xz, xx * yy - xy * xy) THEN [yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy]
+              WHEN xx * zz - xz * xz >= xx * yy - xy * xy THEN [xz * yz - xy * zz, xx * zz - xz * xz, xy * xz - yz * xx] ELSE [xy * yz - xz * yy, xy * xz - yz * xx, xx * yy - xy * xy] END AS v FROM moment{r})""",
+            f"""fit{r} AS (SELECT scene, {r} AS plane, v[1] / s AS a, v[2] / s AS b, v[3] / s AS c, -(v[1] / s * mx + v[2] / s * my + v[3] / s * mz) AS d, n AS inliers
+              FROM (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS s FROM normal{r}))""",
+            f"""left{r + 1} AS (SELECT l.* FROM left{r} l JOIN best{r} b ON l.scene = b.scene AND abs(a * x + b * y + c * z + d) > l.tol)""",
+        ]
+    return "WITH " + ",\n".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM fit{r}" for r in range(planes))
+
+
+PLANE_COLUMNS = "scene:i plane:i a:f6 b:f6 c:f6 d:f6 inliers:i"
+
+
+@query(PLANE_COLUMNS, _plane_sql(f"WITH {XYZ_SQL} SELECT vec_id // 160 AS scene, vec_id AS id, x, y, z * 0.001 + x * 0.5 AS z FROM v"))
 def plane_fit(spark, folder):
-    """Dominant planes per scene; a noisy plane is recovered in the tests."""
+    """Dominant planes of scenes of 160 vectors, flattened so that a plane dominates."""
     v = vectors(spark, folder)
-    # Scenes of 250 vectors, flattened so that a plane dominates.
-    scenes = v.withColumn("scene", F.floor(F.col("vec_id") / 250)).withColumn("z", F.col("z") * 0.001 + F.col("x") * 0.5)
+    scenes = v.withColumn("scene", F.floor(F.col("vec_id") / 160)).withColumn("z", F.col("z") * 0.001 + F.col("x") * 0.5)
     return clouds.fit_planes(scenes, "scene", "vec_id", planes=2)
 
 
+@query(
+    PLANE_COLUMNS,
+    _plane_sql(
+        """SELECT l_linenumber % 2 AS scene, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_extendedprice / 1000 AS x, l_quantity AS y,
+        CASE WHEN l_linenumber < 6 THEN l_extendedprice / 2000 ELSE l_discount * 400 END AS z FROM lineitem"""
+    ),
+)
+def plane_fit_large(spark, folder):
+    """Dominant planes of two scenes that hold half of all lines each."""
+    price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    scenes = load(spark, folder, "lineitem").select(
+        (line % 2).alias("scene"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (price / 1000).alias("x"), F.col("l_quantity").alias("y"),
+        F.when(line < 6, price / 2000).otherwise(F.col("l_discount") * 400).alias("z"),
+    )
+    return clouds.fit_planes(scenes, "scene", "id", planes=2)
+
+
 @query(
     "label:i x_from:f6 x_to:f6 y_from:f6 y_to:f6 z_from:f6 z_to:f6",
     f"""WITH {XYZ_SQL},

@@ -9,7 +9,7 @@ from trackloom.functions import condition
 from trackloom.functions.ordered import index_within
 from trackloom.operators import audit, manifests, masks, packages, raster, records, selection, sequence, sweep
 from trackloom.plans.sequence_queries import PIXELS_SQL, frame_pixels
-from trackloom.plans.spec import query
+from trackloom.plans.spec import drain, query
 from trackloom.plans.tables import SWEEP_SQL, TRACK_SQL, load, sweep_rows, track_points
 from trackloom.session import shared_folder
 from trackloom.streaming import live
@@ -435,22 +435,6 @@ def audit_cache(spark, folder):
     return manifests.audit_cache(cache, source, tracks, files)
 
 
-def _drain(stream: DataFrame, folder: str, mode: str) -> None:
-    """Run a stream over everything that is there, writing each result table to ``folder``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        target = folder if mode == "complete" else f"{folder}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-
-    (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}-progress")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-
-
 @query(
     "mode:s axis:s metric:f4 steps:i non_finite:i last_step:i",
     """
@@ -466,7 +450,7 @@ def live_metrics(spark, folder):
         F.col("event_id").alias("step"), F.col("event_type").alias("mode"), (F.col("user_id") % 3).cast("string").alias("axis"), F.col("value").alias("total")
     )
     out = shared_folder(spark, "live-metrics")
-    _drain(live.live_metrics(progress), out, "complete")
+    drain(live.live_metrics(progress), out, "complete")
     return spark.read.parquet(out)
 
 
@@ -476,5 +460,5 @@ def live_validation(spark, folder):
     lines = shared_folder(spark, "manifest-lines")
     record_lines(spark, folder).select(F.col("raw").alias("value")).write.text(lines)
     out = shared_folder(spark, "live-violations")
-    _drain(live.live_validation(spark.readStream.text(lines)), out, "append")
+    drain(live.live_validation(spark.readStream.text(lines)), out, "append")
     return spark.read.parquet(out)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import checks as K
 from trackloom.functions import condition
+from trackloom.functions.ordered import index_within
 from trackloom.operators import documents, manifests, records, selection, sweep
 from trackloom.plans.spec import query
 from trackloom.plans.tables import FRAMES_SQL, SWEEP_SQL, load, sweep_rows, user_frames
@@ -38,6 +39,32 @@ def sweep_axis_summary(spark, folder):
     return sweep.axis_summary(measured, "axis", "response", "active")
 
 
+@query(
+    "scene:i axis:s level:i sample_id:i is_base:b",
+    """WITH o AS (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS level FROM orders)
+    SELECT o_custkey AS scene, axis, CASE axis WHEN 'friction' THEN level WHEN 'restitution' THEN 2 ELSE 4 - level END AS level, o_orderkey AS sample_id, true AS is_base
+      FROM o, (SELECT unnest(['friction', 'restitution', 'gravity']) AS axis) a WHERE o_orderstatus = 'P'
+    UNION ALL SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'friction' ELSE 'gravity' END, level, o_orderkey, false FROM o WHERE o_orderstatus <> 'P'""",
+)
+def sweep_levels(spark, folder):
+    """Levels of a sweep: a base row (pending orders) stands on every axis, others on their own."""
+    level = (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("level_index")
+    status = F.col("o_orderstatus")
+    samples = load(spark, folder, "orders").select(
+        F.col("o_custkey").alias("base_scene_id"), F.col("o_orderkey").alias("sample_id"), F.col("o_orderkey").alias("ordinal"), level,
+        F.when(status == "P", "base").otherwise("factor").alias("mode"), F.when(status == "F", "friction").otherwise("gravity").alias("axis"),
+    ).withColumn("base_level_indices", F.create_map(F.lit("friction"), F.col("level_index"), F.lit("restitution"), F.lit(2), F.lit("gravity"), 4 - F.col("level_index")))
+    out = sweep.sweep_levels(samples, ["friction", "restitution", "gravity"])
+    return out.withColumnRenamed("base_scene_id", "scene")
+
+
+@query("o_orderkey:i", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100")
+def nth_order(spark, folder):
+    """The record at a position of the whole table's order."""
+    numbered = index_within(load(spark, folder, "orders"), [], ["o_orderkey"], F.floor(F.col("o_orderkey") / 100_000), "place")
+    return selection.nth(numbered, "place", 100)
+
+
 @query(
     "scene:i axis:s rows:i levels_present:i surplus_rows:i",
     """

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from trackloom.functions.geometry import latent_frame
 from trackloom.functions.ordered import index_within, micros
 from trackloom.operators import metrics, sequence, sweep
-from trackloom.plans.spec import query
+from trackloom.plans.spec import drain, query
 from trackloom.plans.tables import FRAMES_SQL, load, user_frames
+from trackloom.session import shared_folder
+from trackloom.streaming import live
 
 VIDEO_FRAMES = 16
 
@@ -249,13 +251,67 @@ def _tracked(spark, folder):
     return sequence.track_candidates(candidates, seeds)
 
 
-@query("video:s frame:i cx:f4 cy:f4 area:f4")
+#: The tracker as a walk over frames: the state of every video advances by one frame a round.
+WALK_SQL = """
+e AS (SELECT user_id || ':' || (epoch_us(ts) // 86400000000) AS video, epoch_us(ts) AS t, event_id, event_type, value AS v FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, event_id) - 1 AS frame FROM e),
+cand AS (
+  SELECT video, frame, CASE WHEN event_type = 'error' THEN [] ELSE [
+    {'i': 0, 'x': CAST(v * 3.0 % 200.0 AS FLOAT), 'y': CAST(v * 5.0 % 120.0 AS FLOAT), 'a': v + 50.0}, {'i': 1, 'x': CAST(v * 7.0 % 200.0 AS FLOAT), 'y': CAST(v * 2.0 % 120.0 AS FLOAT), 'a': v + 100.0},
+    {'i': 2, 'x': CAST(v * 1.0 % 200.0 AS FLOAT), 'y': CAST(v * 11.0 % 120.0 AS FLOAT), 'a': v + 150.0}] END AS c,
+    v * 3.0 % 200.0 AS u, v * 5.0 % 120.0 AS w, event_type <> 'error' AS seen FROM f),
+walk AS (
+  SELECT video, CAST(-1 AS BIGINT) AS frame, NULL::FLOAT AS lx, NULL::FLOAT AS ly, NULL::FLOAT AS px, NULL::FLOAT AS py, 0::DOUBLE AS area, NULL::FLOAT AS cx, NULL::FLOAT AS cy FROM (SELECT DISTINCT video FROM cand)
+  UNION ALL
+  SELECT video, frame, coalesce(b.x, lx), coalesce(b.y, ly), CASE WHEN b IS NULL THEN px ELSE lx END, CASE WHEN b IS NULL THEN py ELSE ly END, coalesce(b.a, 0), b.x, b.y
+  FROM (
+    SELECT s.*, c.frame AS frame, list_sort(list_transform(list_filter(list_transform(c.c, lambda z: {'d': CAST(sqrt((z.x - ax) * (z.x - ax) + (z.y - ay) * (z.y - ay)) AS FLOAT)::DOUBLE, 'z': z}), lambda z: z.d <= most),
+        lambda z: {'cost': z.d + CASE WHEN known > 0 THEN 3.0 * abs(ln(greatest(z.z.a, 1.0) / greatest(known, 1.0))) ELSE 0 END, 'i': z.z.i, 'x': z.z.x, 'y': z.z.y, 'a': z.z.a}))[1] AS b
+    FROM (
+      SELECT video, frame + 1 AS next, lx, ly, px, py, CASE WHEN lx IS NULL THEN 160.0 ELSE 150.0 END AS most, CASE WHEN lx IS NULL THEN 0 ELSE area END AS known,
+        CASE WHEN lx IS NULL THEN 100::FLOAT WHEN px IS NULL THEN lx ELSE lx + (lx - px) END AS ax, CASE WHEN lx IS NULL THEN 60::FLOAT WHEN py IS NULL THEN ly ELSE ly + (ly - py) END AS ay FROM walk) s
+    JOIN cand c ON c.video = s.video AND c.frame = s.next)),
+tracked AS (SELECT video, frame, cx, cy, area FROM walk WHERE frame >= 0)"""
+
+
+@query("video:s frame:i cx:f4 cy:f4 area:f4", f"WITH RECURSIVE {WALK_SQL} SELECT * FROM tracked")
 def track_candidates(spark, folder):
     """Greedy tracker; checked against a plain loop in the tests."""
     return _tracked(spark, folder)
 
 
-@query("video:s frames:i detected_frames:i detection_coverage:f6 mean_distance_px:f4 median_distance_px:f4 p95_distance_px:f4 rmse_px:f4 max_distance_px:f4")
+@query("video:s frame:i cx:f4 cy:f4 area:f4 late:b", f"WITH RECURSIVE {WALK_SQL} SELECT *, false AS late FROM tracked")
+def live_tracker(spark, folder):
+    """The tracker as a stream with state, fed day by day; every day's clips equal the batch tracker's."""
+    source, out = shared_folder(spark, "candidates"), shared_folder(spark, "live-tracks")
+    rows = _clips(spark, folder).withColumns({"sx": F.lit(100.0), "sy": F.lit(60.0), "_day": F.substring_index("video", ":", -1)})
+    schema = rows.drop("_day").schema
+    rows.repartition("_day").write.partitionBy("_day").parquet(source)
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "16").option("recursiveFileLookup", "true").parquet(source)
+        drain(live.live_tracker(stream), out, "append")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+@query(
+    "video:s frames:i detected_frames:i detection_coverage:f6 mean_distance_px:f4 median_distance_px:f4 p95_distance_px:f4 rmse_px:f4 max_distance_px:f4",
+    f"""WITH RECURSIVE {WALK_SQL},
+    g AS (SELECT t.video, sqrt((cx - u) * (cx - u) + (cy - w) * (cy - w)) AS d FROM (SELECT video, frame, cx::DOUBLE AS cx, cy::DOUBLE AS cy FROM tracked WHERE cx IS NOT NULL) t
+      JOIN cand c ON c.video = t.video AND c.frame = t.frame AND seen),
+    stats AS (SELECT video, round_even(avg(d), 4) AS mean_distance_px, round_even(quantile_cont(d, 0.5), 4) AS median_distance_px, round_even(quantile_cont(d, 0.95), 4) AS p95_distance_px,
+      round_even(sqrt(avg(d * d)), 4) AS rmse_px, round_even(max(d), 4) AS max_distance_px FROM g GROUP BY video),
+    base AS (SELECT video, count(*) AS frames, count(cx) AS detected_frames, round_even(count(cx) / count(*), 6) AS detection_coverage FROM tracked GROUP BY video)
+    SELECT * FROM base LEFT JOIN stats USING (video)""",
+)
 def trajectory_report(spark, folder):
     """Coverage and error of the tracked path against each frame's first candidate."""
     observed = _tracked(spark, folder)

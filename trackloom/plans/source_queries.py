@@ -58,6 +58,28 @@ def cache_manifest(spark, folder):
     return sinks.read_cache_manifest(spark, path)[1].select("sample_id", "shard_file")
 
 
+@query(
+    "shard:i file:s stated:i found:i agrees:b first_id:i last_id:i",
+    """SELECT o_custkey % 4 AS shard, 'manifest.shard-' || lpad(CAST(o_custkey % 4 AS VARCHAR), 5, '0') || '-of-00004.json' AS file, count(*) AS stated, count(*) AS found, true AS agrees,
+      min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY o_custkey % 4""",
+)
+def cache_shard_files(spark, folder):
+    """Shards written under their contract names, twice, and read back as documents."""
+    path = shared_folder(spark, "shards")
+    key = F.col("o_orderkey")
+    records = load(spark, folder, "orders").select(
+        F.pmod("o_custkey", F.lit(4)).alias("shard"), key.alias("ordinal"), F.to_json(F.struct(key.cast("string").alias("sample_id"))).alias("record")
+    )
+    for _ in range(2):  # a second attempt replaces the files of the first
+        sinks.write_manifest_shards(records, '{"schema": "v1"}', path, 4)
+    header, items = manifest.read_document(spark, path)
+    ends = items.groupBy("source").agg(F.min_by("sample_id", "ordinal").alias("first_id"), F.max_by("sample_id", "ordinal").alias("last_id"))
+    file = F.substring_index("source", "/", -1)
+    return header.join(ends, "source").select(
+        F.regexp_extract(file, r"shard-(\d+)", 1).cast("int").alias("shard"), file.alias("file"), F.col("record_count").alias("stated"), F.col("records_found").alias("found"), F.col("count_ok").alias("agrees"), "first_id", "last_id"
+    )
+
+
 @query("scene:i source:i vec_id:i x:f6", "SELECT label AS scene, vec_id % 3 AS source, vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings")
 def cloud_files(spark, folder):
     """A cloud written by scene and source, read back whole."""

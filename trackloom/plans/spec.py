@@ -55,3 +55,19 @@ def query(columns: str, sql: str | None = None) -> Callable[[Build], Build]:
         return build
 
     return register
+
+
+def drain(stream: DataFrame, folder: str, mode: str) -> None:
+    """Run a stream over everything that is there, writing each result table to ``folder``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = folder if mode == "complete" else f"{folder}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+
+    (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{folder}-progress")
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
