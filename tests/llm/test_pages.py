@@ -79,6 +79,27 @@ def test_batches_do_not_change_labels(model, rows):
     assert [x.tolist() for x in model.label(pages.Encoder(), [[], some[0]])][0] == []
 
 
+def test_tables_without_article_tags_give_the_same_texts(rows, model):
+    """Neither tag occurs in the whole table, so layout has to name the training blocks."""
+    bare = rows.withColumn("html", F.regexp_replace("html", r"(?i)(</?)(?:article|main)\b", "$1div"))
+    assert bare.where(F.lower("html").rlike("<(article|main)")).count() == 0
+    other = pages.fit_labeller(bare)
+    want = {r[0]: r[1] for r in rows.select("page_id", pages.main_text(model)).collect()}
+    got = {r[0]: r[1] for r in bare.select("page_id", pages.main_text(other)).collect()}
+    assert sum(map(len, want.values())) > 10_000 and got == want
+
+
+def test_layout_names_the_container_of_running_text():
+    block = lambda path, text, linked=0: pages.Block(path.split(), text, linked)
+    page = [
+        block("html body div ul li", "Home", 4), block("html body div div h1", "A title"), block("html body div div p", "One sentence. And one more of it."),
+        block("html body div div p", "See all of these links.", 20), block("html body div div p", "Same on every page."), block("html body div p", "Side note."),
+        block("html body div div div .comments p", "I like this very much. Thank you for this long and kind text."),
+    ]
+    assert pages.placed_main(page, frozenset({"Same on every page."})) == [False, True, True, False, False, False, False]
+    assert pages.placed_main([block("html body nav a", "Home", 4)]) == [False] and pages.placed_main([]) == []
+
+
 def test_odd_rows_and_empty_tables(spark):
     long = "<article>" + "<p>word and word.</p>" * 20_000 + "</article>"
     data = [(1, None, None), (2, "u", ""), (3, "u", "<nav>only menu</nav>"), (4, "u", long), (4, "u", long), (None, None, "plain text & more")]

@@ -5,14 +5,14 @@ and id words), its hashed words, both as means of learned vectors, and a few fig
 LSTM in numpy reads the whole sequence, so each block is classified with the context of the document.
 
 The labeller is trained on a bounded sample of the given pages, whose own markup names what is article
-and what is not; each is also shown with other container names, with container names removed, and with
+and what is not; where it does not, running text, links, repetition and containers decide. Each page is also shown with other container names, with container names removed, and with
 foreign side blocks put in, so that words, shape and neighbours count where the markup says little.
 
 Defined results: a null or empty page, and one without text, gives the empty text; a page is read whole;
 unclosed scripts, comments and cut-off markup end with the page; formulas and what stands in for embedded
 media are text; drawings, buttons and selections are not, up to their end tag, the next block or their
 parent's end, nor are templates, up to their end tag or their parent's end; repeated rows give equal texts;
-an empty table gives an empty result; without pages to train on nothing is extracted. Other columns are
+an empty table gives an empty result; without any running text to train on nothing is extracted. Other columns are
 kept, and an existing column of the output's name is replaced.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -315,6 +316,38 @@ def named_main(block: Block) -> bool:
     return any(w in _INSIDE for w in block.path) and not any(w in _OUTSIDE for w in block.path)
 
 
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
+_SENTENCE = re.compile(r"[.!?。！？…](?:\s|$)")
+
+
+def _container(block: Block) -> tuple[str, ...]:
+    """Path of the element that holds a block of text."""
+    end = len(block.path)
+    while end and block.path[end - 1].startswith("."):
+        end -= 1
+    return tuple(block.path[: end - 1] if end and block.path[end - 1] in _TEXTUAL else block.path)
+
+
+def placed_main(blocks: list[Block], repeated: frozenset[str] = frozenset()) -> list[bool]:
+    """Main blocks by layout, for pages whose markup names none.
+
+    The container with most running text wins: text outside links, in sentences, in no side container and
+    not ``repeated`` on other pages. Its blocks that are not mostly links are main.
+    """
+    weight: dict[tuple[str, ...], int] = {}
+    plain = []
+    for b in blocks:
+        ok = not any(w in _OUTSIDE for w in b.path) and 2 * b.linked < len(b.text) and b.text not in repeated
+        plain.append(ok)
+        if ok and _SENTENCE.search(b.text):
+            at = _container(b)
+            weight[at] = weight.get(at, 0) + len(b.text) - b.linked
+    if not weight:
+        return [False] * len(blocks)
+    best = max(weight, key=lambda at: (weight[at], len(at), at))
+    return [ok and tuple(b.path[: len(best)]) == best for ok, b in zip(plain, blocks)]
+
+
 def _vary(blocks: list[Block], rng: np.random.Generator, foreign: list[str]) -> list[Block]:
     """Another rendering of the page: containers renamed or hidden, side blocks put in."""
     hide = rng.random() < 0.15
@@ -355,9 +388,12 @@ def train(pages: list[list[Block]], steps: int = 300, batch: int = 24, seed: int
         w["o" + side][HIDDEN : 2 * HIDDEN] = 1
     w["out"], w["bias"] = normal(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32)
     model = Labeller(w)
+    seen = Counter(t for p in pages for t in {b.text for b in p})
+    repeated = frozenset(t for t, n in seen.items() if n > max(2, len(pages) // 20))
     for p in pages:
-        for b in p:
-            b.main = named_main(b)
+        named = [named_main(b) for b in p]
+        for b, main in zip(p, named if any(named) else placed_main(p, repeated)):
+            b.main = main
     pages = [p for p in pages if p]
     if not pages or not any(b.main for p in pages for b in p):
         model.weights["out"] *= 0
