@@ -332,14 +332,14 @@ def placed_main(blocks: list[Block], repeated: frozenset[str] = frozenset()) ->
     """Main blocks by layout, for pages whose markup names none.
 
     The container with most running text wins: text outside links, in sentences, in no side container and
-    not ``repeated`` on other pages. Its blocks that are not mostly links are main.
+    not ``repeated`` on other pages. Its blocks that are not mostly links are main, repeated ones as well.
     """
     weight: dict[tuple[str, ...], int] = {}
     plain = []
     for b in blocks:
-        ok = not any(w in _OUTSIDE for w in b.path) and 2 * b.linked < len(b.text) and b.text not in repeated
+        ok = not any(w in _OUTSIDE for w in b.path) and 2 * b.linked < len(b.text)
         plain.append(ok)
-        if ok and _SENTENCE.search(b.text):
+        if ok and b.text not in repeated and _SENTENCE.search(b.text):
             at = _container(b)
             weight[at] = weight.get(at, 0) + len(b.text) - b.linked
     if not weight:
