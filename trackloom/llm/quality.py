@@ -119,6 +119,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Parts of the unbiased risk with the logistic loss: of the positives, and of the negatives among the unlabelled."""
+    return float(prior * _softplus(-fp).mean()), float(_softplus(fu).mean() - prior * _softplus(fp).mean())
+
+
+def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Descent direction by the scores of positives and unlabelled rows.
+
+    While the negatives' part is not below zero, the gradient of the whole risk; else that part is led back up.
+    """
+    down_p, down_u = -prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    if risk(fp, fu, prior)[1] < 0:
+        return -down_p, -down_u
+    return down_p - prior * _sigmoid(-fp) / len(fp), down_u
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float, nonneg: bool, hidden: int, epochs: int, seed: int, decay: float = 1e-4) -> dict[str, np.ndarray]:
     """Adam on the (non-negative) positive-unlabelled risk with the logistic loss."""
     rng = np.random.default_rng(seed)
@@ -138,13 +154,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float, nonneg: bool, hidden:
             h = np.tanh(x @ p["w1"] + p["b1"])
             f = h @ p["w2"] + p["b2"]
             fp, fu = f[: len(xp)], f[len(xp) :]
-            if nonneg:
-                rest = _softplus(fu).mean() - prior * _softplus(fp).mean()
-                g_neg = np.concatenate([-prior * _sigmoid(fp) / len(xp), _sigmoid(fu) / len(xu)])
-                g_pos = np.concatenate([-prior * _sigmoid(-fp) / len(xp), np.zeros(len(xu))])
-                g = g_pos + g_neg if rest >= 0 else -g_neg
-            else:
-                g = np.concatenate([-_sigmoid(-fp) / len(xp), _sigmoid(fu) / len(xu)])
+            g = np.concatenate(risk_gradient(fp, fu, prior) if nonneg else (-_sigmoid(-fp) / len(xp), _sigmoid(fu) / len(xu)))
             g = g.astype(np.float32)
             gh = np.outer(g, p["w2"]) * (1 - h * h)
             grad = {"w1": x.T @ gh + decay * p["w1"], "b1": gh.sum(0), "w2": h.T @ g + decay * p["w2"], "b2": g.sum(keepdims=True)}
@@ -190,15 +200,15 @@ def fit(pos: np.ndarray, unl: np.ndarray, hidden: int = 24, epochs: int = 12, se
 def training_rows(docs: DataFrame, labels: DataFrame, max_positives: int, max_unlabelled: int) -> DataFrame:
     """(positive, text): a bounded, repeatable sample of the training fold.
 
-    Positives are rows labelled 1; unlabelled rows are those without a label. The sample takes the rows
-    of least id hash, by a top-k in every task and then over all.
+    Positives are rows labelled 1; the unlabelled sample is drawn from all rows, whatever their labels. The
+    sample takes the rows of least id hash, by a top-k in every task and then over all.
     """
     docs = docs.select("doc_id", "text")
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
     marked = ids.join(good, "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit("quality")))
     pos = marked.where("_quality = 1").orderBy("_h", "doc_id").limit(max_positives).select("doc_id", F.lit(True).alias("positive"))
-    unl = marked.where("_quality is null").orderBy("_h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    unl = marked.orderBy("_h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # at most max_positives + max_unlabelled rows of two columns
     return docs.join(F.broadcast(pos.union(unl)), "doc_id").select("positive", "text")
 
