@@ -41,6 +41,17 @@ def test_adds_like_strings_and_leaves_words_alone(spark):
     assert model.redact("nothing here") == "nothing here"
 
 
+def test_runs_beside_spans_equal_brute_force():
+    rnd = random.Random(9)
+    for _ in range(500):
+        places = sorted(rnd.sample(range(60), 12))
+        runs = [(a, b, "x") for a, b in zip(places[::2], places[1::2])]
+        spans = sorted((a, rnd.randint(0, 2), a + rnd.randint(1, 9)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 5))))
+        assert secrets._untouched(runs, spans) == [r for r in runs if not any(r[0] < e and s < r[1] for s, _, e in spans)]
+    long = "token=abcdefgh12 0123456789abcdef0 plain-words-in-a-row " * 40_000
+    assert len(secrets.scan(long)[0]) == 40_000 and len(secrets.scan(long)[2]) == 80_000
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = odd_documents(spark)
     model = secrets.fit_formats(docs)

@@ -59,9 +59,24 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
                 strings.append((kind, m[0]))
         runs.append((a, run.end(), token))
     spans.sort()
-    if spans:
-        runs = [r for r in runs if not any(r[0] < e and s < r[1] for s, _, e in spans)]
-    return spans, strings, runs
+    return spans, strings, _untouched(runs, spans) if spans else runs
+
+
+def _untouched(runs: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """Runs that meet no span; both are sorted and walked side by side, so the time is linear."""
+    covered: list[list[int]] = []  # spans as disjoint stretches
+    for a, _, b in spans:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, k = [], 0
+    for run in runs:
+        while k < len(covered) and covered[k][1] <= run[0]:
+            k += 1
+        if k == len(covered) or covered[k][0] >= run[1]:
+            out.append(run)
+    return out
 
 
 @dataclass(frozen=True)
