@@ -91,18 +91,21 @@ def nominal_lookup(records: DataFrame, group: str = "base_scene_id", mode: str =
     return records.join(good, group), bad
 
 
-def trajectory_inputs(targets: DataFrame, records: DataFrame, source: str = "target") -> DataFrame:
+def trajectory_inputs(targets: DataFrame, records: DataFrame, source: str = "target", several: str = "error") -> DataFrame:
     """Sample whose trajectory each target uses: its own, or its scene's base record.
 
-    A scene without a base record gives NULL; one with several fails, as soon as a target asks for it.
+    A scene without a base record gives NULL. One with several fails as soon as a target asks for it, or
+    gives the base of least id if ``several`` is ``least``.
     """
-    if source not in ("target", "nominal_base"):
-        raise ValueError(f"unsupported trajectory source: {source}")
+    if source not in ("target", "nominal_base") or several not in ("error", "least"):
+        raise ValueError(f"unsupported trajectory source: {source}, {several}")
     if source == "target":
         return targets.withColumn("trajectory_id", F.col("sample_id"))
     base = records.filter(F.col("mode") == "base").groupBy("base_scene_id").agg(F.min("sample_id").alias("trajectory_id"), F.count(F.lit(1)).alias("_n"))
-    several = F.raise_error(F.concat(F.lit("several base records of scene "), F.col("base_scene_id").cast("string"))).cast(records.schema["sample_id"].dataType)
-    one = F.when(F.col("_n") > 1, several).otherwise(F.col("trajectory_id"))
+    if several == "least":
+        return targets.join(base.drop("_n"), "base_scene_id", "left")
+    failure = F.raise_error(F.concat(F.lit("several base records of scene "), F.col("base_scene_id").cast("string"))).cast(records.schema["sample_id"].dataType)
+    one = F.when(F.col("_n") > 1, failure).otherwise(F.col("trajectory_id"))
     return targets.join(base, "base_scene_id", "left").withColumn("trajectory_id", one).drop("_n")
 
 

@@ -275,7 +275,7 @@ def trajectory_inputs(spark, folder):
     rows = sweep_rows(spark, folder).select(
         "sample_id", F.col("scene").alias("base_scene_id"), F.when(F.col("level") == 2, F.lit("base")).otherwise(F.lit("one_factor")).alias("mode")
     )
-    return manifests.trajectory_inputs(rows, rows, "nominal_base")
+    return manifests.trajectory_inputs(rows, rows, "nominal_base", several="least")
 
 
 @query("sample_id:i ordinal:i", """
