@@ -200,15 +200,18 @@ def fit(pos: np.ndarray, unl: np.ndarray, hidden: int = 24, epochs: int = 12, se
 def training_rows(docs: DataFrame, labels: DataFrame, max_positives: int, max_unlabelled: int) -> DataFrame:
     """(positive, text): a bounded, repeatable sample of the training fold.
 
-    Positives are rows labelled 1; the unlabelled sample is drawn from all rows, whatever their labels. The
-    sample takes the rows of least id hash, by a top-k in every task and then over all.
+    Positives are rows labelled 1; unlabelled rows are those without a label or, in a table that has none,
+    those not labelled 1. The sample takes the rows of least id hash, by a top-k in every task and then over
+    all.
     """
     docs = docs.select("doc_id", "text")
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
     marked = ids.join(good, "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit("quality")))
     pos = marked.where("_quality = 1").orderBy("_h", "doc_id").limit(max_positives).select("doc_id", F.lit(True).alias("positive"))
-    unl = marked.orderBy("_h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    rest = marked.where("_quality is null")
+    rest = rest if rest.limit(1).count() else marked.where("_quality <> 1")
+    unl = rest.orderBy("_h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # at most max_positives + max_unlabelled rows of two columns
     return docs.join(F.broadcast(pos.union(unl)), "doc_id").select("positive", "text")
 
