@@ -121,6 +121,18 @@ def test_tracker_matches_a_plain_loop(spark):
             assert (r.cx, r.cy) == pytest.approx(tuple(float(c) for c in centre), rel=1e-6) and r.area == pytest.approx(area)
 
 
+def test_tracker_repartitions_whatever_its_join_becomes(spark):
+    rows, want = candidate_rows(5, videos=2, frames=3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seeds = spark.createDataFrame([(v, 100.0, 60.0) for v in want], "video string, sx double, sy double")
+        tracked = sequence.track_candidates(spark.createDataFrame(rows, CANDIDATES), seeds)
+        # Dropped as redundant to the join's, adaptive execution may undo it after all.
+        assert "REPARTITION_BY_COL" in tracked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_report_and_runs(spark, rows):
     nan = float("nan")
     seen = spark.createDataFrame([("v", t, x, 0.0) for t, x in enumerate([0.0, 1.0, nan, 3.0, 4.0, 5.0])], "video string, frame long, cx double, cy double")

@@ -19,6 +19,16 @@ def _order(columns: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition so that rows of equal ``keys`` share a partition, whatever comes before.
+
+    A plain ``repartition(keys)`` above a join on the same keys is dropped as redundant; adaptive
+    execution may then turn that join into a broadcast with local reads and the keys fall apart.
+    Partitions of a hash of the keys are never those of a join.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def index_within(
     df: DataFrame,
     keys: Sequence[str],

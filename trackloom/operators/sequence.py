@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom.functions.geometry import d, latent_frame, norm, window_start
-from trackloom.functions.ordered import DEFAULT_BLOCK, index_within, running_min_before, with_adjacent
+from trackloom.functions.ordered import DEFAULT_BLOCK, gathered, index_within, running_min_before, with_adjacent
 from trackloom.functions.quantiles import bounded_percentiles, percentiles
 
 
@@ -273,7 +273,7 @@ def track_candidates(
     rows = candidates.join(seeds, "video").select(
         "video", F.col("frame").cast("long").alias("frame"), "candidate_id", d("cx").alias("cx"), d("cy").alias("cy"), d("area").alias("area"), d("sx").alias("sx"), d("sy").alias("sy")
     )
-    ordered = rows.repartition("video").sortWithinPartitions("video", "frame", "candidate_id")
+    ordered = gathered(rows, "video").sortWithinPartitions("video", "frame", "candidate_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = FollowState(gate, seed_gate)
