@@ -66,6 +66,28 @@ def test_tracker_stream_equals_loop(spark, tmp_path):
             assert (r.cx, r.cy) == pytest.approx(tuple(float(c) for c in centre), rel=1e-6)
 
 
+def test_tracker_walks_many_videos_in_one_call(spark, tmp_path):
+    rows, want = candidate_rows(13, videos=40, frames=6)
+    schema = f"{CANDIDATES}, sx double, sy double"
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for part, chosen in enumerate(([r for r in rows if r[1] < 3], [r for r in rows if r[1] > 1])):  # frame 2 comes again
+        lines = [json.dumps(dict(zip(("video", "frame", "candidate_id", "cx", "cy", "area", "sx", "sy"), (*r, 100.0, 60.0)))) for r in chosen]
+        (folder / f"p{part}.json").write_text("\n".join(lines))
+        os.utime(folder / f"p{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    run(live.live_tracker(stream, buckets=3), "many_out", "append")
+    out = spark.table("many_out").collect()
+    assert sorted((r.video, r.frame) for r in out if r.late) == sorted((v, 2) for v in want)
+    got = {(r.video, r.frame): r for r in out if not r.late}
+    assert len(got) == 240
+    for (video, frame), r in got.items():
+        centre = want[video][0][frame]
+        assert (r.cx is None) == (centre is None)
+        if centre is not None:
+            assert (r.cx, r.cy) == pytest.approx(tuple(float(c) for c in centre), rel=1e-6)
+
+
 def test_validation_stream(spark, tmp_path, rows):
     folder = tmp_path / "m"
     folder.mkdir()

@@ -310,14 +310,20 @@ class FollowState:
 
     def advance(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Walk whole frames; rows are sorted by video, frame and candidate."""
-        video = rows["video"].to_numpy()
-        frame = rows["frame"].to_numpy(np.int64)
-        centres = rows[["cx", "cy"]].to_numpy(np.float32)
-        areas = rows["area"].to_numpy(np.float64)
-        seeds = rows[["sx", "sy"]].to_numpy(np.float32)
+        out = self.walk(
+            rows["video"].to_numpy(),
+            rows["frame"].to_numpy(np.int64),
+            rows[["cx", "cy"]].to_numpy(np.float32),
+            rows["area"].to_numpy(np.float64),
+            rows[["sx", "sy"]].to_numpy(np.float32),
+        )
+        return pd.DataFrame(out, columns=["video", "frame", "cx", "cy", "area"])
+
+    def walk(self, video: np.ndarray, frame: np.ndarray, centres: np.ndarray, areas: np.ndarray, seeds: np.ndarray) -> list[tuple]:
+        """The same over arrays: a tuple (video, frame, cx, cy, area) per frame."""
         usable = np.isfinite(centres).all(axis=1)
         changed = (frame[1:] != frame[:-1]) | (video[1:] != video[:-1])
-        starts = np.concatenate(([0], np.flatnonzero(changed) + 1, [len(rows)]))
+        starts = np.concatenate(([0], np.flatnonzero(changed) + 1, [len(frame)]))
         out = []
         for lo, hi in zip(starts[:-1], starts[1:]):
             if video[lo] != self.video:
@@ -326,7 +332,7 @@ class FollowState:
             keep = usable[lo:hi]
             found = self.step(int(frame[lo]), centres[lo:hi][keep], areas[lo:hi][keep], seeds[lo])
             out.append((video[lo], int(frame[lo]), *found))
-        return pd.DataFrame(out, columns=["video", "frame", "cx", "cy", "area"])
+        return out
 
     def step(
         self, frame: int, centres: np.ndarray, areas: np.ndarray, seed: np.ndarray

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackloom.operators.records import validate_records
 from trackloom.operators.sequence import TRACK_SCHEMA, FollowState, running_best
@@ -61,57 +62,56 @@ def best_so_far_writer(path: str, key: str = "mode", value: str = "total") -> Ca
     return write
 
 
-class Tracker(StatefulProcessor):
-    """Keeps two centres, one area and the frame number of a video between batches."""
+_ARRIVING = (("frame", np.int64), ("candidate_id", np.int64), *((c, np.float64) for c in ("cx", "cy", "area", "sx", "sy")))
+MEMORY_SCHEMA = "video array<string>, lx array<double>, ly array<double>, bx array<double>, by array<double>, area array<double>, frame array<long>"
 
-    def __init__(self, gate: float = 150.0, seed_gate: float = 160.0):
-        self.gates = (gate, seed_gate)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState(
-            "memory", "lx double, ly double, bx double, by double, area double, frame long"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        state = FollowState(*self.gates)
-        state.video = key[0]
-        if self.memory.exists():
-            lx, ly, bx, by, state.area, state.frame = self.memory.get()
-            state.last = None if lx is None else np.array([lx, ly], np.float32)
-            state.before = None if bx is None else np.array([bx, by], np.float32)
-        # A micro-batch brings the newly arrived frames of one video, not its history.
-        # Frames at or before the last one seen cannot be inserted; they are given out as late.
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values(["frame", "candidate_id"], kind="stable")
-        late = arrived[arrived["frame"] <= state.frame]
-        if len(late):
-            frames = late["frame"].drop_duplicates()
-            yield pd.DataFrame({"video": state.video, "frame": frames, "cx": None, "cy": None, "area": 0.0, "late": True})
-        fresh = arrived[arrived["frame"] > state.frame]
-        if fresh.empty:
-            return
-        out = state.advance(fresh).assign(late=False)
-        last = (None, None) if state.last is None else tuple(float(v) for v in state.last)
-        before = (None, None) if state.before is None else tuple(float(v) for v in state.before)
-        self.memory.update((*last, *before, float(state.area), int(state.frame)))
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def live_tracker(candidates: DataFrame, gate: float = 150.0, seed_gate: float = 160.0) -> DataFrame:
+def live_tracker(candidates: DataFrame, gate: float = 150.0, seed_gate: float = 160.0, buckets: int = 4096) -> DataFrame:
     """Streaming tracker over ``candidates(video, frame, candidate_id, cx, cy, area, sx, sy)``.
 
-    Needs the RocksDB state store provider. A frame at or before the last one seen of its
-    video gives a row without a centre and with ``late`` set; it does not move the track.
+    Between batches two centres, one area and the frame number of a video are kept. A call for every
+    video would cost milliseconds each, so videos are hashed into ``buckets``: a call takes the arrived
+    rows of one bucket, and its state holds one entry for each of the bucket's videos. A frame at or
+    before the last one seen of its video gives a row without a centre and with ``late`` set; it does
+    not move the track.
     """
-    return candidates.groupBy("video").transformWithStateInPandas(
-        statefulProcessor=Tracker(gate, seed_gate),
+    def follow(key: tuple, chunks: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
+        known = {row[0]: row[1:] for row in zip(*memory.get)} if memory.exists else {}
+        # A micro-batch brings the newly arrived frames of some videos, not their history.
+        # Frames at or before the last one seen cannot be inserted; they are given out as late.
+        parts = [[c["video"].to_numpy(object), *(c[n].to_numpy(t) for n, t in _ARRIVING)] for c in chunks]
+        video, frame, candidate, cx, cy, area, sx, sy = [np.concatenate(x) for x in zip(*parts)]
+        codes, names = pd.factorize(video)
+        order = np.lexsort((candidate, frame, codes))
+        video, frame, area = video[order], frame[order], area[order]
+        centres, seeds = (np.column_stack(c)[order].astype(np.float32) for c in ((cx, cy), (sx, sy)))
+        ends = np.cumsum(np.bincount(codes, minlength=len(names))).tolist()
+        out = []
+        for name, lo, hi in zip(names, [0, *ends], ends):
+            state = FollowState(gate, seed_gate)
+            state.video = name
+            if name in known:
+                lx, ly, bx, by, state.area, state.frame = known[name]
+                state.last = None if lx is None else np.array([lx, ly], np.float32)
+                state.before = None if bx is None else np.array([bx, by], np.float32)
+            first = lo + int(np.searchsorted(frame[lo:hi], state.frame, "right"))
+            out += [(name, f, None, None, 0.0, True) for f in np.unique(frame[lo:first]).tolist()]
+            if first == hi:
+                continue
+            out += [(*r, False) for r in state.walk(video[first:hi], frame[first:hi], centres[first:hi], area[first:hi], seeds[first:hi])]
+            last = (None, None) if state.last is None else tuple(float(v) for v in state.last)
+            before = (None, None) if state.before is None else tuple(float(v) for v in state.before)
+            known[name] = (*last, *before, float(state.area), int(state.frame))
+        memory.update(tuple(list(c) for c in zip(*((k, *v) for k, v in known.items()))))
+        yield pd.DataFrame(out, columns=["video", "frame", "cx", "cy", "area", "late"])
+
+    bucketed = candidates.withColumn("_bucket", F.pmod(F.xxhash64("video"), F.lit(buckets)))
+    return bucketed.groupBy("_bucket").applyInPandasWithState(
+        follow,
         outputStructType=f"{TRACK_SCHEMA}, late boolean",
+        stateStructType=MEMORY_SCHEMA,
         outputMode="append",
-        timeMode="None",
+        timeoutConf=GroupStateTimeout.NoTimeout,
     )
 
 
