@@ -196,3 +196,11 @@ def test_foreground_follows_a_moving_square(spark):
     smooth = sum(taps[i] * smooth[i : i + 24] for i in range(5))
     got = {(r.y, r.x) for r in mask.filter("frame = 0").collect()}
     assert got == {(int(y), int(x)) for y, x in zip(*np.nonzero(np.rint(smooth) > 18))}
+
+
+def test_foreground_rounds_greys_exactly(spark):
+    places = [(y, x) for y in range(3) for x in range(3)]
+    # 0.587 * 170 + 0.114 * 15 is 101.5 and rounds to 102; summed in doubles it falls below the half.
+    pixels = spark.createDataFrame([("v", 0, y, x, 0, 170, 15) for y, x in places], "video string, frame int, y int, x int, r int, g int, b int")
+    back = spark.createDataFrame([("v", y, x, 93, 93, 93) for y, x in places], "video string, y int, x int, r int, g int, b int")
+    assert masks.foreground_mask(pixels, back, 8.0).count() == 9

@@ -454,14 +454,16 @@ def mask_consistency(
 def foreground_mask(frames: DataFrame, background: DataFrame, threshold: float = 18.0) -> DataFrame:
     """Pixels whose grey value differs from the background by more than the threshold.
 
-    Grey uses the usual 0.299/0.587/0.114 weights, rounded; the difference is smoothed
-    by a separable 5-tap binomial filter with mirrored borders.
+    Grey uses the usual 0.299/0.587/0.114 weights, rounded half to even; the difference is smoothed
+    by a separable 5-tap binomial filter with mirrored borders. A frame's grey is rounded exactly, in
+    thousandths of whole numbers; the background's is a sum of doubles in which what lies within their
+    precision of a half counts as one.
     """
-    def grey(prefix: str = "") -> Column:
-        return F.rint(0.299 * G.d(f"{prefix}r") + 0.587 * G.d(f"{prefix}g") + 0.114 * G.d(f"{prefix}b"))
-
-    back = background.select("video", "y", "x", grey().alias("_bg"))
-    diff = frames.select("video", "frame", "y", "x", grey().alias("_g")).join(back, ["video", "y", "x"]).select(
+    grey = F.rint((299.0 * G.d("r") + 587.0 * G.d("g") + 114.0 * G.d("b")) / 1000.0)
+    blend = 0.299 * G.d("r") + 0.587 * G.d("g") + 0.114 * G.d("b")
+    half = (F.abs(blend) * 10.0) % 10.0 == 5.0
+    back = background.select("video", "y", "x", F.when(half, F.rint(blend / 2.0) * 2.0).otherwise(F.rint(blend)).alias("_bg"))
+    diff = frames.select("video", "frame", "y", "x", grey.alias("_g")).join(back, ["video", "y", "x"]).select(
         "video", "frame", "y", "x", F.abs(F.col("_g") - F.col("_bg")).alias("v")
     )
     size = diff.groupBy("video").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
