@@ -204,3 +204,11 @@ def test_foreground_rounds_greys_exactly(spark):
     pixels = spark.createDataFrame([("v", 0, y, x, 0, 170, 15) for y, x in places], "video string, frame int, y int, x int, r int, g int, b int")
     back = spark.createDataFrame([("v", y, x, 93, 93, 93) for y, x in places], "video string, y int, x int, r int, g int, b int")
     assert masks.foreground_mask(pixels, back, 8.0).count() == 9
+
+
+def test_hidden_object_has_no_cell_outside_its_mask(spark):
+    points = spark.createDataFrame([("s", 0, 4.0, 4.0, True)], "sample_id string, frame int, u double, v double, valid boolean")
+    mask = spark.createDataFrame([("s", 0, 4, 4)], "sample_id string, frame int, x int, y int")
+    cells = spark.createDataFrame([], "sample_id string, frame int, cx int, cy int, visible double")
+    r = masks.mask_consistency(points, cells, mask, (8, 8), (32, 32), (8, 8)).first()
+    assert (r.containment_min, r.cell_precision_min, r.centroid_error_max_px) == (1.0, 1.0, 0.0)

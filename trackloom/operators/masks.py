@@ -422,7 +422,8 @@ def mask_consistency(
 ) -> DataFrame:
     """Per sample: worst containment, worst cell precision, worst centroid distance.
 
-    ``points`` and ``cells`` are those of the first object.
+    ``points`` and ``cells`` are those of the first object. Where it is hidden in a frame no cell lies
+    outside the mask, so that frame's precision is 1.
     """
     keys = ["sample_id", "frame"]
     width, height = image
@@ -445,7 +446,7 @@ def mask_consistency(
     return (
         inside.join(precision, keys, "full").join(offset, keys, "full").groupBy("sample_id").agg(
             F.min("containment").alias("containment_min"),
-            F.min("precision").alias("cell_precision_min"),
+            F.min(F.coalesce("precision", F.lit(1.0))).alias("cell_precision_min"),
             F.max("offset").alias("centroid_error_max_px"),
         )
     )
