@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,12 @@ def test_tracker_matches_a_plain_loop(spark):
             assert (r.cx, r.cy) == pytest.approx(tuple(float(c) for c in centre), rel=1e-6) and r.area == pytest.approx(area)
 
 
+def test_spatial_deviation_of_a_nearly_even_bright_frame(spark):
+    rows = [("v", 0, y, x, 251, 251, 252 if (y, x) == (0, 0) else 251) for y in range(8) for x in range(8)]
+    r = sequence.frame_stats(spark.createDataFrame(rows, "video string, frame int, y int, x int, r int, g int, b int")).first()
+    assert r.spatial_std_min == pytest.approx(math.sqrt(191) / 192, abs=1e-15)
+
+
 def test_tracker_repartitions_whatever_its_join_becomes(spark):
     rows, want = candidate_rows(5, videos=2, frames=3)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

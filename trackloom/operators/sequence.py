@@ -67,9 +67,10 @@ def frame_stats(pixels: DataFrame) -> DataFrame:
     dark = sum(((F.col(c) <= 2).cast("int") for c in rgb), F.lit(0))
     bright = sum(((F.col(c) >= 253).cast("int") for c in rgb), F.lit(0))
     count = F.count(F.lit(1)) * 3
-    mean = F.sum(total) / count
+    # Of whole numbers both products are exact, so nothing is lost in their difference.
+    spread = count * F.sum(squares) - F.sum(total) * F.sum(total)
     per_frame = pixels.groupBy("video", "frame").agg(
-        F.sqrt(F.greatest(F.sum(squares) / count - mean * mean, F.lit(0.0))).alias("std"),
+        (F.sqrt(F.greatest(spread, F.lit(0.0))) / count).alias("std"),
         (F.sum(dark) / count).alias("dark"),
         (F.sum(bright) / count).alias("bright"),
     )
