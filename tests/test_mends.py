@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import quantiles
 from trackloom.operators import audit, clouds, documents, raster, selection
+from trackloom.plans import contract_queries
 from trackloom.sources import archives
 from trackloom.streaming import live
 
@@ -68,3 +69,9 @@ def test_unreadable_archive_is_reported(spark, tmp_path, rows):
     (tmp_path / "01_bad").mkdir()
     (tmp_path / "01_bad" / "scene.npz").write_bytes(b"no archive")
     assert rows(archives.read_scene_headers(spark, str(tmp_path)).select("scene", F.array_join("problems", ","))) == [("01_bad", "unreadable")]
+
+
+def test_records_of_a_file_with_one_row_group_are_checked_by_many_tasks(spark):
+    lines = contract_queries.record_lines(spark, "/root/testdata/sf0.1")
+    sizes = [r["n"] for r in lines.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 8 and sum(sizes) == 20_000 and max(sizes) < 2_000

@@ -11,7 +11,7 @@ from trackloom.operators import audit, manifests, masks, packages, raster, recor
 from trackloom.plans.sequence_queries import PIXELS_SQL, frame_pixels
 from trackloom.plans.spec import drain, query
 from trackloom.plans.tables import SWEEP_SQL, TRACK_SQL, load, sweep_rows, track_points
-from trackloom.session import shared_folder
+from trackloom.session import shared_folder, spread
 from trackloom.streaming import live
 
 
@@ -57,7 +57,7 @@ def record_lines(spark, folder) -> DataFrame:
         when(3, F.lit("dev"), F.lit("train")).alias("split"), conditioning.alias("conditioning"),
         F.struct(F.concat(F.lit("v/"), key).alias("video"), F.concat(F.lit("m/"), key).alias("metadata")).alias("target"), sweep_part.alias("sweep"),
     )
-    return load(spark, folder, "part").select(F.col("p_partkey").alias("ordinal"), F.to_json(record).alias("raw")).withColumn("rec", F.try_parse_json("raw"))
+    return spread(load(spark, folder, "part"), "p_partkey").select(F.col("p_partkey").alias("ordinal"), F.to_json(record).alias("raw")).withColumn("rec", F.try_parse_json("raw"))
 
 
 VIOLATION_SQL = """
