@@ -75,3 +75,13 @@ def test_records_of_a_file_with_one_row_group_are_checked_by_many_tasks(spark):
     lines = contract_queries.record_lines(spark, "/root/testdata/sf0.1")
     sizes = [r["n"] for r in lines.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) >= 8 and sum(sizes) == 20_000 and max(sizes) < 2_000
+
+
+def test_planes_are_the_same_however_a_scene_is_dealt(spark, monkeypatch):
+    i = F.col("id")
+    points = spark.range(2400).select((i % 2).alias("scene"), "id", (i * 7919 % 997 / 100).alias("x"), (i * 104729 % 991 / 100).alias("y"), F.when(i % 3 == 0, i % 89 / 10).otherwise(1.5).alias("z"))
+    whole = sorted(map(tuple, clouds.fit_planes(points, "scene", "id", planes=2, trials=50).collect()))
+    monkeypatch.setattr(clouds, "SCORED", 100)
+    monkeypatch.setattr(clouds, "SHARD", 2)
+    dealt = sorted(map(tuple, clouds.fit_planes(points, "scene", "id", planes=2, trials=50).collect()))
+    assert [r[:2] + (r[6],) for r in dealt] == [r[:2] + (r[6],) for r in whole] and [r[6] for r in whole if r[1] == 0] == [804, 805]

@@ -19,6 +19,7 @@ from trackloom.session import cut_lineage
 OBSERVED, COMPLETED, OBJECT = 0, 1, 2
 LEAF_POINTS, MAX_LEVEL = 64, 30
 SCORED = 4096
+SHARD = 16
 
 
 def compose_scene(observed: DataFrame, completed: DataFrame, objects: DataFrame) -> DataFrame:
@@ -204,6 +205,8 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
     place that is a hash of (seed, trial, corner) modulo the number of points, in a numbering that no task
     sorts whole. Trials whose corners lie on a line give no plane. A scene's points are dealt over blocks of
     ``SCORED`` points, each scored against all planes in one array call, and the blocks' counts are added up.
+    The planes are copied once for every ``SHARD`` blocks and a scene's few numbers are broadcast (at most a row
+    for every ``minimum`` points), so no step gathers a scene by its key.
     ``inliers`` are those of the best trial; they are taken out before the next plane, and the equation
     given is the least-squares plane through them. A scene with fewer than ``least`` points left gets no
     further plane. ``ident`` is unique in a scene. The only driver loop is over the plane number, with a
@@ -216,15 +219,16 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
     spans = F.array_sort(F.array("_sx", "_sy", "_sz"))
     extent = spans[1] + (spans[2] - spans[1]) * 0.6
     sizes = sizes.select(key, "_total", F.greatest(extent * 0.006, F.lit(1e-5)).alias("_tol"))
-    left = points.select(key, F.col(ident).alias("_id"), G.d("x").alias("x"), G.d("y").alias("y"), G.d("z").alias("z")).join(sizes, key)
+    left = points.select(key, F.col(ident).alias("_id"), G.d("x").alias("x"), G.d("y").alias("y"), G.d("z").alias("z")).join(F.broadcast(sizes), key)
     found: DataFrame | None = None
     for index in range(planes):
         enough = left.groupBy(key).agg(F.count(F.lit(1)).alias("_left")).filter(F.col("_left") >= least)
         candidates = cut_lineage(_trial_planes(left, enough, key, seed + index, trials).join(enough, key))
-        block = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_left") / F.lit(SCORED)))
+        blocks = F.ceil(F.col("_left") / F.lit(SCORED))
+        copies = candidates.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((blocks - 1) / F.lit(SHARD))))).drop("_left")
         counts = (
-            left.join(enough, key).withColumn("_block", block).groupBy(key, "_total", "_tol", "_block")
-            .agg(F.collect_list(F.struct("x", "y", "z")).alias("_points")).join(candidates.drop("_left"), key)
+            left.join(F.broadcast(enough), key).withColumn("_block", F.pmod(F.xxhash64("_id"), blocks)).groupBy(key, "_total", "_tol", "_block")
+            .agg(F.collect_list(F.struct("x", "y", "z")).alias("_points")).withColumn("_shard", F.floor(F.col("_block") / F.lit(SHARD))).join(copies, [key, "_shard"])
             .select(key, "_total", "_tol", F.posexplode(F.arrow_udf(_near_counts, "array<long>")("_points", "_planes", "_tol")).alias("_i", "_near"))
             .groupBy(key, "_total", "_tol", "_i").agg(F.sum("_near").alias("_n")).filter("_n > 0")
         )
@@ -237,7 +241,7 @@ def fit_planes(points: DataFrame, key: str, ident: str, planes: int = 3, seed: i
         )
         trial = cut_lineage(trial)
         off = F.abs(F.col("_a") * F.col("x") + F.col("_b") * F.col("y") + F.col("_c") * F.col("z") + F.col("_d"))
-        near = left.join(trial, key)
+        near = left.join(F.broadcast(trial), key)
         accepted = cut_lineage(trial.join(_refit(near.filter(off <= F.col("tolerance")), key), key).select(
             key, F.lit(index).alias("plane"), *[F.coalesce(n, f"_{n}").alias(n) for n in "abcd"], "inliers", "tolerance"
         ))
@@ -280,7 +284,7 @@ def _near_counts(points: pa.Array, planes: pa.Array, tolerance: pa.Array) -> pa.
 
 def _trial_planes(points: DataFrame, sizes: DataFrame, key: str, seed: int, trials: int) -> DataFrame:
     """Array of candidate unit planes per scene of ``sizes(key, _left)``, at most one per trial."""
-    placed = permuted(points.join(sizes.select(key), key, "left_semi"), "_id", seed, keys=[key])
+    placed = permuted(points.join(F.broadcast(sizes.select(key)), key, "left_semi"), "_id", seed, keys=[key])
     corner = F.explode(F.sequence(F.lit(0), F.lit(2)))
     drawn = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("corner", corner)
     digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "trial", "corner"), 256), 1, 12)
