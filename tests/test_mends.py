@@ -85,3 +85,9 @@ def test_planes_are_the_same_however_a_scene_is_dealt(spark, monkeypatch):
     monkeypatch.setattr(clouds, "SHARD", 2)
     dealt = sorted(map(tuple, clouds.fit_planes(points, "scene", "id", planes=2, trials=50).collect()))
     assert [r[:2] + (r[6],) for r in dealt] == [r[:2] + (r[6],) for r in whole] and [r[6] for r in whole if r[1] == 0] == [804, 805]
+
+
+def test_features_read_the_records_once(spark, capsys):
+    contract_queries.record_features(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "Join" not in plan

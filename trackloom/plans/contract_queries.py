@@ -81,13 +81,12 @@ SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 0 AS slot, CASE WHEN p_partkey %
 )
 def record_features(spark, folder):
     """Typed objects of JSON records with their controls, dynamics and state."""
-    samples = records.typed_samples(record_lines(spark, folder))
-    ids = records.object_ids_status(samples).select("sample_id", F.col("valid").alias("ids_valid"))
+    samples = records.typed_samples(record_lines(spark, folder)).withColumn("ids_valid", records.ids_valid())
     o = F.col("object")
-    rows = records.object_rows(samples).select(
-        "sample_id", "slot", condition.controls(o).alias("c"), condition.dynamics(o).alias("d"), condition.initial_state(o, F.col("gravity")).alias("s"),
+    rows = records.object_rows(samples, ["ids_valid"]).select(
+        "sample_id", "slot", "ids_valid", condition.controls(o).alias("c"), condition.dynamics(o).alias("d"), condition.initial_state(o, F.col("gravity")).alias("s"),
         condition.control_value(o, F.lit("contact_restitution")).alias("axis_value"),
-    ).join(ids, "sample_id")
+    )
     picks = {"mass": "c[0]", "friction": "c[1]", "restitution": "c[2]", "ixx": "d[0]", "ixy": "d[3]", "vx": "s[0]", "wz": "s[5]", "gy": "s[7]"}
     return rows.select("sample_id", "slot", "axis_value", "ids_valid", *[F.expr(e).alias(n) for n, e in picks.items()])
 
