@@ -91,3 +91,24 @@ def test_features_read_the_records_once(spark, capsys):
     contract_queries.record_features(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_quantiles_of_large_and_small_keys_together(spark, monkeypatch, capsys):
+    monkeypatch.setattr(quantiles, "LARGE", 50)
+    data = [("a" if i % 4 else "b" if i % 40 else "c", float(i * 7919 % 1009)) for i in range(400)] + [("a", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    frame = pd.DataFrame(data, columns=["k", "v"]).dropna()
+    got = {r.k: r.m for r in quantiles.percentiles(df, ["k"], "v", [0.3], ["m"]).collect()}
+    want = frame.groupby("k").v.quantile(0.3)
+    assert set(got) == set(want.index) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    scale = {r.k: r for r in quantiles.robust_scale(df, ["k"], "v").collect()}
+    kept = {r.k: r.kept for r in quantiles.trimmed_median(df, ["k"], "v").collect()}
+    for k, part in frame.groupby("k"):
+        mid = part.v.median()
+        assert scale[k].median == mid and abs(scale[k].scale - 1.4826 * (part.v - mid).abs().median()) < 1e-9
+        good = part.v[part.v > 0]
+        assert kept[k] == good.between(good.quantile(0.15), good.quantile(0.85)).sum()
+    monkeypatch.setattr(quantiles, "LARGE", 5)
+    quantiles.percentiles(df, ["k"], "v", [0.3], ["m"]).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

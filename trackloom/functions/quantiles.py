@@ -13,9 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# The sketch is off by at most 1/ACCURACY of the rows, half the bracket margin.
-ACCURACY = 100_000
+from trackloom.session import cut_lineage
+
+# The sketch is off by at most 1/ACCURACY of the rows, half the bracket margin. Its size is in proportion
+# to ACCURACY; the values ranked are 4/ACCURACY of the rows for each quantile.
+ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
+# A key with more rows is never gathered; there is at most one such key for so many rows.
+LARGE = 100_000
 
 
 def bounded_percentiles(value: str | Column, probs: Sequence[float]) -> Column:
@@ -46,7 +51,7 @@ def percentiles(
         F.percentile_approx("_v", lows + highs, ACCURACY).alias("_b"),
     )
     k = len(ranked)
-    keyed = _join(rows, stats, keys)
+    keyed = _attach(rows, cut_lineage(stats) if keys else stats, keys, "_n")
     # Number of brackets that end below the value, and whether the value is inside the next one.
     below = sum(
         (F.when(F.col("_b")[k + i] < F.col("_v"), 1).otherwise(0) for i in range(k)),
@@ -86,17 +91,28 @@ def percentiles(
     return picked.select(*keys, *out)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return left.join(right, keys)
-    return left.join(F.broadcast(right))  # exactly one row
+def _attach(rows: DataFrame, stats: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Rows with the one row of ``stats`` (checkpointed) of their key, whose ``count`` is its number of rows.
+
+    Rows of large keys meet a broadcast and stay where they are; only those of small keys are shuffled by key.
+    """
+    if not keys:
+        return rows.join(F.broadcast(stats))  # exactly one row
+    large, small = stats.filter(F.col(count) > LARGE), stats.filter(F.col(count) <= LARGE)
+    if large.isEmpty():
+        return rows.join(stats, keys)
+    found = rows.join(F.broadcast(large), keys)
+    if small.isEmpty():
+        return found
+    return found.unionByName(rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys))
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and max(1.4826 MAD, 0.001 |median|, 1e-6) per key."""
     keys = list(keys)
-    mid = percentiles(df, keys, value, [0.5], ["median"])
-    spread = _join(df.select(*keys, value), mid, keys).withColumn(
+    mid = cut_lineage(percentiles(df, keys, value, [0.5], ["median"], "_values"))
+    # NULL values have no deviation; without them the count of a key is that of its rows.
+    spread = _attach(df.select(*keys, value).filter(F.col(value).isNotNull()), mid, keys, "_values").withColumn(
         "_dev", F.abs(F.col(value) - F.col("median"))
     )
     mad = percentiles(spread, keys, "_dev", [0.5], ["mad"])
@@ -124,6 +140,6 @@ def trimmed_median(
         & (F.col("_r") > 0)
         & (F.col("_r") < F.lit(float("inf")))
     )
-    edges = percentiles(good, keys, "_r", [low, high], ["_lo", "_hi"], "_n").filter("_n >= 4").drop("_n")
-    kept = _join(good, edges, keys).filter((F.col("_r") >= F.col("_lo")) & (F.col("_r") <= F.col("_hi")))
+    edges = cut_lineage(percentiles(good, keys, "_r", [low, high], ["_lo", "_hi"], "_values").filter("_values >= 4"))
+    kept = _attach(good, edges, keys, "_values").filter((F.col("_r") >= F.col("_lo")) & (F.col("_r") <= F.col("_hi")))
     return percentiles(kept, keys, "_r", [0.5], ["scale"], "kept")
