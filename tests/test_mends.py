@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.functions import quantiles
-from trackloom.operators import audit, clouds, documents, raster, selection
+from trackloom.operators import audit, clouds, documents, headers, raster, selection
 from trackloom.plans import contract_queries
 from trackloom.sources import archives
 from trackloom.streaming import live
@@ -112,3 +112,12 @@ def test_quantiles_of_large_and_small_keys_together(spark, monkeypatch, capsys):
     quantiles.percentiles(df, ["k"], "v", [0.3], ["m"]).explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_documents_of_one_row_are_compared_in_place(spark, rows):
+    data = [(1, '{"a": [1, {}], "b": 2}', '{"b": 2, "a": [1.0, {}], "c": null}'), (2, None, '{"a": 1}'), (3, "[1", "[1]"), (4, "{}", "{}"), (5, None, None), (6, '{"a.b": 1, "a": {"b": 2}}', '{"a": {"b": 1}}'), (7, "[1", '"x"')]
+    docs = spark.createDataFrame(data, "id int, stated string, expected string")
+    got = headers.json_row_diff(docs, "id")
+    want = headers.json_diff(docs.select("id", F.col("stated").alias("raw")), docs.select("id", F.col("expected").alias("raw")), "id")
+    order = ["id", "path", "stated", "expected"]
+    assert sorted(map(str, rows(got.select(*order).fillna("-")))) == sorted(map(str, rows(want.select(*order).fillna("-"))))
