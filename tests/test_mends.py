@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.functions import quantiles
-from trackloom.operators import audit, clouds, documents, headers, raster, selection
+from trackloom.operators import audit, clouds, documents, headers, manifests, raster, selection
 from trackloom.plans import contract_queries
 from trackloom.sources import archives
 from trackloom.streaming import live
@@ -121,3 +121,17 @@ def test_documents_of_one_row_are_compared_in_place(spark, rows):
     want = headers.json_diff(docs.select("id", F.col("stated").alias("raw")), docs.select("id", F.col("expected").alias("raw")), "id")
     order = ["id", "path", "stated", "expected"]
     assert sorted(map(str, rows(got.select(*order).fillna("-")))) == sorted(map(str, rows(want.select(*order).fillna("-"))))
+
+
+def test_contract_files_are_not_broadcast_for_being_well_compressed(spark, tmp_path, capsys):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("path"), F.lit("root").alias("path_base"), F.lit("h").alias("sha256"))
+    rows.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    slots = ("source_manifest", "source_dataset_summary", "source_point_trajectory_manifest")
+    headers = files.select(F.lit("x.wan_ti2v_cache.v4").alias("schema"), F.lit("/d").alias("dataset_root"), *[c for s in slots for c in (F.col("path").alias(s), F.col("sha256").alias(f"{s}_sha256"))])
+    summaries = files.select("path", "path_base", F.col("path").alias("manifest"), F.col("sha256").alias("manifest_sha256"))
+    status = manifests.contract_status(headers, files, summaries, "root")
+    status.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 4 and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in status.groupBy("status").count().collect()] == [("ok", 20_000)]
