@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import quantiles
 from trackloom.operators import audit, clouds, documents, headers, manifests, raster, selection
-from trackloom.plans import contract_queries
+from trackloom.plans import contract_queries, manifest_queries
 from trackloom.sources import archives
 from trackloom.streaming import live
 
@@ -135,3 +135,22 @@ def test_contract_files_are_not_broadcast_for_being_well_compressed(spark, tmp_p
     plan = capsys.readouterr().out
     assert plan.count("SortMergeJoin") == 4 and "BroadcastHashJoin" not in plan
     assert [tuple(r) for r in status.groupBy("status").count().collect()] == [("ok", 20_000)]
+
+
+def test_contacts_are_derived_once_and_not_regrouped(spark, rows, capsys):
+    manifest_queries.contact_coverage(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out.splitlines()
+    scans = [line for line in plan if "FileScan" in line and "l_orderkey" in line]
+    joins = [line for line in plan if "Join" in line and "l_partkey" in line]
+    assert len(scans) == 1 and len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert not any("Generate" in line and "sample_id" in line for line in plan)
+    ids = ["floor", "ramp", "support", "environment_mesh_7", "solid_ramp_wedge", None]
+    contacts = spark.createDataFrame([(s, c, i, w) for s, c in ((1, "a"), (2, "b"), (3, None)) for i in ids for w in (True, False, None)], "sample_id int, scene string, collider_id string, solid_wedge boolean")
+    parts = spark.createDataFrame([("a", p) for p in ("floor", "floor", "scene_mesh_7", "solid_ramp_wedge", None)] + [("b", "support_visual_mesh"), (None, "floor")], "scene string, part_id string")
+    got = rows(manifests.flagged_coverage(contacts.filter("solid_wedge"), parts).fillna("-"), "sample_id", "collider_id", "status", "reason")
+    wedge, none = ("visual_alias", "solid_wedge_visual_replacement"), ("not_represented_at_t0", "-")
+    direct, mesh = ("direct", "-"), ("visual_alias", "reviewed_environment_mesh_replacement")
+    first = {"-": wedge, "environment_mesh_7": mesh, "floor": direct, "ramp": wedge, "solid_ramp_wedge": direct, "support": wedge}
+    assert got == sorted((s, i, *(first[i] if s == 1 else ("visual_alias", "reviewed_support_mesh_replacement") if (s, i) == (2, "support") else none)) for s in (1, 2, 3) for i in first)
+    plain = manifests.flagged_coverage(contacts.filter("solid_wedge is null and sample_id = 1"), parts)
+    assert rows(plain.fillna("-"), "collider_id", "status") == [("-", none[0]), ("environment_mesh_7", mesh[0]), ("floor", "direct"), ("ramp", none[0]), ("solid_ramp_wedge", "direct"), ("support", none[0])]
