@@ -154,3 +154,14 @@ def test_contacts_are_derived_once_and_not_regrouped(spark, rows, capsys):
     assert got == sorted((s, i, *(first[i] if s == 1 else ("visual_alias", "reviewed_support_mesh_replacement") if (s, i) == (2, "support") else none)) for s in (1, 2, 3) for i in first)
     plain = manifests.flagged_coverage(contacts.filter("solid_wedge is null and sample_id = 1"), parts)
     assert rows(plain.fillna("-"), "collider_id", "status") == [("-", none[0]), ("environment_mesh_7", mesh[0]), ("floor", "direct"), ("ramp", none[0]), ("solid_ramp_wedge", "direct"), ("support", none[0])]
+
+
+def test_tasks_of_the_coverage_report_follow_the_rows(spark, monkeypatch, capsys):
+    monkeypatch.setattr(manifest_queries, "CONTACTS", 100)
+    report = manifest_queries.coverage_report(spark, "/root/testdata/sf0.001")
+    report.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and ", 60), REPARTITION_BY_NUM" in plan
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), F.expr("l_partkey = p_partkey"))
+    contacts = rows.selectExpr("l_orderkey", "p_brand", "CASE l_returnflag WHEN 'A' THEN 'support' WHEN 'R' THEN concat('environment_mesh_', p_type) ELSE p_type END").distinct().count()
+    assert sum(r.n for r in report.filter("section = 'status'").collect()) == contacts
