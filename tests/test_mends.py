@@ -2,6 +2,8 @@
 
 import json
 import math
+import time
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import quantiles
 from trackloom.operators import audit, clouds, documents, headers, manifests, raster, selection
 from trackloom.plans import contract_queries, manifest_queries
+from trackloom.session import cut_lineage
 from trackloom.sources import archives
 from trackloom.streaming import live
 
@@ -165,3 +168,21 @@ def test_tasks_of_the_coverage_report_follow_the_rows(spark, monkeypatch, capsys
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), F.expr("l_partkey = p_partkey"))
     contacts = rows.selectExpr("l_orderkey", "p_brand", "CASE l_returnflag WHEN 'A' THEN 'support' WHEN 'R' THEN concat('environment_mesh_', p_type) ELSE p_type END").distinct().count()
     assert sum(r.n for r in report.filter("section = 'status'").collect()) == contacts
+
+
+def test_a_cut_leaves_no_shuffle_files_behind(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p for d in disk.localDirsString() for p in Path(d).rglob("shuffle_*")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = files(), spark.conf.get(key, None)
+    grouped = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")).join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k")
+    cut = cut_lineage(grouped)
+    end = time.time() + 20  # files are removed in the background
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(key, None) == conf
+    assert sorted(tuple(r) for r in cut.collect()) == sorted(tuple(r) for r in grouped.collect()) == [(k, sum(range(k, 1_000, 7))) for k in range(7)]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trackloom.session import cut_lineage
+from trackloom.session import cut_lineage, shuffles_dropped
 
 #: Rows of one block of a group; a task holds at most two blocks.
 BLOCK = 256
@@ -39,6 +39,7 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 6
     round are written to the checkpoint folder. Self-loops are ignored; an empty edge list gives no rows.
     """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct())
+    state = _digest(e)
     for _ in range(max_rounds):
         # every larger neighbour, and the node itself, points to the smallest of the neighbourhood
         small = _min_neighbour(e.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(e.select(F.col("lo").alias("n"), F.col("lo").alias("m"))))
@@ -51,8 +52,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 6
             .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("p"))
             .select("p.hi", "p.lo").where("hi > lo").distinct()
         )
-        e, settled = nxt, _same(e, nxt)
-        if settled:
+        before, e, state = state, nxt, _digest(nxt)
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
@@ -65,10 +66,11 @@ def _min_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("n").agg(F.min("m").alias("m"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Two edge lists compared by an order-free digest: one row reaches the driver for each."""
-    digest = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))]
-    return tuple(a.agg(*digest).first()) == tuple(b.agg(*digest).first())
+def _digest(edges: DataFrame) -> tuple:
+    """An order-free digest of an edge list; its one row is all that reaches the driver."""
+    columns = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))]
+    with shuffles_dropped(edges.sparkSession):
+        return tuple(edges.agg(*columns).first())
 
 
 def block_pairs(members: DataFrame, group: Sequence[str], member: str, block: int = BLOCK) -> DataFrame:

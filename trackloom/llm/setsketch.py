@@ -243,7 +243,7 @@ def _groups(classes: DataFrame, floor: float, rows: int) -> DataFrame:
         members.where("parts > 1 and cls = lead").select("band", "key", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("block"))
     )
     both = leaders.unionByName(dealt).join(classes.select("cls", "reg", "n_shingles"), "cls")
-    edges = in_groups(both, ["band", "key", "part"], _bucket_forest(floor), "u long, v long").distinct()
+    edges = in_groups(both, ["band", "key", "part"], _bucket_forest(floor), "u long, v long")
     return components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
 
 
