@@ -170,6 +170,21 @@ def test_tasks_of_the_coverage_report_follow_the_rows(spark, monkeypatch, capsys
     assert sum(r.n for r in report.filter("section = 'status'").collect()) == contacts
 
 
+def test_contacts_meet_their_parts_in_tasks_that_follow_the_rows(spark, monkeypatch, tmp_path, capsys):
+    monkeypatch.setattr(manifest_queries, "CONTACTS", 100)
+    manifest_queries.contact_coverage(spark, "/root/testdata/sf0.001").explain()
+    shuffles = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(l_partkey" in line or "Exchange hashpartitioning(p_partkey" in line]
+    assert len(shuffles) == 2 and all(", 60), REPARTITION_BY_NUM" in line for line in shuffles)
+    # one part with all contacts, an order without a key, an unknown part and none
+    items = [(i, 1, "ARN"[i % 3]) for i in range(30)] + [(None, 1, "N"), (5, 9, "N"), (6, None, "N")]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "Brand#1", "TIN", 1)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = manifest_queries.contact_coverage(spark, str(tmp_path)).select("sample_id", "collider_id", "status").collect()
+    name = {"A": "support", "R": "environment_mesh_TIN", "N": "TIN"}
+    want = [(o, name[f], "visual_alias" if f == "A" else "not_represented_at_t0") for o, p, f in items if p == 1]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_a_cut_leaves_no_shuffle_files_behind(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
