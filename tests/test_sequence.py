@@ -1,11 +1,16 @@
+import functools
 import math
+import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scripts.compare import compare
 from trackloom.functions import geometry as G
 from trackloom.operators import sequence
+from trackloom.plans import sequence_queries  # noqa: F401 (registers the queries)
 
 
 def pixels(spark, video, name="v"):
@@ -165,3 +170,37 @@ def test_partitioning_does_not_change_results(spark, rows):
         return rows(sequence.running_best(f, ["k"], "frame", "v"), "k", "frame", "v")
 
     assert result(base.repartition(1)) == result(base.repartition(13, "v"))
+
+
+def test_mean_change_is_the_same_whatever_the_order_of_the_rows(spark):
+    video = np.random.default_rng(3).integers(0, 256, (40, 8, 8, 3))
+    got = {r.frame: r.mae for r in sequence.adjacent_difference(pixels(spark, video)).collect()}
+    sums = np.abs(np.diff(video, axis=0)).sum(axis=(1, 2, 3))
+    assert got == {t + 1: int(s) / 192 for t, s in enumerate(sums)}
+
+
+def test_quantiles_of_changes_that_differ_in_their_last_bits_when_computed_again(spark):
+    # On a cluster sums are added in another order each time; here a last bit is drawn each time.
+    noisy = F.udf(lambda v: v * (1 + random.choice((-1, 0, 1)) * 2e-15), "double").asNondeterministic()
+    videos = {f"v{i}": np.random.default_rng(i).integers(0, 256, (16, 2, 2, 3)) for i in range(12)}
+    rows = functools.reduce(lambda a, b: a.union(b), [pixels(spark, v, n).coalesce(1) for n, v in videos.items()])
+    got = sequence.frame_stats(rows.select("video", "frame", "y", "x", *[noisy(F.col(c).cast("double")).alias(c) for c in "rgb"]))
+    for r in got.collect():
+        mae = np.abs(np.diff(videos[r.video].astype(float), axis=0)).mean(axis=(1, 2, 3))
+        assert [r.adjacent_median, r.adjacent_p95] == pytest.approx([np.median(mae), np.percentile(mae, 95)], rel=1e-9)
+
+
+def test_frame_stats_of_odd_vectors_match_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    whole = [[float(np.float32(x)) for x in row] for row in rng.uniform(-0.6, 0.6, (90, 64))]
+    odd = {3: None, 4: None, 20: whole[20][:40], 37: whole[37] + [0.5] * 6, 50: [None, *whole[50][1:]], 52: [None] * 64}
+    rows = [(i, odd.get(i, v)) for i, v in enumerate(whole[:70])]
+    rows += [(-i, v) for i, v in enumerate(whole[70:], 1)]  # frames before the first
+    rows += [(2**60 + i, v) for i, v in enumerate(whole[:20])] + [(2000, None), (2001, None), (2016, whole[0])]
+    schema = "vec_id long, embedding array<float>"
+    spark.createDataFrame(rows, schema).union(spark.createDataFrame([(None, whole[1])], schema)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("frame_stats", "frame_median", "first_frame_psnr"):
+        ok, text = compare(spark, con, str(tmp_path), name)
+        assert ok, f"{name}: {text}"

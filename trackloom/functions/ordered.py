@@ -82,7 +82,7 @@ def with_adjacent(
     home = F.floor(f / F.lit(block)).cast("long")
     targets = [home]
     if back:
-        targets.append(F.when(f % block == block - 1, home + 1))
+        targets.append(F.when(F.pmod(f, F.lit(block)) == block - 1, home + 1))
     if ahead:
         targets.append(F.when((f % block == 0) & (f > 0), home - 1))
     spread = df.withColumn("_blk", F.explode(F.array_compact(F.array(*targets))))

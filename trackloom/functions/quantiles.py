@@ -38,7 +38,9 @@ def percentiles(
 ) -> DataFrame:
     """One row per (non-NULL) key with exact linear-interpolated quantiles; NULLs are skipped.
 
-    ``count`` names an extra column with the number of values of the key.
+    ``count`` names an extra column with the number of values of the key. The rows are read twice and must
+    be the same both times: cut the lineage of values such as means, whose last bits follow the order in which a
+    cluster adds them, or a value may slip out of the bracket that it was to be.
     """
     keys = list(keys)
     order = sorted(range(len(probs)), key=lambda i: probs[i])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackloom.functions.geometry import d, latent_frame, norm, window_start
 from trackloom.functions.ordered import DEFAULT_BLOCK, gathered, index_within, running_min_before, with_adjacent
 from trackloom.functions.quantiles import bounded_percentiles, percentiles
+from trackloom.session import cut_lineage
 
 
 def strictly_increasing(df: DataFrame, keys: Sequence[str], frame: str, time: str) -> DataFrame:
@@ -45,32 +46,39 @@ def temporal_scores(diffs: DataFrame, group: Sequence[str], mask: str, value: st
 
 
 def adjacent_difference(pixels: DataFrame, channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:
-    """Per (video, frame >= 1): mean absolute change and exact equality with the previous frame."""
+    """Per (video, frame >= 1): mean absolute change and exact equality with the previous frame.
+
+    Missing values are skipped. Whole numbers are added up before the one division, so the mean is the
+    same in whatever order a cluster adds them.
+    """
     near = with_adjacent(pixels, ["video", "y", "x"], "frame", list(channels))
     deltas = [F.abs(d(c) - d(f"prev_{c}")) for c in channels]
-    mean = sum(deltas[1:], deltas[0]) / len(channels)
+    change = sum((F.coalesce(x, F.lit(0.0)) for x in deltas), F.lit(0.0))
+    known = F.sum(sum((x.isNotNull().cast("int") for x in deltas), F.lit(0)))
     same = F.lit(True)
     for c in channels:
-        same = same & (F.col(c) == F.col(f"prev_{c}"))
+        same = same & F.coalesce(F.col(c) == F.col(f"prev_{c}"), F.lit(True))
     return (
-        near.filter(F.col(f"prev_{channels[0]}").isNotNull())
+        near.filter(F.coalesce(*[F.col(f"prev_{c}") for c in channels]).isNotNull())
         .groupBy("video", "frame")
-        .agg(F.avg(mean).alias("mae"), F.bool_and(same).alias("identical"))
+        .agg(F.try_divide(F.sum(change), known).alias("mae"), ((known > 0) & F.bool_and(same)).alias("identical"))
     )
 
 
 def frame_stats(pixels: DataFrame) -> DataFrame:
-    """Decoded-video statistics per video from (video, frame, y, x, r, g, b)."""
+    """Decoded-video statistics per video from (video, frame, y, x, r, g, b); missing values are neither dark nor bright."""
     rgb = ("r", "g", "b")
-    total = sum((d(c) for c in rgb[1:]), d(rgb[0]))
-    squares = sum((d(c) * d(c) for c in rgb[1:]), d(rgb[0]) * d(rgb[0]))
-    dark = sum(((F.col(c) <= 2).cast("int") for c in rgb), F.lit(0))
-    bright = sum(((F.col(c) >= 253).cast("int") for c in rgb), F.lit(0))
+    values = [F.coalesce(d(c), F.lit(0.0)) for c in rgb]
+    total = F.sum(sum(values[1:], values[0]))
+    squares = F.sum(sum((v * v for v in values[1:]), values[0] * values[0]))
+    known = F.sum(sum((F.col(c).isNotNull().cast("int") for c in rgb), F.lit(0)))
+    dark = sum((F.coalesce(F.col(c) <= 2, F.lit(False)).cast("int") for c in rgb), F.lit(0))
+    bright = sum((F.coalesce(F.col(c) >= 253, F.lit(False)).cast("int") for c in rgb), F.lit(0))
     count = F.count(F.lit(1)) * 3
     # Of whole numbers both products are exact, so nothing is lost in their difference.
-    spread = count * F.sum(squares) - F.sum(total) * F.sum(total)
+    spread = known * squares - total * total
     per_frame = pixels.groupBy("video", "frame").agg(
-        (F.sqrt(F.greatest(spread, F.lit(0.0))) / count).alias("std"),
+        F.try_divide(F.sqrt(F.greatest(spread, F.lit(0.0))), known).alias("std"),
         (F.sum(dark) / count).alias("dark"),
         (F.sum(bright) / count).alias("bright"),
     )
@@ -81,18 +89,23 @@ def frame_stats(pixels: DataFrame) -> DataFrame:
         F.max("dark").alias("near_black_max"),
         F.max("bright").alias("near_white_max"),
     )
-    return spatial.join(adjacent_stats(adjacent_difference(pixels), ["video"], "mae", "identical"), "video", "left")
+    # The quantiles read the changes twice; cut, both are the same numbers, and the pixels are compared once.
+    changes = cut_lineage(adjacent_difference(pixels))
+    return spatial.join(adjacent_stats(changes, ["video"], "mae", "identical"), "video", "left")
 
 
 def adjacent_stats(changes: DataFrame, keys: Sequence[str], value: str, same: str) -> DataFrame:
-    """Minimum, median, 95th percentile, maximum of per-frame changes and duplicate count."""
+    """Minimum, median, 95th percentile, maximum of per-frame changes and duplicate count.
+
+    As in ``percentiles``, a value must come out the same whenever it is computed.
+    """
     simple = changes.groupBy(*keys).agg(
         F.min(value).alias("adjacent_min"),
         F.max(value).alias("adjacent_max"),
         F.count_if(F.col(same)).alias("exact_duplicates"),
     )
     ranks = percentiles(changes, keys, value, [0.5, 0.95], ["adjacent_median", "adjacent_p95"])
-    return simple.join(ranks, list(keys))
+    return simple.join(ranks, list(keys), "left")
 
 
 def frame_psnr(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:

@@ -16,14 +16,14 @@ VIDEO_FRAMES = 16
 
 
 def frame_pixels(spark, folder):
-    """Embeddings as 8 x 8 frames; sixteen consecutive vectors make a video."""
+    """Embeddings as 8 x 8 frames; sixteen consecutive vectors make a video. What a vector lacks is NULL."""
     cells = load(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / VIDEO_FRAMES).alias("video"),
+        F.expr(f"vec_id div {VIDEO_FRAMES}").alias("video"),
         (F.col("vec_id") % VIDEO_FRAMES).alias("frame"),
         "embedding",
-        F.posexplode("embedding").alias("i", "e"),
+        F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"),
     )
-    e = F.col("e").cast("double")
+    e = F.get("embedding", F.col("i")).cast("double")
     other = F.get("embedding", F.lit(63) - F.col("i")).cast("double")
     return cells.select(
         "video",
