@@ -1,9 +1,12 @@
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from scripts.compare import compare
 from trackloom.operators import gates, manifests
+from trackloom.plans import manifest_queries
 
 
 def test_build_plan_truth_table(spark):
@@ -90,6 +93,49 @@ def test_contact_coverage(spark, rows):
     assert rows(manifests.affected_examples(coverage, samples)) == [("s", 4)]
 
 
+def test_coverage_report_names_affected_scenes_and_samples(spark, rows):
+    bad, good, alias = ("not_represented_at_t0", None), ("direct", None), ("visual_alias", "r")
+    contacts = [(1, "a", "x", *bad), (1, "a", "y", *bad), (1, "b", "z", *alias), (2, "a", "x", *bad), (3, "b", "x", *good), (None, "c", None, *bad), (4, None, "z", *good)]
+    coverage = spark.createDataFrame(contacts, "sample_id long, scene string, collider_id string, status string, reason string")
+    counts = [("alias", "r", 1), ("missing", "-", 1), ("missing", "x", 2), ("missing", "y", 1), ("status", "direct", 2), ("status", bad[0], 4), ("status", "visual_alias", 1)]
+    found = [("affected_sample", "-", 1), ("affected_sample", "1", 2), ("affected_sample", "2", 1), ("affected_scene", "a", 3), ("affected_scene", "c", 1)]
+    hit = [("total", "affected_samples", 3), ("total", "affected_scenes", 2)]
+    got = rows(manifests.coverage_report(coverage).fillna("-"))
+    assert got == sorted([*counts, *found, *hit, ("total", "samples", 5), ("total", "scenes", 4)])
+    samples = spark.createDataFrame([(1,), (1,), (8,), (9,)], "sample_id long")
+    scenes = spark.createDataFrame([("a",), ("d",), ("d",)], "scene string")
+    got = rows(manifests.coverage_report(coverage, samples, scenes, 50).fillna("-"))
+    assert got == sorted([*counts, *found, *hit, ("total", "samples", 7), ("total", "scenes", 5)])
+    none = [("total", n, 0) for n in ("affected_samples", "affected_scenes", "samples", "scenes")]
+    assert rows(manifests.coverage_report(coverage.limit(0), samples.limit(0), scenes.limit(0))) == none
+    assert rows(manifests.coverage_report(coverage.limit(0), samples).filter("n > 0")) == [("total", "samples", 3)]
+
+
+@pytest.mark.parametrize("contacts", [0, 40])
+def test_coverage_report_of_odd_tables_matches_the_sql(spark, tmp_path, contacts):
+    items = [(None if i == 7 else i // 3, None if i == 8 else i % 6, "ARN"[i % 3]) for i in range(contacts)]
+    parts = [(i, f"Brand#{i % 4}" if i else None, f"T{i % 2}" if i != 1 else None, 45 + i) for i in range(5)]
+    tables = {
+        "lineitem": spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_returnflag string"),
+        "part": spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int"),
+        "orders": spark.createDataFrame([(0,), (1,), (77,), (None,)], "o_orderkey long"),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    ok, text = compare(spark, con, str(tmp_path), "coverage_report")
+    assert ok, text
+
+
+def test_coverage_report_matches_its_contacts_once(spark):
+    report = manifest_queries.coverage_report(spark, "/root/testdata/sf0.001")
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin [l_partkey") == 1 and plan.count("FileScan parquet [l_orderkey") == 1
+    assert sum("HashAggregate(keys=[sample_id" in line and "collider_id" in line for line in plan.splitlines()) <= 2
+
+
 def test_audit_cache_reports_every_defect(spark, rows):
     names = ("sample_id", "base_scene_id", "record_json", "object_ids", "latent_path", "latent_sha256", "text_path", "text_sha256", "track_path", "track_sha256",
              "track_object_ids", "track_object_count", "source_point_trajectory", "source_point_trajectory_sha256", "first_frame", "first_frame_sha256", "scene",
